@@ -6,21 +6,33 @@ Every query takes (spark, sf_dir), reads its whole table and returns its whole r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from phasorlake.llm.common import load
+from phasorlake.llm.mixing import mix_words
+from phasorlake.llm.simhash import as_hex, near_duplicates
 from phasorlake.llm.substring import substring_dedup
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_words(load(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(load(spark, sf_dir, "documents"), width=35).drop("spans")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {"op2_substring_dedup": op2_substring_dedup}
+    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op2_substring_dedup": OP2_SQL}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -37,3 +49,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(w, lambda x, p: NOT list_contains(gone, p)), ' ')) AS kept_sha256
 FROM o
 """
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+k AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM s),
+w AS (SELECT *, [5, 2, 1][((rank - 1) % 3)::INT + 1] AS weight, source_size * 2 AS cap FROM k),
+h AS (SELECT *, sum(source_size) OVER () AS total,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+l AS (SELECT *, (total * 1.5::DOUBLE - below::DOUBLE) / rest::DOUBLE AS level FROM h),
+f AS (SELECT arg_min(level, struct_pack(r := cap / weight, rank := rank)) AS level FROM l WHERE cap >= level * weight),
+t AS (SELECT w.source, w.source_size, least(cap::DOUBLE, coalesce(f.level * weight, cap::DOUBLE)) AS target FROM w LEFT JOIN f ON true),
+c AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+    ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM c
+"""
