@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from phasorlake.llm.common import load
 from phasorlake.llm.mixing import mix_words
+from phasorlake.llm.quality import quality_rules
 from phasorlake.llm.simhash import as_hex, near_duplicates
 from phasorlake.llm.substring import substring_dedup
 
@@ -27,8 +28,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op5_simhash)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op5_simhash, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

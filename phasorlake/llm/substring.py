@@ -31,86 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasorlake.llm import common
+from phasorlake.llm.windows import CHUNK, OTHER, Windows, WordHashes
 
 WIDTH, SEED, FANOUT = 35, 8, 2
-#: Bytes of text that a kernel holds at once, beyond a single document.
-CHUNK = 2_000_000
-MEMO = 300_000
-_P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_TOP = np.uint64(2**64 - 1)
-
-
-class _Memo(dict):
-    """Word to 64-bit hash; emptied when full, so that its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-class _Chunk:
-    """The words of some documents in a row, and hashes of their windows."""
-
-    powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, texts: list[list[bytes]], memo: _Memo):
-        self.ends = np.cumsum([len(t) for t in texts])
-        self.n = int(self.ends[-1]) if len(texts) else 0
-        self.h = np.fromiter((memo[w] for t in texts for w in t), np.uint64, self.n)
-        self.doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-
-    def hashes(self, k: int, base: int) -> np.ndarray:
-        """Hash of the k words from each place on; the last k - 1 places have none."""
-        up, down = self.powers.get(base, (np.empty(0, np.uint64),) * 2)
-        if len(up) < self.n:
-            up, down = (np.full(max(CHUNK // 4, self.n), x, np.uint64) for x in (base, pow(base, -1, 2**64)))
-            up[0] = down[0] = 1
-            up, down = np.cumprod(up), np.cumprod(down)
-            if len(up) == CHUNK // 4:
-                self.powers[base] = (up, down)
-        s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.h * up[: self.n])])
-        return _mix((s[k:] - s[:-k]) * down[: self.n - k + 1])
-
-    def whole(self, k: int) -> np.ndarray:
-        """Whether the k words from each place on are of one document."""
-        return self.doc[: self.n - k + 1] == self.doc[k - 1 :]
-
-    def seeds(self, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Seed hashes by place, the least one of each window by its start, whether the window is whole."""
-        hs = np.where(self.whole(seed), self.hashes(seed, _P), _TOP)
-        span = width - seed + 1
-        least, have = hs, 1
-        while have < span:
-            step = min(have, span - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        return hs, least, self.whole(width)
-
-    def chosen(self, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and hashes of the places that are the least of a whole window."""
-        hs, least, whole = self.seeds(width, seed)
-        span = width - seed + 1
-        edge = np.zeros(span - 1, np.uint64)
-        most, have = np.concatenate([edge, np.where(whole, least, np.uint64(0)), edge]), 1
-        while have < span:
-            step = min(have, span - have)
-            most = np.maximum(most[:-step], most[step:])
-            have += step
-        at = np.flatnonzero((most == hs) & (hs != _TOP))
-        return self.doc[at], hs[at]
 
 
 _DOCS = "key long, doc_id long, same binary, n_words long, digest string, seeds array<long>, counts array<int>"
@@ -118,12 +45,12 @@ _DOCS = "key long, doc_id long, same binary, n_words long, digest string, seeds
 
 def _signatures(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
+        memo = WordHashes()
         for batch in batches:
             for rows in common.slices(batch, 2, CHUNK):
                 part = [common.words(t) for t in rows.column(2).to_pylist()]
                 seeds, counts = [[] for _ in part], [[] for _ in part]
-                c = _Chunk(part, memo)
+                c = Windows(part, memo)
                 if c.n >= width:
                     doc, h = c.chosen(width, seed)
                     order = np.lexsort((h, doc))
@@ -155,11 +82,11 @@ def _windows(width: int, seed: int):
     """The distinct windows of each document whose seed is among its repeated seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
+        memo = WordHashes()
         for batch in batches:
             for rows in common.slices(batch, 1, CHUNK):
                 keys, weights, hits = rows.column(0).to_numpy(), rows.column(2).to_numpy(), rows.column(3)
-                c = _Chunk([common.words(t) for t in rows.column(1).to_pylist()], memo)
+                c = Windows([common.words(t) for t in rows.column(1).to_pylist()], memo)
                 if c.n < width:
                     continue
                 _, least, whole = c.seeds(width, seed)
@@ -169,7 +96,7 @@ def _windows(width: int, seed: int):
                     lo, hi = firsts[i], min(firsts[i + 1], len(least))
                     asked[lo:hi] = np.isin(least[lo:hi], hits[i].values.to_numpy().view(np.uint64))
                 at = np.flatnonzero(asked & whole)
-                h, check, doc = c.hashes(width, _P)[at], (c.hashes(width, _Q)[at] >> np.uint64(32)).astype(np.uint32), c.doc[at]
+                h, check, doc = c.hashes(width)[at], (c.hashes(width, OTHER)[at] >> np.uint64(32)).astype(np.uint32), c.doc[at]
                 order = np.lexsort((check, h, doc))
                 h, check, doc = h[order], check[order], doc[order]
                 new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (check[1:] != check[:-1])]) if len(h) else np.empty(0, int)
@@ -183,15 +110,15 @@ def _removal(width: int, field: str):
     """Texts without the words that the listed windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
+        memo = WordHashes()
         for batch in batches:
             keys, texts, hits = batch.column(0), batch.column(1), batch.column(2)
             removed, kept, spans = [], [], []
             for i in range(len(keys)):
                 t = common.words(texts[i].as_py())
                 gone = np.zeros(len(t) + 1, np.int32)
-                c = _Chunk([t], memo)
-                at = np.flatnonzero(np.isin(c.hashes(width, _P), hits[i].values.to_numpy().view(np.uint64)))
+                c = Windows([t], memo)
+                at = np.flatnonzero(np.isin(c.hashes(width), hits[i].values.to_numpy().view(np.uint64)))
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + width, -1)
                 out = np.cumsum(gone[:-1]) > 0
