@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phasorlake.llm.bpe import bpe_digests
 from phasorlake.llm.common import load
 from phasorlake.llm.mixing import mix_words
 from phasorlake.llm.quality import quality_rules
@@ -23,6 +24,17 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(load(spark, sf_dir, "documents"), width=35).drop("spans")
 
 
+def tokenizer_path() -> str:
+    """A public vocabulary file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(load(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(load(spark, sf_dir, "documents"))
     return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -33,7 +45,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op5_simhash, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_bpe, op5_simhash, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
