@@ -250,3 +250,20 @@ def quality_rules(docs: DataFrame, word_limit: tuple[float, float] = WORD_LIMIT,
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, word_distance double, class_distance double")
+
+
+def keep_good(docs: DataFrame, word_limit: tuple[float, float] = WORD_LIMIT, class_limit: tuple[float, float] = CLASS_LIMIT, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality_rules`` keeps; rows aren't moved."""
+    judge = Judge(references(docs), word_limit, class_limit, min_words, min_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            for part in common.slices(batch, batch.schema.get_field_index("text"), CHUNK):
+                texts = part.column("text").to_pylist()
+                w = [common.words(t) for t in texts]
+                counts = np.array([base(*x) for x in zip(texts, w, suspects(w, memo))], np.int64).reshape(-1, 5)
+                failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
+                yield part.filter(pa.array(judge(texts)[2] & ~failed))
+
+    return docs.mapInArrow(run, docs.schema)

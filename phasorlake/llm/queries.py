@@ -14,6 +14,7 @@ from phasorlake.llm.mixing import mix_words
 from phasorlake.llm.quality import quality_rules
 from phasorlake.llm.simhash import as_hex, near_duplicates
 from phasorlake.llm.substring import substring_dedup
+from phasorlake.llm.urls import url_filter
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +45,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(load(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_bpe, op5_simhash, op8_quality_rules)}
+    ops = (op1_source_mixing, op2_substring_dedup, op3_bpe, op5_simhash, op8_quality_rules, op9_url_filters, pipeline)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
