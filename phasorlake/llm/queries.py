@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from phasorlake.llm.bpe import bpe_digests
 from phasorlake.llm.common import load
+from phasorlake.llm.gif import text_media
 from phasorlake.llm.mixing import mix_words
 from phasorlake.llm.quality import quality_rules
 from phasorlake.llm.simhash import as_hex, near_duplicates
@@ -49,6 +50,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(load(spark, sf_dir, "pages"))
 
 
+def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(load(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -56,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_source_mixing, op2_substring_dedup, op3_bpe, op5_simhash, op8_quality_rules, op9_url_filters, pipeline)
+    ops = (op1_source_mixing, op2_substring_dedup, op3_bpe, op5_simhash, op8_quality_rules, op9_url_filters, op10_gif_media, pipeline)
     return {f.__name__: f for f in ops}
 
 
