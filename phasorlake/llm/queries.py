@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasorlake.llm.bpe import bpe_digests
+from phasorlake.llm.chat import chat_items
 from phasorlake.llm.common import load
 from phasorlake.llm.gif import text_media
+from phasorlake.llm.html import main_text
 from phasorlake.llm.mixing import mix_words
 from phasorlake.llm.quality import quality_rules
 from phasorlake.llm.simhash import as_hex, near_duplicates
@@ -42,6 +44,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(load(spark, sf_dir, "pages"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = chat_items(load(spark, sf_dir, "conversations"))
+    return items.select("conv_id", "block", "step", "place", "turn", "kind", "status", F.size("errors").alias("n_errors"), F.sha2("json", 256).alias("json_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents"))
 
@@ -61,12 +72,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_source_mixing, op2_substring_dedup, op3_bpe, op5_simhash, op8_quality_rules, op9_url_filters, op10_gif_media, pipeline)
+    ops = (op1_source_mixing, op2_substring_dedup, op3_bpe, op5_simhash, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_url_filters, op10_gif_media, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op2_substring_dedup": OP2_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_chat_formatting": OP7_SQL}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -100,3 +111,9 @@ c AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM c
 """
+
+#: The tables hold no tool calls, so every message is one plain item.
+OP7_SQL = """
+SELECT conv_id, turn AS block, 0 AS step, 0 AS place, turn, 'message' AS kind, 'plain' AS status, 0 AS n_errors,
+  sha256(json_object('content', text, 'role', role)::VARCHAR) AS json_sha256 FROM conversations
+"""
