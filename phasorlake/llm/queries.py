@@ -13,6 +13,7 @@ from phasorlake.llm.chat import chat_items
 from phasorlake.llm.common import load
 from phasorlake.llm.gif import text_media
 from phasorlake.llm.html import main_text
+from phasorlake.llm.lm import lm_score
 from phasorlake.llm.mixing import mix_words
 from phasorlake.llm.quality import quality_rules
 from phasorlake.llm.simhash import as_hex, near_duplicates
@@ -39,6 +40,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(load(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(load(spark, sf_dir, "documents"))
     return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -72,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_source_mixing, op2_substring_dedup, op3_bpe, op5_simhash, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_url_filters, op10_gif_media, pipeline)
+    ops = (op1_source_mixing, op2_substring_dedup, op3_bpe, op4_lm_scoring, op5_simhash, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_url_filters, op10_gif_media, pipeline)
     return {f.__name__: f for f in ops}
 
 
