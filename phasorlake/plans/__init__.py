@@ -16,9 +16,9 @@ def cell(value: Column, size: float) -> Column:
 def neighbours(df: DataFrame, columns: Sequence[str], size: float, reach: int = 1, names: Sequence[str] | None = None) -> DataFrame:
     """Rows once for each grid cell up to ``reach`` cells away: the build side of a range join as an equi-join."""
     names = names or [f"_c{i}" for i in range(len(columns))]
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
     for c, n in zip(columns, names):
-        df = df.withColumn(n, F.explode(F.transform(steps, lambda s, c=c: cell(F.col(c), size) + s)))
+        home = cell(F.col(c), size)
+        df = df.withColumn(n, F.explode(F.sequence(home - F.lit(reach), home + F.lit(reach))))
     return df
 
 

@@ -1,6 +1,6 @@
 """The engine's queries and their SQL, by name."""
 
-from phasorlake.queries import symbolic
+from phasorlake.queries import spatial, stateful, symbolic
 from phasorlake.queries.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "symbolic"]
+__all__ = ["QUERIES", "SQL", "spatial", "stateful", "symbolic"]
