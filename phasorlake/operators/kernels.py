@@ -17,18 +17,21 @@ def resonator(signal: np.ndarray, books: list[np.ndarray], iters: int = 40, floo
     """Indices of one codeword from each book whose binding is the signal: (indices, score, converged, rounds).
 
     All factors' estimates start as their book's sum; each is refined by unbinding the
-    others and projecting on its book, until no index has changed for three rounds."""
+    others and projecting on its book, with weights that favour the best, until no index
+    has changed for three rounds."""
     d = len(signal)
     unit = lambda v: v / np.maximum(np.abs(v), 1e-12)
     est = [unit(b.sum(0)) for b in books]
     index, still = [-1] * len(books), 0
     for step in range(1, iters + 1):
-        new = []
-        for k, b in enumerate(books):
+        found = []
+        for k, b in enumerate(books):  # each factor sees the newest estimates of the others
             rest = np.conj(np.prod([e for i, e in enumerate(est) if i != k], axis=0)) if len(books) > 1 else np.ones(d)
-            new.append((np.conj(b) @ (signal * rest)).real / d)
-        est = [unit(np.maximum(s, 0) @ b) if (s > 0).any() else e for s, b, e in zip(new, books, est)]
-        found = [int(s.argmax()) for s in new]
+            score = (np.conj(b) @ (signal * rest)).real / d
+            found.append(int(score.argmax()))
+            gain = np.maximum(score, 0) ** 2  # squared: of several objects one wins
+            if gain.any():
+                est[k] = unit(gain @ b)
         still = still + 1 if found == index else 0
         index = found
         if still >= 3:
