@@ -1,6 +1,6 @@
 """The engine's queries and their SQL, by name."""
 
-from phasorlake.queries import fields, spatial, stateful, symbolic
+from phasorlake.queries import fields, spatial, stateful, studies, symbolic
 from phasorlake.queries.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "fields", "spatial", "stateful", "symbolic"]
+__all__ = ["QUERIES", "SQL", "fields", "spatial", "stateful", "studies", "symbolic"]
