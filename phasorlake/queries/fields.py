@@ -39,7 +39,7 @@ def frequency_table(spark, d):
 
 
 @query(f"WITH {_S}, {_W}, {_F} SELECT vec_id, round(sum(re*cos(w0*x+w1*y) + im*sin(w0*x+w1*y))/{D}, 4) + 0.0 AS alpha, round(sum(ore*cos(w0*x+w1*y) + oim*sin(w0*x+w1*y))/{D}, 4) + 0.0 AS one FROM p, w JOIN f USING (j) GROUP BY vec_id")
-def field_holo(spark, d):
+def field_bundle(spark, d):
     """Two channels of one field, encoded and read in a pass each."""
     s, t = _splats(spark, d), _table(spark)
     out = E.decode(s.filter("vec_id % 20 = 0").select("vec_id", "x", "y"), "vec_id", E.encode(s, t, ["x", "y"], ["alpha", "one"]), t, ["x", "y"], ["alpha", "one"], D)

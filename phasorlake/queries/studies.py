@@ -45,7 +45,7 @@ def coarse_fine(spark, d):
 n AS (SELECT vec_id, x, y, ci, cj FROM p, (SELECT DISTINCT ci, cj FROM c) k WHERE (x - least(greatest(x, ci*0.25), ci*0.25+0.25))**2 + (y - least(greatest(y, cj*0.25), cj*0.25+0.25))**2 <= 0.2*0.2)
 SELECT vec_id, round(sum(re*cos(w0*x+w1*y)+im*sin(w0*x+w1*y))/{D}, 4) + 0.0 AS value, count(DISTINCT (ci, cj)) AS consulted FROM n JOIN c USING (ci, cj) JOIN w USING (j) GROUP BY vec_id"""
 )
-def cells_holo(spark, d):
+def cells_bundle(spark, d):
     s, t = _splats(spark, d), _table(spark)
     out = T.cell_read(SPACE, s.filter("vec_id % 20 = 0"), "vec_id", s, t, ["x", "y"], 0.25, 0.2, "alpha")
     return out.select("vec_id", (F.round("value", 4) + F.lit(0.0)).alias("value"), "consulted")

@@ -93,15 +93,15 @@ def membership_semi(spark, d):
 
 
 @query(
-    f"""WITH m AS (SELECT j, sum(cos({theta(D, 's_name')})) AS re, sum(sin({theta(D, 's_name')})) AS im FROM (SELECT s_name FROM supplier WHERE s_suppkey <= 10), {js(D)} GROUP BY j),
-b AS (SELECT s_name, j, {theta(D, 's_name')} AS t FROM (SELECT s_name FROM supplier WHERE s_suppkey <= 20), {js(D)})
-SELECT s_name, {s6(f'sum(re*cos(t) + im*sin(t)) / {D}')} AS score, sum(re*cos(t) + im*sin(t)) / {D} >= 0.5 AS member FROM m JOIN b USING (j) GROUP BY s_name"""
+    f"""WITH m AS (SELECT j, sum(cos({theta(D, 'n_name')})) AS re, sum(sin({theta(D, 'n_name')})) AS im FROM (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')), {js(D)} GROUP BY j),
+b AS (SELECT n_name, j, {theta(D, 'n_name')} AS t FROM nation, {js(D)})
+SELECT n_name, {s6(f'sum(re*cos(t) + im*sin(t)) / {D}')} AS score, sum(re*cos(t) + im*sin(t)) / {D} >= 0.5 AS member FROM m JOIN b USING (j) GROUP BY n_name"""
 )
 def membership_score(spark, d):
-    """Members are the suppliers up to key 10, probes those up to 20: the table of the demonstration."""
-    s = load(spark, d, "supplier").filter("s_suppkey <= 20")
-    out = S.set_scores(SPACE, S.set_bundle(SPACE, s.filter("s_suppkey <= 10"), "s_name"), s, "s_name")
-    return out.select("s_name", r6("score").alias("score"), (F.col("score") >= 0.5).alias("member"))
+    """Members are the nations of two regions, probes all nations."""
+    pairs, _ = _nations(spark, d)
+    out = S.set_scores(SPACE, S.set_bundle(SPACE, pairs.filter("r_name IN ('ASIA', 'EUROPE')"), "n_name"), pairs, "n_name")
+    return out.select("n_name", r6("score").alias("score"), (F.col("score") >= 0.5).alias("member"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -121,30 +121,29 @@ def frequency_sketch(spark, d):
 
 
 def _eav(spark, d):
-    p = load(spark, d, "part").filter("p_partkey <= 8")
-    roles = F.array(*[F.struct(F.lit(k).alias("role"), F.concat(F.lit(k + "="), F.col(c).cast("string")).alias("filler")) for k, c in (("brand", "p_brand"), ("type", "p_type"), ("size", "p_size"))])
-    return p.select("p_partkey", F.explode(roles).alias("x")).select("p_partkey", "x.*")
+    """Nations as records of name, region and first letter of the region."""
+    roles = F.array(*[F.struct(F.lit(k).alias("role"), F.concat(F.lit(k + "="), v).alias("filler")) for k, v in (("name", F.col("n_name")), ("region", F.col("r_name")), ("letter", F.substring("r_name", 1, 1)))])
+    return _nations(spark, d)[0].select("n_name", F.explode(roles).alias("x")).select("n_name", "x.*")
 
 
-_EAV = "(SELECT p_partkey, 'brand' AS role, 'brand=' || p_brand AS filler FROM part WHERE p_partkey <= 8 UNION ALL SELECT p_partkey, 'type', 'type=' || p_type FROM part WHERE p_partkey <= 8 UNION ALL SELECT p_partkey, 'size', 'size=' || p_size FROM part WHERE p_partkey <= 8)"
+_EAV = "(SELECT n_name, unnest(['name', 'region', 'letter']) AS role, unnest(['name=' || n_name, 'region=' || r_name, 'letter=' || substr(r_name, 1, 1)]) AS filler FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
 @query(
-    f"""WITH e AS {_EAV}, m AS (SELECT p_partkey, j, sum(cos({theta(D, 'role')} + {theta(D, 'filler')})) AS re, sum(sin({theta(D, 'role')} + {theta(D, 'filler')})) AS im FROM e, {js(D)} GROUP BY p_partkey, j),
+    f"""WITH e AS {_EAV}, m AS (SELECT n_name, j, sum(cos({theta(D, 'role')} + {theta(D, 'filler')})) AS re, sum(sin({theta(D, 'role')} + {theta(D, 'filler')})) AS im FROM e, {js(D)} GROUP BY n_name, j),
 r AS (SELECT role, j, {theta(D, 'role')} AS t FROM (SELECT DISTINCT role FROM e), {js(D)}), f AS (SELECT filler, j, {theta(D, 'filler')} AS t FROM (SELECT DISTINCT filler FROM e), {js(D)}),
-s AS (SELECT p_partkey, role, filler AS label, sum((m.re*cos(r.t)+m.im*sin(r.t))*cos(f.t) + (m.im*cos(r.t)-m.re*sin(r.t))*sin(f.t)) / {D} AS score FROM m JOIN r USING (j) JOIN f USING (j) GROUP BY ALL)
-SELECT p_partkey, role, label, {s6('score')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey, role ORDER BY score DESC, label) = 1"""
+s AS (SELECT n_name, role, filler AS label, sum((m.re*cos(r.t)+m.im*sin(r.t))*cos(f.t) + (m.im*cos(r.t)-m.re*sin(r.t))*sin(f.t)) / {D} AS score FROM m JOIN r USING (j) JOIN f USING (j) GROUP BY ALL)
+SELECT n_name, role, label, {s6('score')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY n_name, role ORDER BY score DESC, label) = 1"""
 )
 def record_get(spark, d):
-    """A few parts as records; the table is the demonstration's own."""
     e = _eav(spark, d)
-    out = S.record_get(SPACE, S.records(SPACE, e, "p_partkey", "role", "filler"), "p_partkey", e, "role", e, "filler")
-    return out.select("p_partkey", "role", "label", r6("score").alias("score"))
+    out = S.record_get(SPACE, S.records(SPACE, e, "n_name", "role", "filler"), "n_name", e, "role", e, "filler")
+    return out.select("n_name", "role", "label", r6("score").alias("score"))
 
 
-@query(f"WITH e AS {_EAV} SELECT x.p_partkey AS a, y.p_partkey AS b, x.role, x.filler AS asked, y.filler AS answer FROM e x JOIN e y ON x.role = y.role AND x.p_partkey <> y.p_partkey")
+@query(f"WITH e AS {_EAV} SELECT x.n_name AS a, y.n_name AS b, x.role, x.filler AS asked, y.filler AS answer FROM e x JOIN e y ON x.role = y.role AND x.n_name <> y.n_name")
 def record_analogy(spark, d):
-    return S.analogy_exact(_eav(spark, d), "p_partkey", "role", "filler")
+    return S.analogy_exact(_eav(spark, d), "n_name", "role", "filler")
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS pop FROM events")
@@ -152,25 +151,24 @@ def stack_pop(spark, d):
     return S.stack_order(load(spark, d, "events"), "user_id", [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "pop")
 
 
-_SEQ = "(SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT - 1 AS p FROM events WHERE user_id < 10 QUALIFY p < 8)"
+_SEQ = "(SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey)::INT - 1 AS p FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
 @query(
-    f"""WITH e AS {_SEQ}, m AS (SELECT user_id, (j - p) % {D} + CASE WHEN j < p THEN {D} ELSE 0 END AS j, sum(cos({theta(D, 'event_type')})) AS re, sum(sin({theta(D, 'event_type')})) AS im FROM e, {js(D)} GROUP BY ALL),
-k AS (SELECT event_type AS label, j, {theta(D, 'event_type')} AS t FROM (SELECT DISTINCT event_type FROM events), {js(D)}),
-s AS (SELECT user_id, p, label, sum(re*cos(t) + im*sin(t)) / {D} AS score FROM m, (SELECT unnest(range(8))::INT AS p) x JOIN k ON k.j = (m.j + x.p) % {D} GROUP BY ALL)
-SELECT user_id, p, label, {s6('score')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY user_id, p ORDER BY score DESC, label) = 1"""
+    f"""WITH e AS {_SEQ}, m AS (SELECT r_name, (j - p) % {D} + CASE WHEN j < p THEN {D} ELSE 0 END AS j, sum(cos({theta(D, 'n_name')})) AS re, sum(sin({theta(D, 'n_name')})) AS im FROM e, {js(D)} GROUP BY ALL),
+k AS (SELECT n_name AS label, j, {theta(D, 'n_name')} AS t FROM nation, {js(D)}),
+s AS (SELECT r_name, p, label, sum(re*cos(t) + im*sin(t)) / {D} AS score FROM m, (SELECT DISTINCT p FROM e) x JOIN k ON k.j = (m.j + x.p) % {D} GROUP BY ALL)
+SELECT r_name, p, label, {s6('score')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY r_name, p ORDER BY score DESC, label) = 1"""
 )
 def sequence_decode(spark, d):
-    """The first eight events of the demonstration's users, read at each position."""
+    """Each region's nations in order of key, read back at every position."""
     from pyspark.sql import Window
 
-    e = load(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = e.filter("user_id < 10").withColumn("p", F.row_number().over(w) - 1).filter("p < 8")
-    positions = spark.range(8).select(F.col("id").cast("int").alias("p"))
-    out = S.sequence_decode(SPACE, S.sequence_bundle(SPACE, s, "user_id", "p", "event_type"), "user_id", positions, "p", e, "event_type")
-    return out.select("user_id", "p", "label", r6("score").alias("score"))
+    n, r = load(spark, d, "nation"), load(spark, d, "region")
+    w = Window.partitionBy("r_name").orderBy("n_nationkey")
+    s = n.join(r, n.n_regionkey == r.r_regionkey).withColumn("p", F.row_number().over(w) - 1).select("r_name", "n_name", "p")
+    out = S.sequence_decode(SPACE, S.sequence_bundle(SPACE, s, "r_name", "p", "n_name"), "r_name", s, "p", s, "n_name")
+    return out.select("r_name", "p", "label", r6("score").alias("score"))
 
 
 _GRAMS = "g AS (SELECT {key}, substr(t, i, 3) AS gram, count(*) AS n FROM (SELECT {key}, t, unnest(range(1, greatest(1, len(t) - 1))) AS i FROM (SELECT {key}, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS t FROM {table}) WHERE len(t) >= 3) GROUP BY ALL)"
@@ -221,12 +219,12 @@ def _top(spark, d):
 
 @query(
     f"""WITH {_TOP}, m AS (SELECT j, sum(cos({theta(D, 'src')} + {theta(D, 'dst', f'(j+1)%{D}')})) AS re, sum(sin({theta(D, 'src')} + {theta(D, 'dst', f'(j+1)%{D}')})) AS im FROM f, {js(D)} GROUP BY j),
-p AS (SELECT a.n_name AS src, b.n_name AS dst FROM nation a, nation b WHERE a.n_nationkey < 5)
+p AS (SELECT a.n_name AS src, b.n_name AS dst FROM nation a, nation b)
 SELECT src, dst, {s6(f"sum(re*cos(t) + im*sin(t)) / {D}")} AS score, sum(re*cos(t) + im*sin(t)) / {D} >= 0.5 AS edge FROM (SELECT src, dst, j, {theta(D, 'src')} + {theta(D, 'dst', f'(j+1)%{D}')} AS t FROM p, {js(D)}) JOIN m USING (j) GROUP BY src, dst"""
 )
 def graph_has_edge(spark, d):
     n = load(spark, d, "nation")
-    probes = n.filter("n_nationkey < 5").select(F.col("n_name").alias("src")).crossJoin(n.select(F.col("n_name").alias("dst")))
+    probes = n.select(F.col("n_name").alias("src")).crossJoin(n.select(F.col("n_name").alias("dst")))
     out = S.graph_has_edge(SPACE, S.graph_bundle(SPACE, _top(spark, d)), probes)
     return out.select("src", "dst", r6("score").alias("score"), (F.col("score") >= 0.5).alias("edge"))
 
