@@ -5,16 +5,17 @@ the references of its corpus's languages by Jensen-Shannon distance (base 2, 0 t
 
 References are counted over the whole table: for every language, the characters in
 each class and the occurrences of each word. A common word has at least
-``1 / MOST_WORDS`` of its language's words and a language at least ``1 / MOST_LANGUAGES``
-of all words, so the driver and each task get at most MOST_WORDS x MOST_LANGUAGES x
-BUCKETS rows, whatever the corpus. A large group of copies must not pull a reference
+``1 / MOST_WORDS`` of its language's words, so the driver and each task get at most
+MOST_WORDS rows for a language. Every language of LEAST_WORDS words has a reference,
+however small its share of the table. A large group of copies must not pull a reference
 towards itself: documents are put in buckets by the least hash of their word pairs,
 so that copies and near copies share one, and a share is its median over the buckets.
 
 A document is rejected if it is far from every reference. A short text's histogram is
 noisy, as one over the root of its length, and so the limits fall with the length:
 base + slope / sqrt(letters-only words, or characters other than white space). A test
-passes a text below its least length, and there is no reference of few words.
+passes a text below its least length, and one whose language has too few words for a
+reference: another language's says nothing of it.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from phasorlake.llm import common
 from phasorlake.llm.windows import ONE, Windows, WordHashes
 
-MOST_WORDS, MOST_LANGUAGES, BUCKETS, LEAST_WORDS = 200, 50, 16, 2000
+MOST_WORDS, BUCKETS, LEAST_WORDS = 200, 16, 2000
 CHUNK = 1_000_000
 SYMBOLS = "#*$%&|<>"
 _PURE = re.compile(r"[^\W\d_]+")
@@ -89,35 +90,41 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*flat)], ["lang", "bucket", "kind", "word", "n"])
 
 
+def _by_lang(rows: list) -> dict[str, list]:
+    out: dict[str, list] = {}
+    for r in rows:
+        out.setdefault(r.lang, []).append(r)
+    return out
+
+
 def references(docs: DataFrame) -> dict[str, tuple[dict[str, float], np.ndarray]]:
     """Language to (share of each common word, shares of the character classes)."""
     rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(_tally, "lang string, bucket long, kind string, word string, n long")
     counts = common.keep(rows.groupBy("lang", "bucket", "kind", "word").agg(F.sum("n").alias("n")), "counts")
     totals = counts.filter("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("total"))
-    every = totals.agg(F.sum("total").alias("every"))
-    large = totals.join(F.broadcast(every), F.col("total") * MOST_LANGUAGES >= F.col("every")).filter(F.col("total") >= LEAST_WORDS)
-    large = F.broadcast(large.select("lang", "total"))  # MOST_LANGUAGES rows at most
+    large = F.broadcast(totals.filter(F.col("total") >= LEAST_WORDS))  # a row for each language
     words = counts.filter("kind = 'w'").groupBy("lang", "word").agg(F.sum("n").alias("n")).join(large, "lang")
     frequent = F.broadcast(words.filter(F.col("n") * MOST_WORDS >= F.col("total")).select("lang", "word"))  # MOST_WORDS for each
-    by_word = counts.filter("kind = 'w'").join(frequent, ["lang", "word"]).select("lang", "bucket", "word", "n").collect()
-    by_class = counts.filter("kind = 'c'").join(large, "lang").select("lang", "bucket", "word", "n").collect()
-    sizes = counts.filter("kind = 'w'").join(large, "lang").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    # a row for each word, with its buckets
+    each = F.collect_list(F.struct("bucket", "n")).alias("buckets")
+    by_word = _by_lang(counts.filter("kind = 'w'").join(frequent, ["lang", "word"]).groupBy("lang", "word").agg(each).collect())
+    by_class = _by_lang(counts.filter("kind = 'c'").join(large, "lang").groupBy("lang", "word").agg(each).collect())
+    sizes = counts.filter("kind = 'w'").join(large, "lang").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(each).collect()
     common.drop(docs.sparkSession, counts)
     out = {}
-    for lang in sorted({r.lang for r in sizes}):
+    for lang, buckets in sorted((r.lang, r.buckets) for r in sizes):
         total = np.zeros(BUCKETS)
         kinds = np.zeros((BUCKETS, len(CLASSES)))
-        for r in sizes:
-            if r.lang == lang:
-                total[r.bucket] = r.n
-        index = {w: i for i, w in enumerate(sorted({r.word for r in by_word if r.lang == lang}))}
+        for b in buckets:
+            total[b.bucket] = b.n
+        index = {w: i for i, w in enumerate(sorted(r.word for r in by_word.get(lang, [])))}
         n = np.zeros((BUCKETS, len(index)))
-        for r in by_word:
-            if r.lang == lang:
-                n[r.bucket, index[r.word]] = r.n
-        for r in by_class:
-            if r.lang == lang:
-                kinds[r.bucket, CLASSES.index(r.word)] = r.n
+        for r in by_word.get(lang, []):
+            for b in r.buckets:
+                n[b.bucket, index[r.word]] = b.n
+        for r in by_class.get(lang, []):
+            for b in r.buckets:
+                kinds[b.bucket, CLASSES.index(r.word)] = b.n
         full = total > 0
         share = np.median(n[full] / total[full, None], axis=0)
         kind = np.median(kinds[full] / kinds[full].sum(1, keepdims=True), axis=0)
@@ -187,24 +194,26 @@ class Judge:
     """Distances of texts to the nearest references, and the verdicts."""
 
     def __init__(self, refs: dict, word_limit: tuple[float, float], class_limit: tuple[float, float], min_words: int, min_chars: int):
+        self.langs = frozenset(refs)
         self.refs = [(list(s), np.array([*s.values(), max(0.0, 1 - sum(s.values()))]), c) for s, c in refs.values()]
         self.word_limit, self.class_limit, self.min_words, self.min_chars = word_limit, class_limit, max(1, min_words), max(1, min_chars)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str | None], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word distances and class distances (NaN where not tested), and whether none is over its limit."""
+        tested = np.array([x is None or x in self.langs for x in langs], bool)
         by_word, by_class = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
         good = np.ones(len(texts), bool)
         if self.refs and texts:
             kinds = np.array([classes(t or "") for t in texts], float)
             total = kinds.sum(1)
-            at = np.flatnonzero(total >= self.min_chars)
+            at = np.flatnonzero(tested & (total >= self.min_chars))
             if len(at):
                 p = kinds[at] / total[at, None]
                 by_class[at] = np.min([distance(p, c) for _, _, c in self.refs], axis=0)
                 good[at] &= by_class[at] <= self.class_limit[0] + self.class_limit[1] / np.sqrt(total[at])
             counts = [Counter(pure_words(t or "")) for t in texts]
             total = np.array([sum(c.values()) for c in counts], float)
-            at = np.flatnonzero(total >= self.min_words)
+            at = np.flatnonzero(tested & (total >= self.min_words))
             if len(at):
                 each = []
                 for index, q, _ in self.refs:
@@ -225,10 +234,11 @@ def quality_rules(docs: DataFrame, word_limit: tuple[float, float] = WORD_LIMIT,
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (under 20 words, or over 30 % of them in repeated windows of 8), kept,
     and the distances word_distance and class_distance to the nearest reference (null
-    if the text is too short for the test, or there is no reference).
+    if the text is too short for the test, or its lang has no reference).
 
     Null and empty texts have no words and fail. A null lang is left out of the
-    references; the document is still judged, against all of them. Repeated rows are
+    references; the document is still judged, against all of them. A document whose lang
+    has no reference isn't tested. Repeated rows are
     counted and judged as often as they come. An empty table gives no rows. Other
     columns are ignored, whatever their names.
     """
@@ -243,12 +253,12 @@ def quality_rules(docs: DataFrame, word_limit: tuple[float, float] = WORD_LIMIT,
                 w = [common.words(t) for t in texts]
                 counts = np.array([base(*x) for x in zip(texts, w, suspects(w, memo))], np.int64).reshape(-1, 5)
                 failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
-                by_word, by_class, good = judge(texts)
+                by_word, by_class, good = judge(texts, part.column(2).to_pylist())
                 columns = [part.column(0), *(pa.array(x) for x in (*counts.T, failed, good & ~failed))]
                 columns += [pa.array(x, pa.float64(), from_pandas=True) for x in (by_word, by_class)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, word_distance double, class_distance double")
 
 
@@ -264,6 +274,6 @@ def keep_good(docs: DataFrame, word_limit: tuple[float, float] = WORD_LIMIT, cla
                 w = [common.words(t) for t in texts]
                 counts = np.array([base(*x) for x in zip(texts, w, suspects(w, memo))], np.int64).reshape(-1, 5)
                 failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
-                yield part.filter(pa.array(judge(texts)[2] & ~failed))
+                yield part.filter(pa.array(judge(texts, part.column("lang").cast(pa.string()).to_pylist())[2] & ~failed))
 
     return docs.mapInArrow(run, docs.schema)

@@ -58,3 +58,16 @@ def test_empty_table_and_no_references(spark):
     assert q.quality_rules(spark.createDataFrame([], SCHEMA)).collect() == []
     got = q.quality_rules(spark.createDataFrame([(1, "w%d " * 30 % tuple(range(30)), None, "", 0)], SCHEMA)).collect()
     assert got[0].kept and got[0].word_distance is None
+
+
+def test_small_languages(spark, monkeypatch):
+    monkeypatch.setitem(FUNCTION, "de", ["der", "die", "und", "zu", "ein"])
+    r = random.Random(4)
+    data = [(i, prose(r, "en", 450), "en", "", 1) for i in range(300)]
+    data += [(1000 + i, prose(r, "fr", 400), "fr", "", 1) for i in range(6)]  # 2,400 words, under 2 %
+    data += [(2000, prose(r, "de", 300), "de", "", 1), (2001, "a b c d e f g h " * 30, "de", "", 1)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    got = {x.doc_id: x for x in q.quality_rules(df).collect()}
+    assert {d for d, x in got.items() if not x.kept} == {2001}
+    assert got[1000].word_distance < 0.2 and got[2000].word_distance is None and got[2000].class_distance is None
+    assert {x.doc_id for x in q.keep_good(df).collect()} == set(got) - {2001}
