@@ -107,5 +107,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Exactly one row of ``docs`` of each component, all columns: the one of the least doc_id, any other before a null.
+
+    A row is known by 128 bits over all its columns, so equal rows, which nothing tells
+    apart, are counted as one key; texts are moved only for keys that come repeatedly.
+    """
+    flat = [c for n in docs.columns for c in (F.col(n), F.isnull(n))]  # a null alone leaves a hash as it was
+    keyed = docs.withColumns({"_k1": F.xxhash64(F.lit(1), *flat), "_k2": F.xxhash64(F.lit(2), *flat)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(3)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bits.view(np.int64), pa.int64())], ["_k1", "_k2", "doc_id", "fp"])
+
+    rows = keyed.select("_k1", "_k2", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marks = rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, fp long").groupBy("_k1", "_k2", "doc_id", "fp").agg(F.count("*").alias("n"))
+    marks = common.keep(marks, "fingerprints")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_k1", "_k2")).alias("first")
+    distinct = common.keep(marks.groupBy("fp").agg(first), "distinct")
+    roots = components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
+    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = common.keep(placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "first"), "components")
+    chosen = (F.col("_k1") == F.col("first._k1")) & (F.col("_k2") == F.col("first._k2"))
+    fate = marks.join(named, "fp").select("_k1", "_k2", chosen.alias("chosen"), "n").filter("NOT chosen OR n > 1")
+    fate = common.keep(fate, "lost")
+    again = keyed.join(fate.filter("chosen").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    rest = keyed.join(fate.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti")
+    return rest.select(*docs.columns).unionByName(again.select(*docs.columns))
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -93,3 +93,15 @@ def test_run_chains_the_stages(spark):
 def test_empty_input(spark, name, stage):
     empty = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     assert stage(spark, p.common.keep(empty, "empty"), "").count() == 0
+
+
+def test_repeated_rows_are_one(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(7, text["a"], "en", "s", 1)] * 3 + [(8, text["a"], "en", "s", 1), (9, text["b"], "en", "s", 1), (9, text["b"], "en", "other", 1)]
+    # one doc_id with two texts, rows without doc_id, and null columns side by side
+    rows += [(9, text["a"], "en", "s", 1), (None, text["c"], None, "s", 1), (None, text["c"], None, "s", 1), (None, text["c"], "s", None, 1), (None, text["b"], "en", "s", 1), (10, text["d"], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = p.common.keep(p.near(spark, p.common.keep(docs, "docs"), ""), "single")
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=lambda r: r[1])
+    assert got == [(7, text["a"]), (9, text["b"]), (None, text["c"]), (10, text["d"])] and left.columns == COLUMNS
+    assert {r.text for r in p.substring(spark, left, "").collect()} == set(text.values())
