@@ -107,14 +107,25 @@ def both_scores(a: DataFrame, b: DataFrame, key: str, weight: float = 1.0) -> Da
     return a.select(key, F.col("score").cast("double").alias("_a")).join(b.select(key, F.col("score").cast("double").alias("_b")), key, "full").select(key, t.alias("total"))
 
 
-def supersession(claims: DataFrame, view: str = "_claims", depth: int = 50) -> DataFrame:
-    """(root, id, step): each claim's chain to what it supersedes, newest first; circles end."""
-    claims.select("id", "supersedes").createOrReplaceTempView(view)
-    return claims.sparkSession.sql(
-        f"""WITH RECURSIVE chain(root, id, step, path) AS (SELECT id, id, 0, array(id) FROM {view}
-        UNION ALL SELECT c.root, k.supersedes, c.step + 1, array_append(c.path, k.supersedes) FROM chain c JOIN {view} k ON k.id = c.id
-        WHERE k.supersedes IS NOT NULL AND NOT array_contains(c.path, k.supersedes) AND c.step < {depth}) SELECT root, id, step FROM chain"""
-    )
+def supersession(claims: DataFrame) -> DataFrame:
+    """(root, id, step): each claim's chain to what it supersedes, newest first, to its end; circles end.
+
+    By doubling: paths of exactly n links are put before all shorter ones, so a chain of
+    any length takes as many rounds as its length has binary digits."""
+    links = claims.filter("supersedes IS NOT NULL AND id <> supersedes").select(F.col("id").alias("root"), F.col("supersedes").alias("id"))
+    nodes = claims.select(F.col("id").alias("root")).union(links.select("id")).distinct()
+    tails = nodes.select("root", F.col("root").alias("id"), F.array("root").alias("path")).localCheckpoint()  # fewer than n links
+    jumps = links.withColumn("path", F.array("root", "id")).localCheckpoint()  # n links
+    while not jumps.isEmpty():
+
+        def after(rest: DataFrame, jumps: DataFrame = jumps) -> DataFrame:
+            rest = rest.select(F.col("root").alias("_at"), F.col("id").alias("_id"), F.slice("path", 2, F.size("path")).alias("_more"))
+            met = jumps.join(rest, F.col("id") == F.col("_at")).filter(~F.arrays_overlap("path", "_more"))
+            return met.select("root", F.col("_id").alias("id"), F.concat("path", "_more").alias("path"))
+
+        tails, jumps = tails.unionByName(after(tails)).localCheckpoint(), after(jumps).localCheckpoint()
+    rows = claims.select(F.col("id").alias("_row"))
+    return rows.join(tails, F.col("_row").eqNullSafe(F.col("root"))).select("root", "id", (F.size("path") - 1).alias("step"))
 
 
 def registry_errors(claims: DataFrame) -> DataFrame:

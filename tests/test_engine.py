@@ -136,3 +136,14 @@ def test_block_quantisation_and_tiles(spark):
     assert scenes.tile_starts(0, 5, 10, 0.5) == [0] and scenes.tile_starts(0, 20, 10, 0.5) == [0, 5.0, 10]
     m = structures.set_metrics(df, df.filter("j < 0"), ["j"]).first()
     assert (m.precision, m.recall, m.exact) == (1.0, 0.0, False)
+
+
+def test_long_chain_of_claims_is_walked_to_its_end(spark):
+    n = 130
+    rows = [(f"c@{i}", f"c@{i - 1}" if i else None) for i in range(n)]
+    got = textual.supersession(spark.createDataFrame(rows, "id string, supersedes string").coalesce(1))
+    assert sorted((r.step, r.id) for r in got.filter(f"root = 'c@{n - 1}'").collect()) == [(k, f"c@{n - 1 - k}") for k in range(n)]
+    # an id with two rows, a claim that isn't there, a circle behind a claim, no id
+    few = spark.createDataFrame([("a", "b"), ("a", "x"), ("b", None), ("p", "q"), ("q", "r"), ("r", "q"), (None, "b")], "id string, supersedes string").coalesce(1)
+    want = [("a", "a", 0)] * 2 + [("a", "b", 1), ("a", "x", 1)] * 2 + [("b", "b", 0), ("p", "p", 0), ("p", "q", 1), ("p", "r", 2), ("q", "q", 0), ("q", "r", 1), ("r", "q", 1), ("r", "r", 0), (None, None, 0)]
+    assert sorted(map(str, map(tuple, textual.supersession(few).collect()))) == sorted(map(str, want))
