@@ -247,15 +247,32 @@ class Lexicon:
 
 
 def mapped(block: bytes) -> mmap.mmap:
-    """The block as a read-only map of a local file that this machine's workers share."""
-    path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(block).hexdigest()[:24]}")
-    if not os.path.exists(path) or os.path.getsize(path) != len(block):
-        fd, part = tempfile.mkstemp(dir=tempfile.gettempdir())
+    """The block as a read-only map of a file in the task's work folder, which this machine's workers share.
+
+    The file holds nothing but what was broadcast: one that is absent, or that isn't the
+    block, is written anew and put in place as a whole.
+    """
+    digest = hashlib.sha256(block).hexdigest()
+    try:
+        from pyspark import SparkFiles
+
+        folder = SparkFiles.getRootDirectory()
+    except Exception:  # outside of Spark, as in tests
+        folder = tempfile.gettempdir()
+    folder = folder if folder and os.path.isdir(folder) and os.access(folder, os.W_OK) else tempfile.gettempdir()
+    path = os.path.join(folder, f"lexicon-{digest[:24]}")
+    for _ in range(2):
+        if os.path.exists(path):
+            with open(path, "rb") as f:
+                out = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            if hashlib.sha256(out).hexdigest() == digest:
+                return out
+            out.close()
+        fd, part = tempfile.mkstemp(dir=folder)
         with os.fdopen(fd, "wb") as f:
             f.write(block)
         os.replace(part, path)
-    with open(path, "rb") as f:
-        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    raise OSError(f"{path} doesn't hold what was written")
 
 
 class Codec:

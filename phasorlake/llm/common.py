@@ -46,12 +46,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one that the session names in ``spark.checkpoint.dir``. Only where
-    that is unset, as in local tests, a folder of this machine is taken.
+    It is the one that the session names in ``spark.checkpoint.dir``. Only where that is
+    unset and all tasks run in this process, as in local tests, a folder of this machine
+    is taken; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     if not getattr(spark, "_phasorlake_dir", None):
         spark._phasorlake_dir = tempfile.mkdtemp(prefix="phasorlake-")
     return spark._phasorlake_dir

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 from zlib import crc32
 
@@ -29,6 +30,8 @@ from phasorlake.llm import common
 SIDE = 24
 FRAME = SIDE * SIDE
 DELAY = 10  # hundredths of a second
+#: Samples of a canvas or image beyond which a GIF isn't read.
+MOST_AREA = 1 << 26
 CHUNK = 1_000_000
 BINS = 4  # of each colour channel
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
@@ -296,7 +299,7 @@ def indices(images: list[Image]) -> list[np.ndarray]:
     return out
 
 
-def render(width: int, height: int, palette: bytes | None, images: list[Image], pixels: list[np.ndarray]) -> Iterator[Frame]:
+def render(width: int, height: int, palette: bytes | None, images: list[Image], pixels: Iterable[np.ndarray]) -> Iterator[Frame]:
     """The canvas at each image, after the disposal of the one before.
 
     Disposal 2 clears the image's area to transparent, 3 puts back what was there
@@ -338,9 +341,15 @@ def canvases(width: int, height: int, palette: bytes | None, images: list[Image]
     return colours[np.array(pixels)]
 
 
-def decode(data: bytes) -> list[Frame]:
+def decode(data: bytes) -> Iterator[Frame]:
+    """The shown frames one after the other: a canvas and an image's samples at a time.
+
+    A canvas or image of over MOST_AREA samples isn't readable: ValueError, before any is made.
+    """
     width, height, palette, images = parse(data)
-    return list(render(width, height, palette, images, indices(images)))
+    if max([width * height, *(m.width * m.height for m in images)]) > MOST_AREA:
+        raise ValueError(f"a canvas of {width} x {height} has over {MOST_AREA} samples")
+    return render(width, height, palette, images, (indices([m])[0] for m in images))
 
 
 def histogram(canvas: np.ndarray) -> list[int]:
@@ -355,25 +364,33 @@ _FRAMES = "frame int, start_cs long, delay_cs int, width int, height int, rgba b
 def frames(media: DataFrame, column: str = "media") -> DataFrame:
     """A row for each shown frame of the GIFs in ``column``: the other columns, and
     frame (from 0), start_cs and delay_cs, width, height, rgba (rows in order) and
-    histogram. A null or unreadable value gives no rows, as does a GIF without images.
+    histogram. A null or unreadable value gives no rows, as does a GIF without images,
+    or one of over MOST_AREA samples; one that breaks off within an image gives the
+    frames before. Repeated rows give theirs each, an empty table none. Frames are
+    passed on one after the other, so a long GIF needs no more room than a short one.
     Columns of these names are replaced, others stay.
     """
     names = [x.split()[0] for x in _FRAMES.split(", ")]
     rest = media.drop(*names)
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
 
+    def shown(data: bytes | None) -> Iterator[tuple]:
+        try:
+            for i, f in enumerate(decode(data) if data is not None else ()):
+                yield i, f.start, f.delay, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), histogram(f.canvas)
+        except ValueError:
+            return
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                data = batch.column(column)[r].as_py()
-                try:
-                    shown = decode(data) if data is not None else []
-                except ValueError:
-                    shown = []
-                rows = [(i, f.start, f.delay, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), histogram(f.canvas)) for i, f in enumerate(shown)]
-                if rows:
-                    same = batch.slice(r, 1).take(pa.array([0] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], [*batch.schema.names, *names])
+                rows: list[tuple] = []
+                for row in chain(shown(batch.column(column)[r].as_py()), [None]):
+                    if rows and (row is None or sum(len(x[5]) for x in rows) > 4 * CHUNK):
+                        same = batch.slice(r, 1).take(pa.array([0] * len(rows)))
+                        yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], [*batch.schema.names, *names])
+                        rows = []
+                    rows.append(row)
 
     schema = rest.selectExpr("*", *[f"CAST(NULL AS {x.split()[1]}) AS {x.split()[0]}" for x in _FRAMES.split(", ")]).schema
     return rest.mapInArrow(run, schema)

@@ -94,7 +94,7 @@ def test_long_streams_stop_growing():
 def test_disposal_transparency_and_palettes():
     one, two = np.ones((3, 4), np.uint8), np.array([[2, 3], [3, 2]], np.uint8)
     own = bytes([9, 9, 9, 8, 8, 8, 7, 7, 7, 6, 6, 6])
-    shown = gif.decode(animation(image(one, gce=(1 << 2, 5, 0)), image(two, 1, 1, gce=(3 << 2 | 1, 7, 3)), image(two, 2, 1, gce=(2 << 2, 1, 0)), image(two[:1], 0, 0, palette=own), image(two, 3, 2)))
+    shown = list(gif.decode(animation(image(one, gce=(1 << 2, 5, 0)), image(two, 1, 1, gce=(3 << 2 | 1, 7, 3)), image(two, 2, 1, gce=(2 << 2, 1, 0)), image(two[:1], 0, 0, palette=own), image(two, 3, 2))))
     assert [(f.start, f.delay) for f in shown] == [(0, 5), (5, 7), (12, 1), (13, 0), (13, 0)]
     red, green, blue = [255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255]
     assert (shown[0].canvas == red).all()
@@ -114,7 +114,7 @@ def test_interlace_and_bad_files():
         gif.parse(b"PNG")
     whole = animation(image(np.ones((3, 4), np.uint8)))
     for n in range(13, len(whole)):
-        gif.decode(whole[:n])
+        list(gif.decode(whole[:n]))
 
 
 def texts():
@@ -146,3 +146,21 @@ def test_frames_table(spark):
 
 def test_empty_table(spark):
     assert gif.text_media(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_frames_need_one_canvas(spark):
+    import tracemalloc
+
+    dot = np.zeros((1, 1), np.uint8)
+    head = b"GIF89a" + struct.pack("<HHBBB", 2000, 2000, 0x80, 0, 0) + bytes(6)
+    data = head + b"".join(image(dot) for _ in range(30)) + b";"
+    tracemalloc.start()
+    assert sum(f.canvas.shape == (2000, 2000, 4) for f in gif.decode(data)) == 30
+    assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    tracemalloc.stop()
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65000, 65000, 0x80, 0, 0) + bytes(6) + image(dot) + b";"
+    with pytest.raises(ValueError, match="65000"):
+        gif.decode(huge)
+    df = spark.createDataFrame([(1, data), (2, huge), (3, None)], "id long, media binary")
+    got = gif.frames(df).select("id", "frame", "start_cs").collect()
+    assert sorted((r.id, r.frame) for r in got) == [(1, i) for i in range(30)]
