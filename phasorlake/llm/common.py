@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 #: ``bytes.split()`` cuts UTF-8 at exactly these six, so kernels use it.
 WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = re.compile(r"[ \t-\r]")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -34,6 +36,19 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
         yield batch.slice(a)
 
 
+def pieces(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about ``most`` characters, cut before white space; a longer word stays whole."""
+    a = 0
+    while len(text) - a > most:
+        cut = max(text.rfind(c, a + 1, a + most) for c in " \n\t\r")
+        if cut < 0:
+            m = _SPACE.search(text, a + most)
+            cut = m.start() if m else len(text)
+        yield text[a:cut]
+        a = cut
+    yield text[a:]
+
+
 def word_count(text: Column) -> Column:
     """Number of words, as a native expression; a null text counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

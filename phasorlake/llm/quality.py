@@ -45,7 +45,7 @@ MOST_WORDS, BUCKETS, LEAST_WORDS = 200, 16, 2000
 #: Entries of a table of word counts, and characters of text that a kernel works on at once.
 ROOM, CHUNK = 20_000, 1_000_000
 SYMBOLS = "#*$%&|<>"
-_PURE, _SPACE = re.compile(r"[^\W\d_]+"), re.compile(r"[ \t-\r]")
+_PURE = re.compile(r"[^\W\d_]+")
 CLASSES = ("lower", "upper", "accented", "digit", "stop", "symbol", "other")
 _STOPS, _MARKS = ".,;:!?'\"()-", "#*$%&|<>=+/\\^~@_`{}[]"
 
@@ -83,19 +83,6 @@ def _bucket(h: np.ndarray) -> int:
     return int(pairs.min()) % BUCKETS if len(h) else 0
 
 
-def pieces(text: str, most: int = CHUNK) -> Iterator[str]:
-    """A text in parts of about ``most`` characters, cut before white space; a longer word stays whole."""
-    a = 0
-    while len(text) - a > most:
-        cut = max(text.rfind(c, a + 1, a + most) for c in " \n\t\r")
-        if cut < 0:
-            m = _SPACE.search(text, a + most)
-            cut = m.start() if m else len(text)
-        yield text[a:cut]
-        a = cut
-    yield text[a:]
-
-
 class Tally:
     """Counts of one language's words in at most ``room`` entries, each too low by ``lost`` at most."""
 
@@ -134,7 +121,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if lang is None or not (text := text.as_py()):
                     continue
                 t = tallies.get(lang) or tallies.setdefault(lang, Tally(ROOM))
-                for part in pieces(text):
+                for part in common.pieces(text, CHUNK):
                     t.update(pure_words(part))
             if sum(len(t.n) for t in tallies.values()) > 4 * ROOM or len(tallies) > ROOM:
                 yield from out()
@@ -173,7 +160,7 @@ class Index:
         """Characters by class, letters-only words, and places and counts of candidates: the language's, or all without one."""
         kinds, total, found = np.zeros(len(CLASSES), np.int64), 0, Counter()
         place = self.every if lang is None else self.place.get(lang, {})
-        for part in pieces(text or ""):
+        for part in common.pieces(text or "", CHUNK):
             kinds += classes(part)
             w = pure_words(part)
             total += len(w)
@@ -309,7 +296,7 @@ def measured(texts: list[str | None], memo: WordHashes) -> tuple[list[np.ndarray
     hashes, held = [], []
     for t in texts:
         if t and len(t) > CHUNK:
-            hashes.append(np.concatenate([np.fromiter(map(memo.__getitem__, common.words(x)), np.uint64) for x in pieces(t)]))
+            hashes.append(np.concatenate([np.fromiter(map(memo.__getitem__, common.words(x)), np.uint64) for x in common.pieces(t, CHUNK)]))
             held.append(None)
         else:
             held.append(common.words(t))

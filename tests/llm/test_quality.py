@@ -150,8 +150,7 @@ def test_long_texts_in_pieces(monkeypatch):
     index = q.Index({"en": ["a", "ab", "end"]})
     plain = index.profile(text, "en")
     monkeypatch.setattr(q, "CHUNK", 700)
-    monkeypatch.setattr(q.pieces, "__defaults__", (700,))
-    assert "".join(q.pieces(text)) == text and max(map(len, q.pieces(text))) < 5800
+    assert "".join(q.common.pieces(text, 700)) == text and max(map(len, q.common.pieces(text, 700))) < 5800
     cut = q.measured([text], memo)
     assert (whole[0][0] == cut[0][0]).all() and (whole[1] == cut[1]).all() and whole[1][0][4] == slow(text)[4]
     again = index.profile(text, "en")
