@@ -26,7 +26,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(load(spark, sf_dir, "documents"), width=35).drop("spans")
+    return substring_dedup(load(spark, sf_dir, "documents"), width=35).drop("k1", "k2", "spans")
 
 
 def tokenizer_path() -> str:

@@ -9,16 +9,20 @@ therefore keeps *seeds*: of the ``seed``-word hashes inside a window, the least
 one. Equal windows have equal seeds, so a window is repeated only if its seed is;
 about ``2 / (width - seed + 2)`` of all positions are seeds. The index folder has
 
-* ``docs``: a segment for each batch: doc_id, hash of the word sequence, number of
-  words, digest, and the document's distinct seeds with their counts;
-* ``runs``: immutable runs of (seed, n), sorted by seed. A batch adds a run. A run
-  is merge-joined with what it meets, never changed; ``compact`` merges ``fanout``
-  runs of a level into one of the next.
-
-Seeds that the runs hold twice name the candidate documents. Their whole windows
-are then verified by a hash of 96 bits over all the words, counted over the corpus.
-Exact copies of a document are counted once, as a text of weight two, so a group of
-copies costs a row for each copy and no more.
+* ``docs``: a segment for each batch, with a row for each document: hash of the text,
+  number of words, digest, and its distinct seeds with their counts;
+* ``runs``: immutable runs of (seed, text), sorted by seed in buckets of the seed, one
+  file each. A bucket is of (seed, salt): the salt is of the text, so a seed of very many
+  texts is in SALTS buckets.
+
+A batch adds a run. Its distinct seeds are merge-joined with each older run, bucket by
+bucket: the older run is neither moved nor sorted, and no old document is read. That
+gives the texts, new and old, that hold a repeated seed: the candidates. ``compact``
+merges ``fanout`` runs of a level into one of the next.
+
+The candidates' windows with such seeds are then verified by a hash of 96 bits over all
+the words, counted over all of them. Equal texts are one text with a weight of two, so a
+group of copies costs a row for each copy and no more.
 """
 
 from __future__ import annotations
@@ -28,27 +32,29 @@ import json
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasorlake.llm import common
 from phasorlake.llm.windows import CHUNK, OTHER, Windows, WordHashes
 
-WIDTH, SEED, FANOUT = 35, 8, 2
+WIDTH, SEED, FANOUT, SALTS = 35, 8, 2, 16
 
-
-_DOCS = "key long, doc_id long, same binary, n_words long, digest string, seeds array<long>, counts array<int>"
+_DOCS = "k1 long, k2 long, doc_id long, n_words long, digest string, seeds array<long>, counts array<int>"
+_RUN = "seed long, salt int, k1 long, k2 long, first long, n int, weight int"
 
 
 def _signatures(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for rows in common.slices(batch, 2, CHUNK):
-                part = [common.words(t) for t in rows.column(2).to_pylist()]
+            for rows in common.slices(batch, 3, CHUNK):
+                part = [common.words(t) for t in rows.column(3).to_pylist()]
                 seeds, counts = [[] for _ in part], [[] for _ in part]
                 c = Windows(part, memo)
                 if c.n >= width:
@@ -61,18 +67,15 @@ def _signatures(width: int, seed: int):
                     values = h[new].view(np.int64)
                     seeds = [values[x:y] for x, y in zip(cut, cut[1:])]
                     counts = [n[x:y] for x, y in zip(cut, cut[1:])]
-                whole = [hashlib.sha256(b" ".join(t)) for t in part]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column(0),
-                        rows.column(1),
-                        pa.array([x.digest()[:16] for x in whole], pa.binary()),
+                        *rows.columns[:3],
                         pa.array([len(t) for t in part], pa.int64()),
-                        pa.array([x.hexdigest() for x in whole]),
+                        pa.array([hashlib.sha256(b" ".join(t)).hexdigest() for t in part]),
                         pa.array(seeds, pa.list_(pa.int64())),
                         pa.array(counts, pa.list_(pa.int32())),
                     ],
-                    ["key", "doc_id", "same", "n_words", "digest", "seeds", "counts"],
+                    ["k1", "k2", "doc_id", "n_words", "digest", "seeds", "counts"],
                 )
 
     return run
@@ -84,15 +87,15 @@ def _windows(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for rows in common.slices(batch, 1, CHUNK):
-                keys, weights, hits = rows.column(0).to_numpy(), rows.column(2).to_numpy(), rows.column(3)
-                c = Windows([common.words(t) for t in rows.column(1).to_pylist()], memo)
+            for rows in common.slices(batch, 2, CHUNK):
+                (k1, k2, weights), hits = (rows.column(i).to_numpy() for i in (0, 1, 3)), rows.column(4)
+                c = Windows([common.words(t) for t in rows.column(2).to_pylist()], memo)
                 if c.n < width:
                     continue
                 _, least, whole = c.seeds(width, seed)
                 firsts = np.r_[0, c.ends]
                 asked = np.zeros(len(least), bool)
-                for i in range(len(keys)):
+                for i in range(len(k1)):
                     lo, hi = firsts[i], min(firsts[i + 1], len(least))
                     asked[lo:hi] = np.isin(least[lo:hi], hits[i].values.to_numpy().view(np.uint64))
                 at = np.flatnonzero(asked & whole)
@@ -101,7 +104,7 @@ def _windows(width: int, seed: int):
                 h, check, doc = h[order], check[order], doc[order]
                 new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (check[1:] != check[:-1])]) if len(h) else np.empty(0, int)
                 n = np.diff(np.r_[new, len(h)]) * weights[doc[new]] if len(h) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[doc[new]]), pa.array(h[new].view(np.int64)), pa.array(check[new].view(np.int32)), pa.array(np.minimum(n, 2).astype(np.int8))], ["key", "h", "check", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[doc[new]]), pa.array(k2[doc[new]]), pa.array(h[new].view(np.int64)), pa.array(check[new].view(np.int32)), pa.array(np.minimum(n, 2).astype(np.int8))], ["k1", "k2", "h", "check", "n"])
 
     return run
 
@@ -112,9 +115,9 @@ def _removal(width: int, field: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            keys, texts, hits = batch.column(0), batch.column(1), batch.column(2)
+            texts, hits = batch.column(2), batch.column(3)
             removed, kept, spans = [], [], []
-            for i in range(len(keys)):
+            for i in range(len(texts)):
                 t = common.words(texts[i].as_py())
                 gone = np.zeros(len(t) + 1, np.int32)
                 c = Windows([t], memo)
@@ -127,19 +130,24 @@ def _removal(width: int, field: str):
                 kept.append(left.decode() if field == "kept" else hashlib.sha256(left).hexdigest())
                 edge = np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8)))
                 spans.append(edge.tolist())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.int32()))], ["key", "n_removed", field, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.int32()))], ["k1", "k2", "n_removed", field, "spans"])
 
     return run
 
 
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text, which stand for it."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """key, doc_id, text. Rows are addressed by doc_id; one without is by its text."""
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+    """k1, k2, doc_id, text."""
+    text = F.col("text").cast("string")
+    return docs.select(*(k.alias(f"k{i}") for i, k in enumerate(text_key(text), 1)), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
 class RunIndex:
-    """A folder of immutable sorted runs of (seed, n) and of document segments."""
+    """A folder of immutable sorted runs of (seed, text) and of document segments."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, width: int = WIDTH, seed: int = SEED, fanout: int = FANOUT):
         if not 0 < seed <= width:
@@ -147,13 +155,12 @@ class RunIndex:
         self.spark, self.path, self.width, self.seed, self.fanout = spark, path or common.new_path(spark, "runs"), width, seed, fanout
         self.runs: list[tuple[int, str]] = []
         self.segments: list[str] = []
+        self.version, self.buckets = 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
         manifest = f"{self.path}/manifest"
         if path and self._exists(manifest):
             state = json.loads(max(spark.read.text(manifest).collect(), key=lambda r: json.loads(r[0])["version"])[0])
             self.runs, self.segments = [tuple(x) for x in state["runs"]], state["segments"]
-            self.version = state["version"]
-        else:
-            self.version = 0
+            self.version, self.buckets = state["version"], state["buckets"]
 
     def _exists(self, path: str) -> bool:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -162,51 +169,102 @@ class RunIndex:
     def _publish(self) -> None:
         """A new manifest row is the commit: a job that dies before it leaves the old state."""
         self.version += 1
-        row = json.dumps({"version": self.version, "runs": self.runs, "segments": self.segments})
+        row = json.dumps({"version": self.version, "buckets": self.buckets, "runs": self.runs, "segments": self.segments})
         self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/manifest")
 
-    def _write_run(self, counts: DataFrame, level: int) -> tuple[int, str]:
+    @staticmethod
+    def _name(run: str) -> str:
+        return "phasorlake_run_" + run.rsplit("-", 1)[1]
+
+    def run(self, path: str) -> DataFrame:
+        """A run, with its buckets and their order known to Spark: joins on (seed, salt) read it as it lies."""
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(path)} ({_RUN}) USING parquet CLUSTERED BY (seed, salt) SORTED BY (seed, salt) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(self._name(path))
+
+    def _write_run(self, rows: DataFrame, level: int) -> tuple[int, str]:
         to = f"{self.path}/runs/{level}-{uuid.uuid4().hex}"
-        counts.sortWithinPartitions("seed").write.option("compression", "zstd").parquet(to)
+        dealt = rows.select(*[c.split()[0] for c in _RUN.split(", ")]).repartition(self.buckets, "seed", "salt")
+        dealt.write.option("path", to).option("compression", "zstd").bucketBy(self.buckets, "seed", "salt").sortBy("seed", "salt").saveAsTable(self._name(to), format="parquet")
         return level, to
 
-    def documents(self) -> DataFrame:
-        return self.spark.read.schema(_DOCS).parquet(*self.segments)
+    def _drop_run(self, path: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(path)}")
+        common.drop(self.spark, path)
 
-    def counts(self) -> DataFrame:
-        """(seed, n) of all runs, still a row for each run."""
-        return self.spark.read.schema("seed long, n int").parquet(*[p for _, p in self.runs])
+    def segment(self, path: str) -> DataFrame:
+        return self.spark.read.schema(_DOCS).parquet(path)
 
-    def add(self, docs: DataFrame) -> None:
-        """Append a batch with columns doc_id and text: a segment and a sorted run."""
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Append a batch with columns doc_id and text: a segment and a sorted run.
+
+        Returns the candidates, kept: (k1, k2, first, seeds, weight) of the texts of the
+        batch and of older ones with seeds that the batch has repeated. first is the least
+        doc_id, weight 2 if a text comes twice or more.
+        """
         to = f"{self.path}/docs/{uuid.uuid4().hex}"
         _keyed(docs).mapInArrow(_signatures(self.width, self.seed), _DOCS).write.option("compression", "zstd").parquet(to)
-        pairs = self.spark.read.schema(_DOCS).parquet(to).select(F.explode(F.arrays_zip("seeds", "counts")).alias("x"))
-        counts = pairs.groupBy(F.col("x.seeds").alias("seed")).agg(F.least(F.sum("x.counts"), F.lit(2)).cast("int").alias("n"))
-        self.runs.append(self._write_run(counts, 0))
+        rows = self.segment(to)
+        # copies are one text: their seeds are taken from one of them
+        texts = rows.filter(F.size("seeds") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.least(F.count("*"), F.lit(2)).cast("int").alias("weight"), F.any_value("seeds").alias("seeds"), F.any_value("counts").alias("counts"))
+        each = texts.select("k1", "k2", "first", "weight", F.pmod("k1", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.arrays_zip("seeds", "counts")).alias("x"))
+        level, run = self._write_run(each.select(F.col("x.seeds").alias("seed"), "salt", "k1", "k2", "first", F.least(F.col("x.counts") * F.col("weight"), F.lit(2)).cast("int").alias("n"), "weight"), 0)
+        new = self.run(run)
+        sums = common.keep(new.groupBy("seed").agg(F.sum("n").alias("n")), "sums")
+        wanted = sums.select("seed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        columns = ["k1", "k2", "first", "weight", "seed"]
+        with self._ordered():
+            found = [common.keep(self._merged(wanted, path).select(*columns, F.lit(i + 1).alias("source")), "older") for i, (_, path) in enumerate(self.runs)]
+        again = sums.filter("n > 1").select("seed")
+        for old in found:
+            again = again.unionByName(old.select("seed"))
+        own = new.join(again.distinct().hint("merge"), "seed").select(*columns, F.lit(0).alias("source"))
+        for old in found:
+            own = own.unionByName(old)
+        # the runs and the batch are parts of the corpus: a text in two of them comes twice
+        out = own.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.collect_set("seed").alias("seeds"), F.collect_set(F.struct("source", "weight")).alias("weights"))
+        weight = F.least(F.aggregate("weights", F.lit(0), lambda a, x: a + x["weight"]), F.lit(2))
+        out = common.keep(out.select("k1", "k2", "first", "seeds", weight.alias("weight")), "hits")
+        common.drop(self.spark, sums, *found)
+        self.runs.append((level, run))
         self.segments.append(to)
         self._publish()
         self.compact()
+        return out
+
+    @contextmanager
+    def _ordered(self) -> Iterator[None]:
+        """Spark takes a bucket of one file as sorted only where this setting says so."""
+        name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
+    def _merged(self, wanted: DataFrame, path: str) -> DataFrame:
+        """The rows of a run whose (seed, salt) is wanted, by a merge join on the run as it lies."""
+        return self.run(path).join(wanted.hint("merge"), ["seed", "salt"])
 
     def compact(self) -> None:
-        """Merge the runs of a level that has ``fanout`` of them into one of the next."""
+        """Merge the runs of a level that has ``fanout`` of them into one of the next; a text of several is one."""
         while full := [lv for lv, n in Counter(lv for lv, _ in self.runs).items() if n >= self.fanout]:
             old = [r for r in self.runs if r[0] == min(full)]
-            rows = self.spark.read.schema("seed long, n int").parquet(*[p for _, p in old])
-            merged = self._write_run(rows.groupBy("seed").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")), min(full) + 1)
+            rows = self.run(old[0][1])
+            for _, path in old[1:]:
+                rows = rows.unionByName(self.run(path))
+            rows = rows.groupBy("seed", "salt", "k1", "k2").agg(F.min("first").alias("first"), *[F.least(F.sum(c), F.lit(2)).cast("int").alias(c) for c in ("n", "weight")])
+            merged = self._write_run(rows, min(full) + 1)
             self.runs = [r for r in self.runs if r not in old] + [merged]
             self._publish()
-            common.drop(self.spark, *[p for _, p in old])
-
-    def repeated_seeds(self) -> DataFrame:
-        """Seeds that the runs hold twice or more, over all batches."""
-        rows = self.counts()
-        if len(self.runs) > 1:
-            rows = rows.groupBy("seed").agg(F.sum("n").alias("n"))
-        return rows.filter("n > 1").select("seed")
+            for _, path in old:
+                self._drop_run(path)
 
     def clear(self) -> None:
+        for _, path in self.runs:
+            self._drop_run(path)
         common.drop(self.spark, self.path)
+        self.runs, self.segments = [], []
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, batches: int = 2, index: RunIndex | None = None, text_out: bool = False, history: DataFrame | None = None) -> DataFrame:
@@ -214,52 +272,63 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, seed: int = SEED, batch
 
     ``docs`` has doc_id and text; it is added to the index in ``batches`` runs. An
     index that already has runs makes this incremental: the new windows are judged
-    against the history too, whose texts ``history`` must then supply. Returns
-    doc_id, n_words, n_removed, ``spans`` (start, end, start, end ... of the removed
-    words) and the digest ``kept_sha256`` of the words left, joined by one space, or,
-    with ``text_out``, those words as ``kept`` (null where nothing was removed).
+    against the history too, whose texts ``history`` must then supply; only those of
+    candidates are looked at. An index that isn't given is removed at the end. Returns
+    k1 and k2 (128 bits of the text: a result is a text's, whatever rows have it), doc_id,
+    n_words, n_removed, ``spans`` (start, end, start, end ... of the removed words) and
+    the digest ``kept_sha256`` of the words left, joined by one space, or, with
+    ``text_out``, those words as ``kept`` (null where nothing was removed).
 
     Null and empty texts have no words: 0, 0 and the digest of nothing. A text
     shorter than a window loses nothing. Repeated rows are documents like others, so
-    each repeats the windows of the other; rows that share a doc_id must share the
-    text. A null doc_id stays null. An empty table gives no rows. Other columns are
-    ignored, whatever their names.
+    each repeats the windows of the other. Rows that share a doc_id, or have none, are
+    judged by their own texts. A null doc_id stays null. An empty table gives no rows.
+    Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or RunIndex(spark, width=width, seed=seed)
     width, seed = index.width, index.seed
-    docs = _keyed(docs)
     before = len(index.segments)
-    for b in range(batches):
-        index.add(docs.filter(F.pmod(F.xxhash64("key"), F.lit(batches)) == b) if batches > 1 else docs)
-    signed = index.documents()
-    new = spark.read.schema(_DOCS).parquet(*index.segments[before:])
-
-    # a text stands for all its copies: weight 2 says that it repeats as a whole
-    texts = signed.filter(F.col("n_words") >= width).groupBy("same").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
-    texts = common.keep(texts.select("same", "key", F.least("copies", F.lit(2)).cast("int").alias("weight")), "texts")
-
-    held = signed.select("key", F.explode("seeds").alias("seed"))
-    hits = held.join(index.repeated_seeds().hint("merge"), "seed").groupBy("key").agg(F.collect_set("seed").alias("seeds"))
-    source = docs if history is None else docs.unionByName(_keyed(history))
-    stands = hits.join(texts.select("key", "weight"), "key")
-    candidates = common.keep(source.select("key", "text").join(stands, "key").select("key", "text", "weight", "seeds"), "candidates")
-
-    found = common.keep(candidates.mapInArrow(_windows(width, seed), "key long, h long, check int, n byte"), "windows")
+    parts = [docs.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(batches)) == b) if batches > 1 else docs for b in range(batches)]
+    hits = [index.add(p) for p in parts]
+    new = [index.segment(p).drop("seeds", "counts") for p in index.segments[before:]]
+    result = common.keep(reduce(DataFrame.unionByName, new), "result") if own else reduce(DataFrame.unionByName, new)
+    if own:
+        index.clear()
+
+    rows = reduce(DataFrame.unionByName, hits)
+    if len(hits) > 1:
+        rows = rows.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds"), F.max("weight").alias("weight"))
+    stands = common.keep(rows, "stands")
+    common.drop(spark, *hits)
+
+    # one row stands for a text: copies differ in doc_id, so they are spread, and those that don't are made one
+    source = _keyed(docs) if history is None else _keyed(docs).unionByName(_keyed(history))
+    key = ["k1", "k2", "_d"]
+    found_at = stands.withColumn("_d", F.coalesce("first", F.lit(-1)))
+    texts = source.withColumn("_d", F.coalesce("doc_id", F.lit(-1))).select(*key, "text").join(found_at, key)
+    texts = texts.groupBy(*key).agg(F.any_value("text").alias("text"), F.any_value("weight").alias("weight"), F.any_value("seeds").alias("seeds"))
+    candidates = common.keep(texts.select("k1", "k2", "text", "weight", "seeds"), "candidates")
+
+    found = common.keep(candidates.mapInArrow(_windows(width, seed), "k1 long, k2 long, h long, check int, n byte"), "windows")
     twice = found.groupBy("h", "check").agg(F.sum("n").alias("m")).filter("m > 1").select("h", "check")
-    listed = found.join(twice.hint("merge"), ["h", "check"]).groupBy("key").agg(F.collect_set("h").alias("windows"))
+    # the windows counted are one row each, so a hot one is many rows on one side only, which Spark splits
+    listed = found.join(twice, ["h", "check"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("windows"))
     field = "kept" if text_out else "kept_sha256"
-    once = candidates.filter("weight = 1").select("key", "text")
-    cut = once.join(listed, "key").select("key", "text", "windows").mapInArrow(_removal(width, field), f"key long, n_removed long, {field} string, spans array<int>")
+    once = candidates.filter("weight = 1").select("k1", "k2", "text")
+    cut = once.join(listed, ["k1", "k2"]).select("k1", "k2", "text", "windows").mapInArrow(_removal(width, field), f"k1 long, k2 long, n_removed long, {field} string, spans array<int>")
     cut = common.keep(cut, "cut")
     common.drop(spark, candidates, found)
 
     # copies need no text: all their words go
-    copied = texts.filter("weight > 1").select("same", F.lit(True).alias("copied"))
-    out = new.select("key", "doc_id", "same", "n_words", "digest").join(copied, "same", "left").join(cut, "key", "left")
+    copied = stands.filter("weight > 1").select("k1", "k2", F.lit(True).alias("copied"))
+    out = result.join(copied, ["k1", "k2"], "left").join(cut, ["k1", "k2"], "left")
     gone = F.coalesce("copied", F.lit(False))
     nothing = F.lit("" if text_out else hashlib.sha256(b"").hexdigest())
     return out.select(
+        "k1",
+        "k2",
         "doc_id",
         "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
