@@ -23,6 +23,8 @@ from phasorlake.llm import common
 from phasorlake.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
+#: Fingerprints (or bands) whose variants one task emits.
+SPREAD = 50_000
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 
@@ -100,38 +102,133 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     marks = fingerprints(docs, shingle)
     distinct = common.keep(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
+    # each fingerprint becomes many rows: tasks of a bounded number of them
+    wide = max(common.slots(docs.sparkSession), -(-distinct.count() // SPREAD))
+    roots = components(links(distinct.select("fp").repartition(wide, "fp"), radius)).withColumnsRenamed({"node": "fp"})
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = common.keep(placed.join(least, "root").select("fp", "component_id"), "components")
+    common.drop(docs.sparkSession, distinct)
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Exactly one row of ``docs`` of each component, all columns: the one of the least doc_id, any other before a null.
+def text_fingerprint(text: str | None, shingle: int, bands: int, band: int) -> tuple[int, list[int]]:
+    """The 64-bit fingerprint, and ``bands`` further ones of ``band`` bits each, from other hashes of the same shingles."""
+    w = text.encode().translate(_LOWER).split() if text else []
+    if not w:
+        return 0, [0] * bands
+    hashes = _hashes(w, shingle)
+    words = 1 + -(-bands * band // 64)
+    ones = np.zeros((words, 64), np.int64)
+    for a in range(0, len(hashes), 65536):
+        part = hashes[a : a + 65536]
+        for k in range(words):
+            h = part
+            if k:
+                h = part * np.uint64(2 * k * 0x9E3779B97F4A7C15 + 1 & 2**64 - 1)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(29)
+            ones[k] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = 2 * ones > len(hashes)
+    whole = [int.from_bytes(np.packbits(x, bitorder="little").tobytes(), "little") for x in (bits[0], bits[1:].ravel())]
+    return whole[0], [whole[1] >> (band * i) & (1 << band) - 1 for i in range(bands)]
+
+
+def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """A shortest spanning forest of signed fingerprints, over pairs that differ in ``most`` bits at most.
+
+    Distances are found for one row of them at a time (Prim), so any number needs little
+    memory. Whatever groups a limit below ``most`` makes, the forest's edges below it make too.
+    """
+    x = np.sort(fps).astype(np.int64).view(np.uint64)
+    n, out = len(x), []
+    best, tied = np.full(n, 65, np.uint8), np.zeros(n, np.int64)
+    left = np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        left[at] = False
+        d = np.bitwise_count(x ^ x[at])
+        near = left & (d < best)
+        best[near], tied[near] = d[near], at
+        at = int(np.argmin(np.where(left, best, 66)))
+        if best[at] <= most:
+            out.append((int(x[tied[at]].view(np.int64)), int(x[at].view(np.int64))))
+    return out
+
+
+def band_links(nodes: DataFrame, bands: int, band: int, most: int) -> DataFrame:
+    """Edges (a, b) among fingerprints ``fp`` with ``bands`` that meet: some band differs in 2 bits at most.
+
+    Each band emits all values within 1 bit of itself, which are the shuffle key. Of a
+    meeting the shortest forest over pairs of ``most`` bits at most is kept.
+    """
+    each = nodes.select("fp", F.posexplode("bands").alias("i", "value"))
+    ball = F.explode(F.transform(F.array(*[F.lit(m) for m in [0, *(1 << b for b in range(band))]]), lambda m: F.col("value").bitwiseXOR(m))).alias("value")
+    each = each.select("fp", "i", ball).select("fp", (F.shiftleft(F.col("i").cast("long"), 64 - 8).bitwiseXOR(F.col("value"))).alias("v"))
+    met = each.groupBy("v").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1).select("fps").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges = [e for fps in batch.column(0) for e in forest(fps.values.to_numpy(), most)]
+            a, b = zip(*edges) if edges else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 10, band: int = 28, most: int = 18) -> DataFrame:
+    """Exactly one row of ``docs`` of each group of near duplicates, all columns: the one of the least doc_id, any other before a null.
+
+    Texts are linked if their sets of ``shingle``-word shingles have a Jaccard similarity
+    of ``similarity`` or more. Candidates are fingerprints of which one of ``bands`` further
+    ones differs in 2 bits at most (meet in the middle) and the first in ``most`` of 64;
+    their texts' shingles are then compared. Texts of one fingerprint are one node, of
+    which the least row's text is compared. A pair at the limit differs in 15 % of its bits,
+    so a band is met by chance: README has the share found.
 
     A row is known by 128 bits over all its columns, so equal rows, which nothing tells
-    apart, are counted as one key; texts are moved only for keys that come repeatedly.
+    apart, are counted as one key; texts are moved only for keys that come repeatedly and
+    for candidates. Null and empty texts are one group. An empty table stays empty.
     """
     flat = [c for n in docs.columns for c in (F.col(n), F.isnull(n))]  # a null alone leaves a hash as it was
     keyed = docs.withColumns({"_k1": F.xxhash64(F.lit(1), *flat), "_k2": F.xxhash64(F.lit(2), *flat)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(3)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bits.view(np.int64), pa.int64())], ["_k1", "_k2", "doc_id", "fp"])
+            got = [text_fingerprint(t.as_py(), shingle, bands, band) for t in batch.column(3)]
+            fps = np.array([x for x, _ in got], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps), pa.array([x for _, x in got], pa.list_(pa.int64()))], ["_k1", "_k2", "doc_id", "fp", "bands"])
 
+    spark = docs.sparkSession
     rows = keyed.select("_k1", "_k2", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, fp long").groupBy("_k1", "_k2", "doc_id", "fp").agg(F.count("*").alias("n"))
-    marks = common.keep(marks, "fingerprints")
+    marks = common.keep(rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, fp long, bands array<long>"), "fingerprints")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_k1", "_k2")).alias("first")
-    distinct = common.keep(marks.groupBy("fp").agg(first), "distinct")
-    roots = components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    distinct = marks.groupBy("fp").agg(first, F.any_value("bands").alias("bands"))
+    distinct = common.keep(distinct, "distinct")
+    wide = max(common.slots(spark), -(-distinct.count() * bands // SPREAD))
+    edges = common.keep(band_links(distinct.select("fp", "bands").repartition(wide, "fp"), bands, band, most), "met")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    asked = distinct.join(ends, "fp").select("fp", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2"))
+    texts = keyed.select("_k1", "_k2", F.col("text").cast("string").alias("text")).join(asked, ["_k1", "_k2"]).select("fp", "text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_hashes(t.as_py().encode().translate(_LOWER).split() if t.is_valid else [], shingle)).astype(np.uint64).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    sets = common.keep(texts.mapInArrow(shingled, "fp long, shingles array<long>").dropDuplicates(["fp"]), "shingles")
+    both = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("_b")), "b")
+    common_ = F.size(F.array_intersect("_a", "_b"))
+    links_ = both.filter(common_ >= F.lit(float(similarity)) * (F.size("_a") + F.size("_b") - common_)).select("a", "b")
+    roots = components(links_).withColumnsRenamed({"node": "fp"})
+    placed = distinct.drop("bands").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = common.keep(placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "first"), "components")
+    common.drop(spark, edges, sets)
     chosen = (F.col("_k1") == F.col("first._k1")) & (F.col("_k2") == F.col("first._k2"))
-    fate = marks.join(named, "fp").select("_k1", "_k2", chosen.alias("chosen"), "n").filter("NOT chosen OR n > 1")
+    each = marks.groupBy("_k1", "_k2", "fp").agg(F.count("*").alias("n"))
+    fate = each.join(named, "fp").select("_k1", "_k2", chosen.alias("chosen"), "n").filter("NOT chosen OR n > 1")
     fate = common.keep(fate, "lost")
+    common.drop(spark, marks, distinct, named)
     again = keyed.join(fate.filter("chosen").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
     rest = keyed.join(fate.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti")
     return rest.select(*docs.columns).unionByName(again.select(*docs.columns))

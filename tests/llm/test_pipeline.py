@@ -9,7 +9,7 @@ import pytest
 sys.path[:0] = [str(Path(__file__).parents[2]), str(Path(__file__).parent)]
 import corpus_pipeline as p  # noqa: E402
 from test_mixing import brute as mix_targets  # noqa: E402
-from test_simhash import roots, slow  # noqa: E402
+from test_simhash import roots  # noqa: E402
 from test_substring import brute as cut_words  # noqa: E402
 
 from phasorlake.llm.quality import quality_rules  # noqa: E402
@@ -22,12 +22,22 @@ def words(text):
     return (text or "").encode().split()
 
 
+def shingles(text, k=5):
+    w = words(text.lower())
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def jaccard_roots(texts):
+    sets = {d: shingles(t) for d, t in texts.items()}
+    return roots(sorted(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
 def make(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     # cases of every stage among the table's own rows
     base = docs.filter("doc_id = 1").first()
     shared = " ".join(base.text.split()[:60])
-    rows = [(90001, base.text, "en", "src1", 1), (90002, base.text + " " + shared, "en", None, 1), (90003, " ".join(base.text.split()[::-1]) + " " + shared, "en", "", 1), (90004, None, None, None, None), (90005, "", "en", "src1", 0), (None, docs.filter("doc_id = 5").first().text, "en", "src1", 2)]
+    rows = [(90001, base.text, "en", "src1", 1), (90002, base.text + " " + shared, "en", None, 1), (90003, " ".join(base.text.split()[::-1]) + " " + shared, "en", "", 1), (90006, base.text.replace(base.text.split()[30], "another", 1), "en", "src1", 1), (90004, None, None, None, None), (90005, "", "en", "src1", 0), (None, docs.filter("doc_id = 5").first().text, "en", "src1", 2)]
     return docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
 
 
@@ -43,11 +53,12 @@ def test_stages(spark):
     assert not {90004, 90005} & {r.doc_id for r in kept} and {1, 90001, 90002, 90003} <= {r.doc_id for r in kept}
 
     single = p.common.keep(p.near(spark, good, ""), "single")
-    fps = {r.doc_id: slow(r.text) for r in kept if r.doc_id is not None}
-    root = roots(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    root = jaccard_roots({r.doc_id: r.text for r in kept if r.doc_id is not None})
     left = single.collect()
-    assert single.columns == COLUMNS and {r.doc_id for r in left} - {None} == {d for d in fps if root[d] == d}
-    assert 1 in {r.doc_id for r in left} and 90001 not in {r.doc_id for r in left}
+    firsts, ids = {d for d in root if root[d] == d}, {r.doc_id for r in left} - {None}
+    # no text goes without a like one that stays; a pair at the limit can be missed
+    assert single.columns == COLUMNS and firsts <= ids and len(ids) <= len(firsts) + 0.1 * (len(root) - len(firsts)) + 1
+    assert 1 in {r.doc_id for r in left} and not {90001, 90006} & {r.doc_id for r in left}
 
     cut = p.common.keep(p.substring(spark, single, ""), "cut")
     want = {r[0]: r for r in cut_words([tuple(r) for r in left], 35)}

@@ -89,3 +89,49 @@ def test_long_chain(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_forest_keeps_all_groups():
+    import numpy as np
+
+    from phasorlake.llm.simhash import forest
+
+    r = random.Random(8)
+    fps = {r.getrandbits(64) for _ in range(5)}
+    for _ in range(80):
+        fps.add(r.choice(sorted(fps)) ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 8))))
+    signed = np.array(sorted(fps), np.uint64).view(np.int64)
+    for limit in (2, 5, 9):
+        edges = [(a, b) for a, b in forest(signed, 9) if ((a ^ b) % 2**64).bit_count() <= limit]
+        got = roots(sorted(signed.tolist()), lambda a, b: (a, b) in set(edges) or (b, a) in set(edges))
+        want = roots(sorted(signed.tolist()), lambda a, b: ((a ^ b) % 2**64).bit_count() <= limit)
+        assert got == want and len(edges) < len(signed)
+
+
+def test_one_of_each_by_shingles(spark):
+    from phasorlake.llm.simhash import one_of_each
+
+    r = random.Random(12)
+    texts, kin = [], []
+    for g in range(40):
+        w = [f"{g}w{r.randint(0, 300)}" for _ in range(r.randint(150, 500))]
+        texts.append(" ".join(w))
+        kin.append(g)
+        for _ in range(r.randint(0, 3)):
+            x = list(w)
+            for _ in range(r.randint(1, max(1, len(w) // 60))):  # similarity of 0.83 and more
+                x[r.randrange(len(x))] = "other"
+            texts.append(" ".join(x).upper() if r.random() < 0.3 else " ".join(x))
+            kin.append(g)
+    half = [" ".join(t.split()[: len(t.split()) // 2]) for t in texts[:10]]  # far from its whole
+    data = [(i, t, "c", i) for i, t in enumerate(texts + half)] + [(900, None, "c", 1), (901, "", "c", 1), (None, texts[0], "c", 1), (902, "a b", "c", 1), (903, "A B", "c", 2)]
+    left = one_of_each(spark.createDataFrame(data, SCHEMA).repartition(3)).collect()
+    ids = {x.doc_id for x in left}
+    firsts = {kin.index(g) for g in range(40)}
+    assert firsts <= ids and {900, 902} <= ids and not {901, 903, None} & ids
+    assert len([i for i in range(len(texts)) if i in ids]) <= len(firsts) + 0.1 * (len(texts) - len(firsts))
+    whole = {i for i in range(len(texts), len(texts) + 10)}
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in enumerate(texts + half)}
+    for i in whole - ids:  # a half goes only for another half like it
+        assert any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in whole & ids)
+    assert [x.component_id for x in left if x.doc_id == 902] == [1]
