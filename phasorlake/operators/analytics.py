@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasorlake.functions import bucket
-from phasorlake.plans import first_by, radius_join
+from phasorlake.plans import first_by, radius_join, running
+
+#: Rows of a side of one matrix product.
+BLOCK = 1024
 
 
 def error_shares(df: DataFrame, resid: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, fraction, share): of the squared error, what the worst max(1, floor(n f)) rows hold; 0 without error.
 
-    The k-th largest square is a quantile of distinct squares with counts, so the
-    ordered pass is over distinct values."""
-    sq = df.withColumn("_e", F.col(resid) * F.col(resid)).groupBy(*by, "_e").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.col("_e").desc())
-    all_ = Window.partitionBy(*by)
-    sq = sq.withColumns({"_after": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(all_), "_sum": F.sum(F.col("_e") * F.col("_n")).over(all_)})
+    The k-th largest square is found among distinct squares with counts, ordered by
+    ranges, so no task holds all of them."""
+    sq = running(df.withColumn("_e", -F.col(resid) * F.col(resid)).withColumn("_1", F.lit(1)), "_e", "_1", by)  # the worst first
+    total = df.groupBy(*by).agg(F.sum(F.col(resid) * F.col(resid)).alias("_sum"))
+    sq = sq.join(total, list(by)) if by else sq.crossJoin(F.broadcast(total))
     sq = sq.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     k = F.greatest(F.lit(1), F.floor(F.col("_all") * F.col("fraction")))
-    taken = F.greatest(F.lit(0), F.least(F.col("_n"), k - (F.col("_after") - F.col("_n"))))
-    return sq.groupBy(*by, "fraction").agg((F.sum(F.when(F.col("_sum") > 0, F.col("_e") * taken / F.col("_sum")).otherwise(F.lit(0.0)))).alias("share"))
+    taken = F.greatest(F.lit(0), F.least(F.col("_w"), k - F.col("_before")))
+    return sq.groupBy(*by, "fraction").agg((F.sum(F.when(F.col("_sum") > 0, -F.col("_e") * taken / F.col("_sum")).otherwise(F.lit(0.0)))).alias("share"))
 
 
 def enrichment(resid: DataFrame, key: str, error: str, members: DataFrame, cell: str) -> DataFrame:
@@ -91,18 +95,42 @@ def weighted_histogram(df: DataFrame, value: Column, weight: Column, low: float,
     return out.withColumn("share", F.col("mass") / F.col("_t")).drop("_t")
 
 
-def knn_labels(rows: DataFrame, key: str, vector: str, label: str, others: DataFrame | None = None) -> DataFrame:
-    """(key, label, nearest, guess, cos): the label of the row of the best cosine, itself left out.
-
-    Each query meets all rows: a stated query set against all, with partial arg-max."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    vec = lambda df: df.withColumn("_v", F.transform(vector, lambda x: x.cast("double"))).withColumn("_n", norm(F.col("_v")))
-    q = vec(rows).select(key, label, "_v", "_n")
-    b = vec(others if others is not None else rows).select(F.col(key).alias("_k"), F.col(label).alias("_l"), F.col("_v").alias("_w"), F.col("_n").alias("_m"))
-    d = F.aggregate(F.zip_with("_v", "_w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    pairs = q.crossJoin(b).filter(F.col(key) != F.col("_k")).withColumn("cos", F.round(F.when(F.col("_n") * F.col("_m") == 0, F.lit(0.0)).otherwise(d / (F.col("_n") * F.col("_m"))), 9))
-    best = pairs.groupBy(key, label).agg(F.max_by(F.struct("_k", "_l", "cos"), F.struct("cos", -F.col("_k"))).alias("_b"))
-    return best.select(key, label, F.col("_b._k").alias("nearest"), F.col("_b._l").alias("guess"), F.col("_b.cos").alias("cos"))
+def knn_labels(rows: DataFrame, key: str, vector: str, label: str, queries: DataFrame) -> DataFrame:
+    """(key, label, nearest, guess, cos): for a stated query set, the label of the row of the best cosine, itself left out; the least key of equals.
+
+    Queries are packed in blocks of BLOCK; each batch of rows meets a block in one matrix
+    product, of which the best row of each query goes on: rows x blocks products, and a
+    row for each (batch, query).
+    """
+    pack = F.collect_list(F.struct(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
+    blocks = queries.select(key, vector).groupBy(F.pmod(F.xxhash64(key), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("_block")).agg(pack.alias("_q"))
+    key_type, label_type = rows.schema[key].dataType.simpleString(), rows.schema[label].dataType.simpleString()
+
+    def unit(v: pa.ListArray) -> np.ndarray:
+        m = v.flatten().to_numpy().reshape(len(v), -1)
+        n = np.sqrt((m * m).sum(1, keepdims=True))
+        return m / np.where(n == 0, 1.0, n)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, q in zip(batch.column(0), batch.column(1)):
+                ids, names, x = r.values.flatten()
+                own, v = q.values.flatten()
+                order = np.argsort(ids.to_numpy())  # so that the first of equals has the least key
+                cos = np.round(unit(v) @ unit(x)[order].T, 9)
+                cos[own.to_numpy()[:, None] == ids.to_numpy()[order][None, :]] = -np.inf
+                at = cos.argmax(1)
+                found = np.flatnonzero(np.isfinite(cos[np.arange(len(at)), at]))
+                at = pa.array(order[at][found])
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(found)), ids.take(at), names.take(at), pa.array(cos.max(1)[found])], [key, "nearest", "guess", "cos"])
+
+    wide = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.select(key, label, F.transform(vector, lambda x: x.cast("double")).alias("_v")).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(wide)))
+    packed = dealt.groupBy("_part").agg(F.collect_list(F.struct(key, label, "_v")).alias("_rows"))
+    pairs = packed.select("_rows").crossJoin(blocks.select("_q"))  # about BLOCK rows in each
+    near = pairs.mapInArrow(each, f"{key} {key_type}, nearest {key_type}, guess {label_type}, cos double")
+    best = near.groupBy(key).agg(F.max_by(F.struct("nearest", "guess", "cos"), F.struct("cos", -F.col("nearest"))).alias("_b"))
+    return queries.select(key, label).join(best, key).select(key, label, "_b.nearest", "_b.guess", "_b.cos")
 
 
 def mass_shares(df: DataFrame, mass: Column, tops: Sequence[int]) -> DataFrame:

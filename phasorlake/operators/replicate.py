@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phasorlake.plans import running
+
 PEER, COUNTER = "peer", "counter"
 
 
@@ -57,9 +59,8 @@ def grow_only(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def split_point(df: DataFrame, axis: str, mass: str, share: float = 0.5) -> DataFrame:
     """One row, ``cut``: the least value at which the running mass reaches a share."""
-    held = df.groupBy(axis).agg(F.sum(mass).alias("_m"))
-    run = F.sum("_m").over(Window.orderBy(axis).rowsBetween(Window.unboundedPreceding, 0))
-    return held.withColumns({"_run": run, "_all": F.sum("_m").over(Window.partitionBy())}).filter(F.col("_run") >= F.col("_all") * share).agg(F.min(axis).alias("cut"))
+    held = running(df, axis, mass)
+    return held.filter(F.col("_before") + F.col("_w") >= F.col("_all") * share).agg(F.min(axis).alias("cut"))
 
 
 def growth(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasorlake.operators.structures import gram_profile, ngrams
-from phasorlake.plans import first_by
+from phasorlake.operators.structures import unit_profile_arrays
+from phasorlake.plans import BROADCAST, first_by
 from phasorlake.space import Space, bind, bundle, cleanup, codebook, pair, similarity, unbind
 
 
 def unit_profiles(space: Space, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, j, re, im): letter trigram profiles of norm 1; a floor keeps an empty text at 0."""
-    p = gram_profile(space, ngrams(rows, key, text), key)
-    n = p.groupBy(key).agg(F.sqrt(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("_n"))
-    d = F.greatest(F.col("_n"), F.lit(1e-9))
-    return p.join(n, key).withColumns({"re": F.col("re") / d, "im": F.col("im") / d}).drop("_n")
+    """(key, j, re, im): letter trigram profiles of norm 1. A text without a trigram has no rows, and is not routed."""
+    packed = unit_profile_arrays(space, rows, key, text)
+    return packed.select(key, F.posexplode(F.arrays_zip("re", "im")).alias("j", "v")).select(key, "j", "v.re", "v.im")
 
 
 def dispatch_matrix(space: Space, rules: DataFrame, inputs: DataFrame, key: str, threshold: float | None = None) -> DataFrame:
-    """(key, rule, action, score): the rule of the best cosine; action is null (an abstention) below the threshold. Rules are (rule, condition, action)."""
-    q = unit_profiles(space, inputs, key, "text")
-    c = unit_profiles(space, rules, "rule", "condition").withColumnsRenamed({"re": "bre", "im": "bim"})
-    s = similarity(q, c, [key, "rule"], space.dim).withColumn("score", F.col("score") * F.lit(float(space.dim)))
-    best = first_by(s, [key], [F.round("score", 9).desc(), F.col("rule").asc()]).join(rules.select("rule", "action"), "rule")
+    """(key, rule, action, score): the rule of the best cosine; action is null (an abstention) below the threshold. Rules are (rule, condition, action).
+
+    A rule book up to BROADCAST bytes of profiles goes to the tasks, which multiply blocks
+    of inputs with it; a larger one is joined by component."""
+    book = unit_profile_arrays(space, rules, "rule", "condition")
+    if rules.count() * space.dim * 16 <= BROADCAST:
+        s = _best_rules(unit_profile_arrays(space, inputs, key, "text"), book, key, inputs.schema[key].dataType.simpleString(), rules.schema["rule"].dataType.simpleString())
+        best = s.join(rules.select("rule", "action"), "rule")
+    else:
+        c = unit_profiles(space, rules, "rule", "condition").withColumnsRenamed({"re": "bre", "im": "bim"})
+        s = similarity(unit_profiles(space, inputs, key, "text"), c, [key, "rule"], space.dim).withColumn("score", F.col("score") * F.lit(float(space.dim)))
+        best = first_by(s, [key], [F.round("score", 9).desc(), F.col("rule").asc()]).join(rules.select("rule", "action"), "rule")
     action = F.col("action") if threshold is None else F.when(F.col("score") >= threshold, F.col("action"))
     return best.select(key, "rule", action.alias("action"), "score")
 
 
+def _best_rules(inputs: DataFrame, book: DataFrame, key: str, key_type: str, rule_type: str) -> DataFrame:
+    rows = sorted(book.collect(), key=lambda r: r["rule"])
+    names, matrix = [r["rule"] for r in rows], np.array([[*r["re"], *r["im"]] for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+                if not len(names):
+                    continue
+                q = np.hstack([part.column(i).flatten().to_numpy().reshape(part.num_rows, -1) for i in (1, 2)])
+                score = q @ matrix.T
+                at = np.round(score, 9).argmax(1)  # the first of equals has the least rule
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([names[i] for i in at]), pa.array(score[np.arange(len(at)), at])], [key, "rule", "score"])
+
+    return inputs.mapInArrow(run, f"{key} {key_type}, rule {rule_type}, score double")
+
+
 def rule_bundle(space: Space, rules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """sum of condition profiles bound to action codewords."""
     c = unit_profiles(space, rules, "rule", "condition").join(rules.select("rule", "action", *by), "rule")

@@ -5,23 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasorlake.functions import bucket, clip
-from phasorlake.plans import cell, neighbours
+from phasorlake.plans import cell, neighbours, running
 
 
 def weighted_quantile(df: DataFrame, value: str, weight: str, q: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, q, value): linear between midpoints of the cumulative weights; ends are held.
 
-    Equal values are summed first, so the ordered pass is over distinct values.
-    """
-    w = Window.partitionBy(*by).orderBy(value)
-    held = df.groupBy(*by, value).agg(F.sum(weight).alias("_w")).filter(F.col("_w") > 0)
-    total = F.sum("_w").over(Window.partitionBy(*by))
-    held = held.withColumn("_m", (F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w") / 2) / total)
-    held = held.withColumns({"_pm": F.lag("_m").over(w), "_pv": F.lag(value).over(w), "_last": F.lead("_m").over(w).isNull()})
+    Equal values are summed first, and values are ordered by ranges: no task holds a
+    group's values."""
+    held = running(df.filter(F.col(weight) != 0), value, weight, by).filter(F.col("_w") > 0)
+    middle = (F.col("_before") + F.col("_w") / 2) / F.col("_all")
+    below = (F.col("_lowbefore") + (F.col("_before") - F.col("_lowbefore")) / 2) / F.col("_all")  # the next lower value's
+    held = held.withColumns({"_m": middle, "_pm": below, "_pv": F.col("_low")})
     asked = held.withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in q])))
     inside = F.col("_pm").isNotNull() & (F.col("q") > F.col("_pm")) & (F.col("q") <= F.col("_m"))
     between = F.col("_pv") + (F.col(value) - F.col("_pv")) * (F.col("q") - F.col("_pm")) / (F.col("_m") - F.col("_pm"))

@@ -3,10 +3,15 @@ of codewords (``*_bundle`` and the reads on it) and as its exact relational twin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasorlake.plans import first_by
+from phasorlake.plans import BROADCAST, first_by
 from phasorlake.space import Space, bind, bundle, cleanup, codebook, matches, pair, scores, shift, similarity, unbind
 
 
@@ -88,24 +93,126 @@ def stack_order(rows: DataFrame, stack: str, order: list[Column]) -> DataFrame:
 
 # n-grams
 
+def _grams(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of ``n`` characters, a row of code points each, and their counts."""
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    if len(c) < n:
+        return np.empty((0, n), np.uint32), np.empty(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(c, n)
+    if n > 3:
+        return np.unique(windows, axis=0, return_counts=True)
+    keys = np.zeros(len(windows), np.uint64)
+    for i in range(n):
+        keys = keys << np.uint64(21) | windows[:, i]
+    keys, count = np.unique(keys, return_counts=True)
+    return np.column_stack([(keys >> np.uint64(21 * (n - 1 - i)) & np.uint64(0x1FFFFF)).astype(np.uint32) for i in range(n)]), count
+
+
+def letters(text: str, keep: str = "[^a-z ]") -> Column:
+    return F.regexp_replace(F.lower(text), keep, "")
+
+
 def ngrams(docs: DataFrame, key: str, text: str, n: int = 3, keep: str = "[^a-z ]") -> DataFrame:
-    """(key, gram, n): counts of letter n-grams, lower-cased, other characters dropped."""
-    clean = F.regexp_replace(F.lower(text), keep, "")
-    # letters as an array: substring would scan from the start for each place
-    letters = docs.select(key, F.split(clean, "").alias("_a"), F.length(clean).alias("_n")).filter(F.col("_n") >= n)
-    gram = "concat(" + ", ".join(f"_a[i + {k}]" for k in range(n)) + ")"
-    rows = letters.select(key, F.explode(F.expr(f"transform(sequence(0, _n - {n}), i -> {gram})")).alias("gram"))
-    return rows.groupBy(key, "gram").agg(F.count("*").alias("n"))
+    """(key, gram, n): counts of letter n-grams, lower-cased, other characters dropped.
+
+    Counted within each text first, so the shuffle gets a row for each text and gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch.column(1))):
+                codes, count = _grams(batch.column(1)[i].as_py() or "", n)
+                if len(count):
+                    flat = np.ascontiguousarray(codes.astype("<u4")).tobytes().decode("utf-32-le")
+                    grams = [flat[a : a + n] for a in range(0, len(flat), n)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(grams))), pa.array(grams), pa.array(count.astype(np.int64))], [key, "gram", "n"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(key, letters(text, keep).alias("_t")).mapInArrow(run, f"{key} {kind}, gram string, n long")
+    return rows.groupBy(key, "gram").agg(F.sum("n").alias("n"))
 
 
 def gram_profile(space: Space, counts: DataFrame, key: str, n: int = 3) -> DataFrame:
-    """Bundles of rho^(n-1-i)(letter i) bound over each gram, weighted by its count."""
-    df = space.expand(counts)
+    """Bundles of rho^(n-1-i)(letter i) bound over each gram, weighted by its count. A gram's codeword is made once."""
+    df = space.expand(counts.select("gram").distinct())
     re, im = F.lit(1.0), F.lit(0.0)
     for i in range(n):
         t = space.theta(F.substring("gram", i + 1, 1), F.pmod(F.col("j") + F.lit(n - 1 - i), F.lit(space.dim)))
         re, im = bind((re, im), (F.cos(t), F.sin(t)))
-    return bundle(df, [key], re, im, F.col("n").cast("double"))
+    codes = df.select("gram", "j", re.alias("_re"), im.alias("_im"))
+    return bundle(counts.join(codes, "gram"), [key], "_re", "_im", F.col("n").cast("double"))
+
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyz "
+
+
+def gram_codes(space: Space, spark) -> np.ndarray:
+    """Angles of the alphabet's letters, a row each: what kernels make all codewords of trigrams from."""
+    rows = spark.createDataFrame([(c,) for c in ALPHABET], "c string")
+    got = space.expand(rows).select("c", "j", space.theta(F.col("c"), F.col("j")).alias("t")).collect()
+    out = np.zeros((len(ALPHABET), space.dim))
+    for r in got:
+        out[ALPHABET.index(r.c), r.j] = r.t
+    return out
+
+
+def unit_profile_arrays(space: Space, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, re, im): letter trigram profiles of norm 1 as arrays. A text without a trigram has no row."""
+    angles, dim = gram_codes(space, docs.sparkSession), space.dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turned = [np.exp(1j * np.roll(angles, -k, 1)) for k in (2, 1, 0)]
+        place = np.zeros(128, np.int64)
+        for i, c in enumerate(ALPHABET):
+            place[ord(c)] = i
+        codes = (turned[0][:, None, None] * turned[1][None, :, None] * turned[2][None, None]).reshape(-1, dim)
+        for batch in batches:
+            at, out = [], []
+            for i, t in enumerate(batch.column(1)):
+                got, count = _grams(t.as_py() or "", 3)
+                if len(count):
+                    x = place[got]
+                    v = count @ codes[x[:, 0] * 729 + x[:, 1] * 27 + x[:, 2]]
+                    at.append(i)
+                    out.append(v / max(np.sqrt((np.abs(v) ** 2).sum()), 1e-9))
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([v.real for v in out], kind), pa.array([v.imag for v in out], kind)], [key, "re", "im"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, letters(text).alias("_t")).mapInArrow(run, f"{key} {kind}, re array<double>, im array<double>")
+
+
+def profile_cosines(docs: DataFrame, key: str, text: str, profiles: DataFrame, name: str) -> DataFrame:
+    """(key, name, cos) of each text's trigram counts with the counts (name, gram, n) of every profile.
+
+    Few profiles go to the tasks, after a check of their size; else both sides are joined by gram."""
+    if profiles.count() * 32 > BROADCAST:
+        return count_cosine(ngrams(docs, key, text), key, profiles, name)
+    held: dict = {}
+    for r in profiles.collect():
+        held.setdefault(r[name], {})[r["gram"]] = float(r["n"])
+    names = sorted(held)
+    norms = [sum(n * n for n in held[x].values()) ** 0.5 for x in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, who, cos = [], [], []
+            for i, t in enumerate(batch.column(1)):
+                codes, count = _grams(t.as_py() or "", 3)
+                if not len(count):
+                    continue
+                flat = np.ascontiguousarray(codes.astype("<u4")).tobytes().decode("utf-32-le")
+                grams, norm = [flat[a : a + 3] for a in range(0, len(flat), 3)], float((count.astype(float) ** 2).sum()) ** 0.5
+                for x, m in zip(names, norms):
+                    other = held[x]
+                    d = sum(n * other[g] for g, n in zip(grams, count.tolist()) if g in other)
+                    if d:
+                        at.append(i)
+                        who.append(x)
+                        cos.append(d / (norm * m))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(who), pa.array(cos, pa.float64())], [key, name, "cos"])
+
+    kinds = docs.schema[key].dataType.simpleString(), profiles.schema[name].dataType.simpleString()
+    return docs.select(key, letters(text).alias("_t")).mapInArrow(run, f"{key} {kinds[0]}, {name} {kinds[1]}, cos double")
 
 
 def count_cosine(a: DataFrame, akey: str, b: DataFrame, bkey: str, item: str = "gram", n: str = "n") -> DataFrame:
@@ -170,17 +277,80 @@ def fsm_step(space: Space, memory: DataFrame, asked: DataFrame, states: DataFram
     return cleanup(out, codebook(space, states, label), [state, symbol], space.dim)
 
 
-def fsm_run(rows: DataFrame, machine: str, position: str, symbol: str, rules: DataFrame, start: str, state: str = "state", rule_symbol: str = "symbol", after: str = "after") -> DataFrame:
-    """(machine, position, state after it): one fold over each machine's own inputs, with the
-    rule table as a map; a missing rule keeps the state. The rules are a table of the automaton's size."""
-    table = rules.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x01", state, rule_symbol), F.col(after)))).alias("_rules"))
-    inputs = rows.groupBy(machine).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(symbol).alias("a")))).alias("_in"))
-    fold = F.expr(
-        f"aggregate(_in, named_struct('s', '{start}', 'out', cast(array() as array<struct<position:bigint,state:string>>)), "
-        "(acc, x) -> named_struct('s', coalesce(_rules[concat_ws('\\u0001', acc.s, x.a)], acc.s), "
-        "'out', concat(acc.out, array(named_struct('position', cast(x.p as bigint), 'state', coalesce(_rules[concat_ws('\\u0001', acc.s, x.a)], acc.s))))))"
-    )
-    return inputs.crossJoin(F.broadcast(table)).select(machine, F.explode(fold["out"]).alias("_o")).select(machine, "_o.position", "_o.state")
+def fsm_run(rows: DataFrame, machine: str, position: str, symbol: str, rules: DataFrame, start: str, state: str = "state", rule_symbol: str = "symbol", after: str = "after", block: int = 4096) -> DataFrame:
+    """(machine, position, state after it); a missing rule keeps the state. Positions count from 1 without gaps.
+
+    A machine's inputs are cut into blocks. Each block is run from every state at once;
+    the blocks' maps of states, a row each, are composed to the state in which each block
+    starts; then each block is run once. So a machine of any length is spread over tasks.
+    The rules, a table of the automaton's size, go to all tasks after a check of it.
+    """
+    table = rules.select(F.col(state).cast("string"), F.col(rule_symbol).cast("string"), F.col(after).cast("string"))
+    if table.count() * 256 > BROADCAST:
+        raise ValueError("the automaton has too many rules to go to every task")
+    step: dict = {}
+    for s, a, t in table.collect():
+        step.setdefault(a, {})[s] = t
+    states = sorted({start} | {s for m in step.values() for s in m} | {t for m in step.values() for t in m.values()})
+    kind = rows.schema[machine].dataType.simpleString()
+    blocks = rows.select(machine, F.col(position).cast("long").alias("position"), F.col(symbol).cast("string").alias("symbol")).withColumn("_b", F.floor((F.col("position") - 1) / block))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Stretches of one machine's block within a batch, and whether the block goes on from the batch before."""
+        last = None
+        for batch in batches:
+            m, b = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            a = 0
+            for i in range(1, len(m) + 1):
+                if i == len(m) or (m[i], b[i]) != (m[a], b[a]):
+                    yield (m[a], b[a]), batch, a, i, (m[a], b[a]) == last
+                    last, a = (m[a], b[a]), i
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key: tuple, now: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{machine: key[0], "_b": key[1], "_map": now}], schema)
+
+        schema = pa.schema([(machine, pa_kind), ("_b", pa.int64()), ("_map", pa.list_(pa.string()))])
+        key, now = None, []
+        for k, batch, a, b, more in runs(batches):
+            if not more:
+                if key is not None:
+                    yield out(key, now)
+                key, now = k, list(states)
+            for x in batch.column(2).slice(a, b - a).to_pylist():
+                if x in step:
+                    now = [step[x].get(s, s) for s in now]
+        if key is not None:
+            yield out(key, now)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = start
+        for _, batch, a, b, more in runs(batches):
+            if not more:
+                now = batch.column(4)[a].as_py()
+            said = []
+            for x in batch.column(2).slice(a, b - a).to_pylist():
+                now = step.get(x, {}).get(now, now)
+                said.append(now)
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(said, pa.string())], [machine, "position", "state"])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        now, said = start, []
+        pdf = pdf.sort_values("_b")
+        for m in pdf["_map"]:
+            said.append(now)
+            now = m[states.index(now)]
+        return pd.DataFrame({machine: pdf[machine], "_b": pdf["_b"], "_from": said})
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    pa_kind = to_arrow_type(rows.schema[machine].dataType)
+    dealt = blocks.repartition(machine, "_b").sortWithinPartitions(machine, "_b", "position")
+    maps = dealt.mapInArrow(compose, f"{machine} {kind}, _b long, _map array<string>")
+    starts = maps.groupBy(machine).applyInPandas(chain, f"{machine} {kind}, _b long, _from string")
+    ready = blocks.join(starts, [machine, "_b"]).select(machine, "position", "symbol", "_b", "_from")
+    return ready.repartition(machine, "_b").sortWithinPartitions(machine, "_b", "position").mapInArrow(emit, f"{machine} {kind}, position long, state string")
 
 
 def top_followers(rows: DataFrame, key: str, order: list[str], symbol: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasorlake.plans import first_by
+from phasorlake.plans import first_by, keep
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -62,7 +62,8 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
 def chunks(paras: DataFrame, key: str, least: int = 200, most: int = 1200) -> DataFrame:
     """(key, heading, l0, l1, body): paragraphs under a heading merged to at least ``least`` characters, at most ``most``.
 
-    An order-dependent fold over one file's paragraphs."""
+    A paragraph that is longer stays whole. An order-dependent fold over one file's
+    paragraphs."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line")
@@ -72,7 +73,7 @@ def chunks(paras: DataFrame, key: str, least: int = 200, most: int = 1200) -> Da
         def end() -> None:
             nonlocal held
             if held:
-                rows.append((k, heading, l0, l1, held[:most]))
+                rows.append((k, heading, l0, l1, held))
             held = ""
 
         for line, kind, body in zip(pdf["line"], pdf["kind"], pdf["body"]):
@@ -114,8 +115,8 @@ def supersession(claims: DataFrame) -> DataFrame:
     any length takes as many rounds as its length has binary digits."""
     links = claims.filter("supersedes IS NOT NULL AND id <> supersedes").select(F.col("id").alias("root"), F.col("supersedes").alias("id"))
     nodes = claims.select(F.col("id").alias("root")).union(links.select("id")).distinct()
-    tails = nodes.select("root", F.col("root").alias("id"), F.array("root").alias("path")).localCheckpoint()  # fewer than n links
-    jumps = links.withColumn("path", F.array("root", "id")).localCheckpoint()  # n links
+    tails = keep(nodes.select("root", F.col("root").alias("id"), F.array("root").alias("path")))  # fewer than n links
+    jumps = keep(links.withColumn("path", F.array("root", "id")))  # n links
     while not jumps.isEmpty():
 
         def after(rest: DataFrame, jumps: DataFrame = jumps) -> DataFrame:
@@ -123,7 +124,7 @@ def supersession(claims: DataFrame) -> DataFrame:
             met = jumps.join(rest, F.col("id") == F.col("_at")).filter(~F.arrays_overlap("path", "_more"))
             return met.select("root", F.col("_id").alias("id"), F.concat("path", "_more").alias("path"))
 
-        tails, jumps = tails.unionByName(after(tails)).localCheckpoint(), after(jumps).localCheckpoint()
+        tails, jumps = keep(tails.unionByName(after(tails))), keep(after(jumps))
     rows = claims.select(F.col("id").alias("_row"))
     return rows.join(tails, F.col("_row").eqNullSafe(F.col("root"))).select("root", "id", (F.size("path") - 1).alias("step"))
 

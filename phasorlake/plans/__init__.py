@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a table up to which it is broadcast to Python kernels; beyond, joins do the work.
+BROADCAST = 64 << 20
+
 
 def cell(value: Column, size: float) -> Column:
     """Number of the half-open grid cell that a value is in."""
@@ -42,3 +47,57 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     out = df.withColumn(rank or "_rank", F.row_number().over(w)).filter(F.col(rank or "_rank") <= k)
     return out if rank else out.drop("_rank")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset and all tasks run in this process, one of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    if not getattr(spark, "_phasorlake_plans", None):
+        spark._phasorlake_plans = tempfile.mkdtemp(prefix="phasorlake-")
+    return spark._phasorlake_plans
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read again: lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, value: str, weight: str, by: Sequence[str] = (), parts: int = 64) -> DataFrame:
+    """Distinct values with running sums of weights, without one task that holds all of a group's.
+
+    Adds, by (by, value) in order of value: ``_before`` (weights of lower values),
+    ``_all`` (of the group), and the value and ``_before`` of the next lower value in
+    ``_low`` and ``_lowbefore`` (null for the lowest), and ``_last`` (no higher one is).
+    Values are cut into ``parts`` ranges by approximate quantiles; sums of ranges, a row
+    each, are accumulated first, then each range orders its own values.
+    """
+    by = list(by)
+    held = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
+    cuts = held.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    held = (held.join(cuts, by) if by else held.crossJoin(F.broadcast(cuts))).withColumn("_part", F.size(F.array_distinct(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
+    order = Window.partitionBy(*by).orderBy("_part")
+    sums = held.groupBy(*by, "_part").agg(F.sum("_w").alias("_s"), F.max(value).alias("_top"), F.max_by("_w", value).alias("_topw"))
+    sums = sums.withColumns({
+        "_base": F.coalesce(F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_all": F.sum("_s").over(Window.partitionBy(*by)),
+        "_ptop": F.lag("_top").over(order),
+        "_ptopw": F.lag("_topw").over(order),
+        "_end": F.lead("_part").over(order).isNull(),
+    }).drop("_s", "_top", "_topw")
+    w = Window.partitionBy(*by, "_part").orderBy(value)
+    out = held.join(sums, [*by, "_part"])
+    inner = F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")
+    out = out.withColumn("_before", F.col("_base") + inner)
+    low, lowbefore = F.lag(value).over(w), F.lag("_before").over(w)
+    out = out.withColumns({
+        "_low": F.coalesce(low, "_ptop"),
+        "_lowbefore": F.coalesce(lowbefore, F.col("_base") - F.col("_ptopw")),
+        "_last": F.col("_end") & F.lead(value).over(w).isNull(),
+    })
+    return out.drop("_part", "_base", "_ptop", "_ptopw", "_end")

@@ -130,28 +130,56 @@ def _rules(spark, d):
 
 
 def _inputs(spark, d):
-    return load(spark, d, "pages").select("page_id", F.col("url").alias("text"))
+    """Whole texts of all documents."""
+    return load(spark, d, "documents").select("doc_id", "text")
 
 
-@query()
+def _grams_of(name: str, key: str, text: str, table: str) -> str:
+    return f"{name} AS (SELECT {key}, substr(t, i, 3) AS gram, count(*) AS n FROM (SELECT {key}, t, unnest(range(1, len(t) - 1)) AS i FROM (SELECT {key}, regexp_replace(lower({text}), '[^a-z ]', '', 'g') AS t FROM {table}) WHERE len(t) >= 3) GROUP BY ALL)"
+
+
+_L = [theta(D, f"substr(gram, {i + 1}, 1)", f"((j+{2 - i})%{D})") for i in range(3)]
+_PROFILES = f"""{_grams_of('ga', 'doc_id', 'text', 'documents')}, {_grams_of('gb', 'item_id', 'text', 'benchmark')},
+gc AS (SELECT gram, j, {_L[0]} + {_L[1]} + {_L[2]} AS t FROM (SELECT gram FROM ga UNION SELECT gram FROM gb), {js(D)}),
+pa AS (SELECT doc_id, j, sum(n*cos(t)) AS re, sum(n*sin(t)) AS im FROM ga JOIN gc USING (gram) GROUP BY ALL), pb AS (SELECT item_id, j, sum(n*cos(t)) AS re, sum(n*sin(t)) AS im FROM gb JOIN gc USING (gram) GROUP BY ALL),
+q AS (SELECT doc_id, j, re / nn AS re, im / nn AS im FROM (SELECT *, greatest(sqrt(sum(re*re+im*im) OVER (PARTITION BY doc_id)), 1e-9) AS nn FROM pa)),
+r AS (SELECT item_id AS rule, 'act' || (item_id % 5) AS action, item_id % 8 AS band, j, re / nn AS re, im / nn AS im FROM (SELECT *, greatest(sqrt(sum(re*re+im*im) OVER (PARTITION BY item_id)), 1e-9) AS nn FROM pb))"""
+_TA = theta(D, "action")
+
+
+@query(f"WITH {_PROFILES}, s AS (SELECT doc_id, rule, any_value(action) AS action, sum(q.re*r.re + q.im*r.im) AS score FROM q JOIN r USING (j) GROUP BY doc_id, rule) SELECT doc_id, rule, CASE WHEN score >= 0.1 THEN action END AS action, {s6('score')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, rule) = 1")
 def route_matrix(spark, d):
-    return R.dispatch_matrix(SPACE, _rules(spark, d), _inputs(spark, d), "page_id", 0.1).withColumn("score", r6("score"))
+    """Each document's nearest text of the benchmark, and the action of that rule."""
+    return R.dispatch_matrix(SPACE, _rules(spark, d), _inputs(spark, d), "doc_id", 0.1).withColumn("score", r6("score"))
 
 
-@query()
+_MEM = "{name} AS (SELECT {by}j, sum(re*cos(ta) - im*sin(ta)) AS re, sum(re*sin(ta) + im*cos(ta)) AS im FROM (SELECT *, " + _TA + " AS ta FROM r) GROUP BY {by}j)"
+_ACTS = f"k AS (SELECT action AS label, j, {_TA} AS t FROM (SELECT DISTINCT action FROM r), {js(D)})"
+
+
+@query(
+    f"""WITH {_PROFILES}, {_MEM.format(name='m', by='')}, {_ACTS}, c AS (SELECT doc_id, label, sum((m.re*q.re+m.im*q.im)*cos(k.t) + (m.im*q.re-m.re*q.im)*sin(k.t)) / {D} AS score FROM q JOIN m USING (j) JOIN k USING (j) GROUP BY ALL)
+SELECT doc_id, CASE WHEN score >= 0.0 THEN label END AS action, {s6('score')} AS score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1"""
+)
 def route_bundle(spark, d):
     rules = _rules(spark, d)
-    return R.dispatch_bundle(SPACE, R.rule_bundle(SPACE, rules), rules, _inputs(spark, d), "page_id", 0.0).withColumn("score", r6("score"))
+    return R.dispatch_bundle(SPACE, R.rule_bundle(SPACE, rules), rules, _inputs(spark, d), "doc_id", 0.0).withColumn("score", r6("score"))
 
 
-@query()
+@query(
+    f"""WITH {_PROFILES}, {_MEM.format(name='m', by='band, ')}, {_ACTS}, ce AS (SELECT band, j, avg(re) AS re, avg(im) AS im FROM r GROUP BY ALL),
+near AS (SELECT doc_id, band FROM (SELECT doc_id, band, sum(q.re*ce.re + q.im*ce.im) / {D} AS s FROM q JOIN ce USING (j) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(s), 9) DESC, band) <= 2),
+c AS (SELECT doc_id, band, label, sum((m.re*q.re+m.im*q.im)*cos(k.t) + (m.im*q.re-m.re*q.im)*sin(k.t)) / {D} AS score FROM near JOIN q USING (doc_id) JOIN m USING (band, j) JOIN k USING (j) GROUP BY ALL),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, band ORDER BY score DESC, label) = 1)
+SELECT doc_id, band, label AS action, {s6('score')} AS score FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, band) = 1"""
+)
 def route_banded(spark, d):
-    return R.dispatch_banded(SPACE, R.banded(_rules(spark, d), 8), _inputs(spark, d), "page_id", 2).withColumn("score", r6("score"))
+    return R.dispatch_banded(SPACE, R.banded(_rules(spark, d), 8), _inputs(spark, d), "doc_id", 2).withColumn("score", r6("score"))
 
 
 @query()
 def route_clustered(spark, d):
-    return R.dispatch_banded(SPACE, R.clustered(SPACE, _rules(spark, d), 4), _inputs(spark, d), "page_id", 1).withColumn("score", r6("score"))
+    return R.dispatch_banded(SPACE, R.clustered(SPACE, _rules(spark, d), 4), _inputs(spark, d), "doc_id", 1).withColumn("score", r6("score"))
 
 
 @query()

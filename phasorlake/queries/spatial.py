@@ -189,12 +189,14 @@ def radial_power(spark, d):
     return e.groupBy("label", "ring", (F.col("y") > 0).alias("up")).agg(r6(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).alias("power"))
 
 
-_KNN = "p AS (SELECT a.vec_id, a.label, b.vec_id AS k, b.label AS l, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), t AS (SELECT vec_id, label, k AS nearest, l AS guess, cos FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, k) = 1)"
+_KNN = "p AS (SELECT a.vec_id, a.label, b.vec_id AS k, b.label AS l, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0), t AS (SELECT vec_id, label, k AS nearest, l AS guess, cos FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, k) = 1)"
 
 
 @query(f"WITH {_KNN} SELECT label, avg((label = guess)::INT::DOUBLE) AS accuracy, count(*) AS n FROM t GROUP BY label")
 def loo_1nn(spark, d):
-    out = A.knn_labels(load(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    """Ids divisible by 20 against all."""
+    e = load(spark, d, "embeddings")
+    out = A.knn_labels(e, "vec_id", "embedding", "label", e.filter("vec_id % 20 = 0"))
     return out.groupBy("label").agg(F.avg((F.col("label") == F.col("guess")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 

@@ -191,9 +191,8 @@ def ngram_lang_cosine(spark, d):
     from phasorlake.plans import first_by
 
     docs = load(spark, d, "documents")
-    g = S.ngrams(docs, "doc_id", "text")
-    lang = g.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = first_by(S.count_cosine(g, "doc_id", lang, "lang"), ["doc_id"], [F.round("cos", 9).desc(), F.col("lang").asc()])
+    lang = S.ngrams(docs, "lang", "text")
+    best = first_by(S.profile_cosines(docs, "doc_id", "text", lang, "lang"), ["doc_id"], [F.round("cos", 9).desc(), F.col("lang").asc()])
     return best.select("doc_id", F.col("lang").alias("guess"), r6("cos").alias("cos"))
 
 
