@@ -140,3 +140,67 @@ def view_bundle(field: DataFrame, table: DataFrame, view: Sequence[float], half:
     slim = table.withColumn("_a", a).select("j", "_a")
     gain = F.when(F.abs("_a") < 1e-9, F.lit(2.0 * half)).otherwise(F.lit(2.0) * F.sin(F.col("_a") * F.lit(half)) / F.col("_a"))
     return field.join(slim, "j").withColumns({"re": F.col("re") * gain, "im": F.col("im") * gain}).drop("_a")
+
+
+def is_there(space: Space, field: DataFrame, probes: DataFrame, key: str, table: DataFrame, axes: Sequence[str], label: str) -> DataFrame:
+    """(key, score): how much of the label is at the point, one inner product for each probe."""
+    df = probes.crossJoin(table).join(field, "j")
+    t = phase(axes) + space.theta(F.col(label).cast("string"), F.col("j"))
+    return df.groupBy(key).agg((F.sum(F.col("re") * F.cos(t) + F.col("im") * F.sin(t)) / F.lit(float(space.dim))).alias("score"))
+
+
+def record_field(space: Space, splats: DataFrame, table: DataFrame, axes: Sequence[str], payload: DataFrame, key: str, role: str, filler: str) -> DataFrame:
+    """sum of e^{iw.mu} bound to each splat's record; ``payload`` is (key, role, filler)."""
+    df = splats.join(payload, key).crossJoin(table)
+    j = F.col("j")
+    t = phase(axes) + space.theta(F.col(role).cast("string"), j) + space.theta(F.col(filler).cast("string"), j)
+    return bundle(df, [], F.cos(t), F.sin(t))
+
+
+def record_at(space: Space, field: DataFrame, points: DataFrame, key: str, table: DataFrame, axes: Sequence[str], roles: DataFrame, role: str, fillers: DataFrame, filler: str) -> DataFrame:
+    """(key, role, label, score): the position unbound, then the role; the filler cleaned up."""
+    asked = codebook(space, roles, role).withColumnsRenamed({"label": role})
+    df = points.crossJoin(table).join(field, "j").join(asked, "j")
+    re, im = unbind(pair(), (F.cos(phase(axes)), F.sin(phase(axes))))
+    df = df.withColumns({"_re": re, "_im": im})
+    re, im = unbind(pair("_re", "_im"), pair("bre", "bim"))
+    return cleanup(df.select(key, role, "j", re.alias("re"), im.alias("im")), codebook(space, fillers, filler), [key, role], space.dim)
+
+
+def band_tables(space: Space, spark, ndim: int, sigmas: Sequence[float], name: str = "W") -> DataFrame:
+    """(band, j, w0, ...): a frequency table for each band's deviation."""
+    parts = [space.frequencies(spark, ndim, s, f"{name}{b}").withColumn("band", F.lit(b)) for b, s in enumerate(sigmas)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def encode_by_band(splats: DataFrame, tables: DataFrame, axes: Sequence[str], weights: Sequence[str]) -> DataFrame:
+    """(band, j, <weight>_re, <weight>_im): each splat in its band's frequencies."""
+    df = splats.join(tables, "band").withColumn("_t", phase(axes)).withColumns({"_c": F.cos("_t"), "_s": F.sin("_t")})
+    return df.groupBy("band", "j").agg(*[s for w in weights for s in (F.sum(F.col(w) * F.col("_c")).alias(f"{w}_re"), F.sum(F.col(w) * F.col("_s")).alias(f"{w}_im"))])
+
+
+def decode_bands(points: DataFrame, key: str, field: DataFrame, tables: DataFrame, axes: Sequence[str], weights: Sequence[str], dim: int) -> DataFrame:
+    """(key, <weight>): the sum of the bands' fields at each point."""
+    df = points.crossJoin(tables.join(field, ["band", "j"])).withColumn("_t", phase(axes))
+    return df.groupBy(key).agg(*[(F.sum(F.col(f"{w}_re") * F.cos("_t") + F.col(f"{w}_im") * F.sin("_t")) / F.lit(float(dim))).alias(w) for w in weights])
+
+
+def colour_channels(splats: DataFrame, alpha: str, colours: Sequence[str]) -> DataFrame:
+    """Splats with amplitudes ``<colour>_a``, premultiplied by alpha."""
+    return splats.withColumns({f"{c}_a": F.col(alpha) * F.col(c) for c in colours})
+
+
+def mixture_frequencies(space: Space, spark, ndim: int, sigmas: Sequence[float], name: str = "mix") -> DataFrame:
+    """(j, w0, ...): frequencies of a mixture of Gaussians of deviations 1 / sigma: component j mod n is of the j-th deviation."""
+    rows = space.frequencies(spark, ndim, 1.0, name)
+    scale = F.element_at(F.array(*[F.lit(1.0 / s) for s in sigmas]), F.pmod(F.col("j"), F.lit(len(sigmas))) + 1)
+    return rows.select("j", *[(F.col(f"w{k}") * scale).alias(f"w{k}") for k in range(ndim)])
+
+
+def weighted_read(points: DataFrame, key: str, field: DataFrame, table: DataFrame, weights: DataFrame, axes: Sequence[str], dim: int) -> DataFrame:
+    """(key, value): Re sum of S c e^{iw.p} / dim, with the importance weights ``weight`` by j."""
+    df = points.crossJoin(table.join(weights, "j").join(field, "j")).withColumn("_t", phase(axes))
+    return df.groupBy(key).agg((F.sum(F.col("weight") * (F.col("re") * F.cos("_t") - F.col("im") * F.sin("_t"))) / F.lit(float(dim))).alias("value"))

@@ -13,47 +13,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def resonator(signal: np.ndarray, books: list[np.ndarray], iters: int = 40, floor: float = 0.2) -> tuple[list[int], float, bool, int]:
-    """Indices of one codeword from each book whose binding is the signal: (indices, score, converged, rounds).
-
-    All factors' estimates start as their book's sum; each is refined by unbinding the
-    others and projecting on its book, with weights that favour the best, until no index
-    has changed for three rounds."""
+def resonator(signal: np.ndarray, books: list[np.ndarray], iters: int = 40, floor: float = 0.2, hysteresis: float = 0.0, init: list[np.ndarray] | None = None) -> tuple[list[int], float, bool, int, list[list[float]]]:
+    """Indices of one codeword from each book whose binding is the signal: (indices, score, converged, rounds, trace).
+
+    All factors are refined at once from the estimates of the round before: the others
+    are unbound, the rest is projected on the book by its own scores, and brought to the
+    unit circle; ``hysteresis`` is the share of the old estimate that stays. Scores are
+    magnitudes, so a factor's phase is free. It has converged when no index has changed
+    for three rounds and the least score is at the floor. trace has each round's scores."""
     d = len(signal)
-    unit = lambda v: v / np.maximum(np.abs(v), 1e-12)
-    est = [unit(b.sum(0)) for b in books]
-    index, still = [-1] * len(books), 0
-    for step in range(1, iters + 1):
-        found = []
-        for k, b in enumerate(books):  # each factor sees the newest estimates of the others
-            rest = np.conj(np.prod([e for i, e in enumerate(est) if i != k], axis=0)) if len(books) > 1 else np.ones(d)
-            score = (np.conj(b) @ (signal * rest)).real / d
-            found.append(int(score.argmax()))
-            gain = np.maximum(score, 0) ** 2  # squared: of several objects one wins
-            if gain.any():
-                est[k] = unit(gain @ b)
+    unit = lambda v: v / np.where(np.abs(v) == 0, 1.0, np.abs(v))
+    if not 0 <= hysteresis <= 1 or iters < 0 or floor < 0:
+        raise ValueError("rounds and floor can't be negative, hysteresis is a share")
+    if not np.isfinite(signal).all() or any(b.ndim != 2 or b.shape[1] != d or not len(b) for b in books):
+        raise ValueError("a finite signal and books of its length are needed")
+    est = [unit(v) for v in (init if init is not None else [b.sum(0) for b in books])]
+
+    def read() -> tuple[list[int], list[float]]:
+        each = [np.abs(b.conj() @ e) / d for b, e in zip(books, est)]
+        return [int(x.argmax()) for x in each], [float(x.max()) for x in each]
+
+    index, score = read()
+    still, trace, done = 0, [], False
+    for _ in range(iters):
+        whole = np.prod(est, axis=0)
+        new = []
+        for b, e in zip(books, est):
+            rest = signal * np.conj(whole * np.conj(e))  # e is on the unit circle, or 0 where nothing is known
+            new.append(unit((1 - hysteresis) * unit((b.conj() @ rest) @ b) + hysteresis * e))
+        est = new
+        found, score = read()
         still = still + 1 if found == index else 0
         index = found
-        if still >= 3:
+        trace.append(score)
+        if still >= 3 and min(score) >= floor:
+            done = True
             break
-    code = np.prod([b[i] for b, i in zip(books, index)], axis=0)
-    score = float((np.conj(code) @ signal).real / d)
-    return index, score, still >= 3 and score >= floor, step
+    return index, min(score), done, len(trace), trace
 
 
 def factorize_all(signal: np.ndarray, books: list[np.ndarray], most: int, floor: float = 0.2) -> list[tuple[list[int], float, bool, int]]:
-    """Objects found one after the other, each taken away by least squares; the first failure ends it and is returned."""
+    """Objects found one after the other: (indices, amplitude, found, rounds). Each must have the floor's amplitude in
+    what is left, and is taken away by it; the first failure ends the search and is returned."""
     out, rest = [], signal.copy()
     for _ in range(most):
-        r = resonator(rest, books, floor=floor)
-        out.append(r)
-        if not r[2]:
+        index, _, done, rounds, _ = resonator(rest, books, floor=floor)
+        code = np.prod([b[i] for b, i in zip(books, index)], axis=0)
+        amplitude = float((np.conj(code) @ rest).real / len(rest))
+        done = bool(done and amplitude >= floor)
+        out.append((index, amplitude, done, rounds))
+        if not done:
             break
-        code = np.prod([b[i] for b, i in zip(books, r[0])], axis=0)
-        rest = rest - (np.conj(code) @ rest) / len(rest) * code
+        rest = rest - amplitude * code
+    return out
+
+
+def grid_codebook(column: np.ndarray, values: np.ndarray, sign: int = 1) -> np.ndarray:
+    """Codewords of the values of one axis: e^{+-i v w}, a row each."""
+    return np.exp(sign * 1j * np.outer(values, column))
+
+
+def product_codebook(books: list[np.ndarray]) -> np.ndarray:
+    """All bindings of one codeword from each book, the last book fastest."""
+    out = books[0]
+    for b in books[1:]:
+        out = (out[:, None] * b[None]).reshape(-1, b.shape[1])
     return out
 
 
+def butterfly(query: np.ndarray, angles: np.ndarray) -> np.ndarray:
+    """Scores of all rotation products: with k angles vectors there are 2^k rows, row i being the product of
+    e^{i a_b} over the set bits b of i; each angle halves the rows by sums, so the last step has one column each."""
+    x = query[None, :]
+    out = np.array([x[0]])
+    for a in angles[::-1]:
+        out = np.concatenate([out, out * np.exp(-1j * a)[None, :]])
+    return np.abs(out.sum(1)) / len(query)
+
+
+def hrr_cleanup(query: np.ndarray, book: np.ndarray) -> tuple[int, float]:
+    """The real codeword of the best cosine, the first of equals."""
+    n = np.linalg.norm(book, axis=1) * max(float(np.linalg.norm(query)), 1e-30)
+    score = book @ query / np.where(n == 0, 1.0, n)
+    return int(score.argmax()), float(score.max())
+
+
+def hrr_unbind(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Circular correlation: what was bound to b."""
+    return np.fft.irfft(np.fft.rfft(a) * np.conj(np.fft.rfft(b)), len(a))
+
+
 def factor_signals(signals: DataFrame, key: str, books: list[np.ndarray], most: int = 1) -> DataFrame:
     """(key, k, indices, score, converged, rounds) of packed signals with array columns re and im."""
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasorlake.plans import BROADCAST, first_by
+from phasorlake.plans import BROADCAST, first_by, keep
 from phasorlake.space import Space, bind, bundle, cleanup, codebook, matches, pair, scores, shift, similarity, unbind
 
 
@@ -73,6 +73,21 @@ def analogy_exact(rows: DataFrame, rec: str, role: str, filler: str) -> DataFram
     return a.join(b, "_role").filter("a <> b").withColumnRenamed("_role", role)
 
 
+def analogy(space: Space, recs: DataFrame, rec: str, asked: DataFrame, filler: str, roles: DataFrame, role: str, fillers: DataFrame) -> DataFrame:
+    """(a, b, filler, role, label, score): the role that a filler has in record a, and what record b has there.
+
+    Two unbindings, each cleaned up. ``asked`` is (a, b, filler)."""
+    f = codebook(space, asked, filler).withColumnsRenamed({"label": filler})
+    one = asked.join(recs.withColumnRenamed(rec, "a"), "a").join(f, [filler, "j"])
+    re, im = unbind(pair(), pair("bre", "bim"))
+    found = cleanup(one.select("a", "b", filler, "j", re.alias("re"), im.alias("im")), codebook(space, roles, role), ["a", "b", filler], space.dim)
+    found = found.select("a", "b", filler, F.col("label").alias("role"))
+    r = codebook(space, roles, role).withColumnsRenamed({"label": "role"})
+    two = found.join(recs.withColumnRenamed(rec, "b"), "b").join(r, ["role", "j"])
+    re, im = unbind(pair(), pair("bre", "bim"))
+    return cleanup(two.select("a", "b", filler, "role", "j", re.alias("re"), im.alias("im")), codebook(space, fillers, filler), ["a", "b", filler, "role"], space.dim)
+
+
 # sequences
 
 def sequence_bundle(space: Space, rows: DataFrame, seq: str, position: str, item: str) -> DataFrame:
@@ -91,6 +106,27 @@ def stack_order(rows: DataFrame, stack: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("pop", F.row_number().over(Window.partitionBy(stack).orderBy(*order)))
 
 
+def stack_bundle(space: Space, rows: DataFrame, stack: str, depth: str, item: str) -> DataFrame:
+    """sum of rho^depth(item): the top has depth 0, a push shifts all others by one."""
+    return sequence_bundle(space, rows, stack, depth, item)
+
+
+def stack_push(space: Space, memory: DataFrame, stack: str, pushed: DataFrame, item: str) -> DataFrame:
+    return bundle(shift(memory, 1, space.dim).unionByName(space.codewords(pushed.select(stack, item), item).drop(item)), [stack])
+
+
+def stack_pops(space: Space, memory: DataFrame, stack: str, items: DataFrame, item: str, n: int) -> DataFrame:
+    """(stack, pop, label, score): the top read, taken away and the rest shifted back, ``n`` times."""
+    book, out = codebook(space, items, item), None
+    for k in range(n):
+        top = keep(cleanup(memory, book, [stack], space.dim))
+        found = top.withColumn("pop", F.lit(k + 1)).select(stack, "pop", "label", "score")
+        out = found if out is None else out.unionByName(found)
+        gone = top.join(book, "label").select(stack, "j", (-F.col("bre")).alias("re"), (-F.col("bim")).alias("im"))
+        memory = keep(shift(bundle(memory.unionByName(gone), [stack]), -1, space.dim).withColumn("j", F.col("j").cast("int")))
+    return out
+
+
 # n-grams
 
 def _grams(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,6 +313,21 @@ def fsm_step(space: Space, memory: DataFrame, asked: DataFrame, states: DataFram
     return cleanup(out, codebook(space, states, label), [state, symbol], space.dim)
 
 
+def fsm_trajectory(space: Space, memory: DataFrame, inputs: DataFrame, machine: str, states: DataFrame, label: str, start: str) -> DataFrame:
+    """(machine, position, state): the bundle asked for one step after another, the state cleaned up each time.
+
+    ``inputs`` is (machine, position from 1, symbol); all machines take a step at once."""
+    steps = inputs.agg(F.max("position")).first()[0] or 0
+    now = keep(inputs.select(machine).distinct().withColumn("state", F.lit(start)))
+    out = now.select(machine, F.lit(0).alias("position"), "state")
+    for p in range(1, steps + 1):
+        asked = now.join(inputs.filter(F.col("position") == p).select(machine, "symbol"), machine)
+        found = fsm_step(space, memory, asked, states, label).select("state", "symbol", F.col("label").alias("_to"))
+        now = keep(asked.join(found, ["state", "symbol"]).select(machine, F.col("_to").alias("state")))
+        out = out.unionByName(now.select(machine, F.lit(p).alias("position"), "state"))
+    return out
+
+
 def fsm_run(rows: DataFrame, machine: str, position: str, symbol: str, rules: DataFrame, start: str, state: str = "state", rule_symbol: str = "symbol", after: str = "after", block: int = 4096) -> DataFrame:
     """(machine, position, state after it); a missing rule keeps the state. Positions count from 1 without gaps.
 

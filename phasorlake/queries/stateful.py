@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from phasorlake.operators import graphs as P
 from phasorlake.operators import replicate as M
 from phasorlake.operators import textual as O
-from phasorlake.operators.structures import count_cosine, ngrams
+from phasorlake.operators.structures import ngrams, profile_cosines
 from phasorlake.queries.registry import load, query, r6, s6
 
 
@@ -102,24 +102,23 @@ def keyword_search(spark, d):
 
 
 _G3 = "{n} AS (SELECT {key}, substr(t, i, 3) AS gram, count(*) AS n FROM (SELECT {key}, t, unnest(range(1, greatest(1, len(t) - 1))) AS i FROM (SELECT {key}, regexp_replace(lower({text}), '[^a-z ]', '', 'g') AS t FROM {table}) WHERE len(t) >= 3) GROUP BY ALL)"
-_COS = f"WITH {_G3.format(n='a', key='page_id', text='url', table='pages')}, {_G3.format(n='b', key='item_id', text='text', table='benchmark')}, na AS (SELECT page_id, sqrt(sum(n::DOUBLE*n)) AS x FROM a GROUP BY 1), nb AS (SELECT item_id, sqrt(sum(n::DOUBLE*n)) AS y FROM b GROUP BY 1), c AS (SELECT page_id, item_id, round(sum(a.n::DOUBLE*b.n)/(any_value(x)*any_value(y)), 9) AS cos FROM a JOIN b USING (gram) JOIN na USING (page_id) JOIN nb USING (item_id) GROUP BY ALL)"
+_COS = f"WITH {_G3.format(n='a', key='doc_id', text='text', table='documents')}, {_G3.format(n='b', key='item_id', text='text', table='benchmark')}, na AS (SELECT doc_id, sqrt(sum(n::DOUBLE*n)) AS x FROM a GROUP BY 1), nb AS (SELECT item_id, sqrt(sum(n::DOUBLE*n)) AS y FROM b GROUP BY 1), c AS (SELECT doc_id, item_id, round(sum(a.n::DOUBLE*b.n)/(any_value(x)*any_value(y)), 9) AS cos FROM a JOIN b USING (gram) JOIN na USING (doc_id) JOIN nb USING (item_id) GROUP BY ALL)"
 
 
 def _routes(spark, d):
-    a = ngrams(load(spark, d, "pages"), "page_id", "url")
-    b = ngrams(load(spark, d, "benchmark"), "item_id", "text")
-    return count_cosine(a, "page_id", b, "item_id").withColumn("cos", F.round("cos", 9))
+    rules = ngrams(load(spark, d, "benchmark"), "item_id", "text")
+    return profile_cosines(load(spark, d, "documents"), "doc_id", "text", rules, "item_id").withColumn("cos", F.round("cos", 9))
 
 
-@query(f"{_COS} SELECT page_id, item_id, {s6('cos')} AS cos, row_number() OVER (PARTITION BY page_id ORDER BY cos DESC, item_id)::INT AS rank FROM c WHERE cos >= 0.1 QUALIFY rank <= 3")
+@query(f"{_COS} SELECT doc_id, item_id, {s6('cos')} AS cos, row_number() OVER (PARTITION BY doc_id ORDER BY cos DESC, item_id)::INT AS rank FROM c WHERE cos >= 0.1 QUALIFY rank <= 3")
 def search_topk(spark, d):
-    """URLs against the benchmark's texts as a rule book: the three best at or over a threshold."""
-    return O.search_topk(_routes(spark, d), ["page_id"], "item_id", 3, 0.1).select("page_id", "item_id", r6("cos").alias("cos"), "rank")
+    """Whole texts against the benchmark's texts as a rule book: the three best at or over a threshold."""
+    return O.search_topk(_routes(spark, d), ["doc_id"], "item_id", 3, 0.1).select("doc_id", "item_id", r6("cos").alias("cos"), "rank")
 
 
-@query(f"{_COS}, m AS (SELECT page_id, arg_max(item_id, struct_pack(c := cos, i := -item_id)) AS item, max(cos) AS cos FROM c GROUP BY 1) SELECT t AS threshold, count_if(cos >= t)::BIGINT AS answered, count(*)::BIGINT AS asked FROM m, (SELECT unnest([0.0, 0.1, 0.2, 0.3]::DOUBLE[]) AS t) GROUP BY t")
+@query(f"{_COS}, m AS (SELECT doc_id, arg_max(item_id, struct_pack(c := cos, i := -item_id)) AS item, max(cos) AS cos FROM c GROUP BY 1) SELECT t AS threshold, count_if(cos >= t)::BIGINT AS answered, count(*)::BIGINT AS asked FROM m, (SELECT unnest([0.0, 0.1, 0.2, 0.3]::DOUBLE[]) AS t) GROUP BY t")
 def abstention_curve(spark, d):
-    best = _routes(spark, d).groupBy("page_id").agg(F.max("cos").alias("cos"))
+    best = _routes(spark, d).groupBy("doc_id").agg(F.max("cos").alias("cos"))
     rows = best.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.1, 0.2, 0.3)])))
     return rows.groupBy("threshold").agg(F.count_if(F.col("cos") >= F.col("threshold")).alias("answered"), F.count("*").alias("asked"))
 

@@ -146,6 +146,15 @@ def record_analogy(spark, d):
     return S.analogy_exact(_eav(spark, d), "n_name", "role", "filler")
 
 
+@query(f"WITH e AS {_EAV} SELECT x.n_name AS a, y.n_name AS b, x.filler, x.role, y.filler AS label FROM e x JOIN e y ON x.role = y.role AND y.n_name = 'NATION_7' WHERE x.n_name <> 'NATION_7'")
+def record_analogy_bundle(spark, d):
+    """What NATION_7 has where each nation has a filler: two unbindings, which give what the join gives."""
+    space, e = Space(1024), _eav(spark, d)
+    asked = e.filter("n_name <> 'NATION_7'").select(F.col("n_name").alias("a"), F.lit("NATION_7").alias("b"), "filler")
+    out = S.analogy(space, S.records(space, e, "n_name", "role", "filler"), "n_name", asked, "filler", e, "role", e)
+    return out.select("a", "b", "filler", "role", "label")
+
+
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS pop FROM events")
 def stack_pop(spark, d):
     return S.stack_order(load(spark, d, "events"), "user_id", [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "pop")
@@ -171,6 +180,21 @@ def sequence_decode(spark, d):
     return out.select("r_name", "p", "label", r6("score").alias("score"))
 
 
+@query(f"WITH e AS {_SEQ} SELECT r_name, (row_number() OVER (PARTITION BY r_name ORDER BY p DESC))::INT AS pop, n_name AS label FROM e QUALIFY pop <= 4")
+def stack_pop_bundle(spark, d):
+    """Each region's nations pushed in order of key onto one vector, and four of them popped."""
+    from pyspark.sql import Window
+
+    space = Space(1024)
+    n, r = load(spark, d, "nation"), load(spark, d, "region")
+    w = Window.partitionBy("r_name").orderBy(F.col("n_nationkey").desc())
+    s = n.join(r, n.n_regionkey == r.r_regionkey).withColumn("depth", F.row_number().over(w) - 1).select("r_name", "n_name", "depth")
+    # the last one is pushed onto the others
+    rest = S.stack_bundle(space, s.filter("depth > 0").withColumn("depth", F.col("depth") - 1), "r_name", "depth", "n_name")
+    full = S.stack_push(space, rest, "r_name", s.filter("depth = 0"), "n_name")
+    return S.stack_pops(space, full, "r_name", s, "n_name", 4).select("r_name", "pop", "label")
+
+
 _GRAMS = "g AS (SELECT {key}, substr(t, i, 3) AS gram, count(*) AS n FROM (SELECT {key}, t, unnest(range(1, greatest(1, len(t) - 1))) AS i FROM (SELECT {key}, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS t FROM {table}) WHERE len(t) >= 3) GROUP BY ALL)"
 
 
@@ -291,6 +315,20 @@ def fsm_step(spark, d):
     return out.select("state", "symbol", "label", r6("score").alias("score"))
 
 
+@query(
+    f"""WITH RECURSIVE {_RULES}, i AS (SELECT machine, generate_subscripts(w, 1) AS p, unnest(w) AS a FROM (VALUES (1, ['click', 'view', 'purchase', 'view', 'click']), (2, ['view', 'view', 'view', 'click', 'purchase'])) t(machine, w)),
+t AS (SELECT DISTINCT machine, 0 AS p, 'view' AS s FROM i UNION ALL SELECT t.machine, i.p::INT, r.after FROM t JOIN i ON i.machine = t.machine AND i.p = t.p + 1 JOIN rules r ON r.state = t.s AND r.symbol = i.a)
+SELECT machine, p AS position, s AS state FROM t"""
+)
+def fsm_trajectory(spark, d):
+    """Two words driven through the bundle of the rules, a clean-up at every step."""
+    e, space = load(spark, d, "events"), Space(2048)
+    rules = S.top_followers(e, "user_id", ["ts", "event_id"], "event_type")
+    words = [(1, "click view purchase view click"), (2, "view view view click purchase")]
+    inputs = spark.createDataFrame([(m, p, a) for m, w in words for p, a in enumerate(w.split(), 1)], "machine int, position int, symbol string")
+    return S.fsm_trajectory(space, S.fsm_bundle(space, rules), inputs, "machine", e, "event_type", "view")
+
+
 @query()
 def sdm_recall(spark, d):
     """Patterns with some bits turned, read back from a sparse distributed memory: (id, wrong bits before, after)."""
