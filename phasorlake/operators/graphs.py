@@ -98,3 +98,21 @@ def runs(events: DataFrame, run: str = "run", kind: str = "event", at: str = "at
     s = events.filter(F.col(kind) == "started").groupBy(run).agg(F.min(at).alias("started"))
     e = events.filter(F.col(kind) == "ended").groupBy(run).agg(F.max(at).alias("ended"))
     return s.join(e, run, "left").withColumn("status", F.when(F.col("ended").isNull(), "killed").otherwise("done"))
+
+
+def structure_errors(files: DataFrame, imports: DataFrame, forbidden: DataFrame, path: str = "path") -> DataFrame:
+    """(path, rule): a module without its test, a test without its module, a package without a README, an import between lanes that may not.
+
+    ``files`` is (path, lane), ``imports`` (src, dst) of paths, ``forbidden`` (src_lane, dst_lane)."""
+    name = F.regexp_extract(path, r"([^/]+)\.py$", 1)
+    py = files.withColumn("_n", name).filter("_n <> ''")
+    tests = py.filter(F.col("_n").startswith("test_")).withColumn("_n", F.substring("_n", 6, 1000))
+    code = py.filter(~F.col("_n").startswith("test_") & (F.col("_n") != "__init__"))
+    a = code.join(tests.select("_n").distinct(), "_n", "left_anti").select(path, F.lit("untested").alias("rule"))
+    b = tests.join(code.select("_n").distinct(), "_n", "left_anti").select(path, F.lit("orphan test").alias("rule"))
+    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    readme = files.filter(F.col(path).endswith("/README.md")).select(folder.alias("_d")).distinct()
+    c = code.select(folder.alias("_d")).distinct().join(readme, "_d", "left_anti").select(F.col("_d").alias(path), F.lit("no README").alias("rule"))
+    lanes = leakage(imports, files, path, "lane").join(forbidden, ["src_lane", "dst_lane"], "left_semi")
+    d = lanes.select(F.col("src").alias(path), F.lit("forbidden import").alias("rule")).distinct()
+    return a.unionByName(b).unionByName(c).unionByName(d)

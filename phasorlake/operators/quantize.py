@@ -34,8 +34,10 @@ def block_scales(df: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
 
 
 def quant_block(df: DataFrame, keys: Sequence[str], block: int, bits: int) -> DataFrame:
-    """Signed integers of ``bits`` bits on each block's scale, and what they stand for."""
-    top = (1 << check_bits(bits) - 1) - 1
+    """Signed integers of ``bits`` bits on each block's scale, and what they stand for. One bit has no codes but 0: it is refused."""
+    if check_bits(bits) < 2:
+        raise ValueError("signed codes need 2 bits or more")
+    top = (1 << bits - 1) - 1
     out = df.withColumn("block", F.floor(F.col("j") / block)).join(block_scales(df, keys, block), [*keys, "block"])
     scale = F.pow(F.lit(2.0), F.col("exponent"))
     for c in ("re", "im"):
@@ -62,3 +64,67 @@ def quantile_codebook(df: DataFrame, key: str, value: str, codes: int) -> DataFr
     out = df.crossJoin(F.broadcast(q))  # one row
     best = F.expr(f"array_min(transform(_q, (x, i) -> named_struct('d', abs(x - {value}), 'i', i)))")
     return out.withColumn("_b", best).select(key, F.col("_b.i").alias("code"), F.expr("_q[_b.i]").alias("level"))
+
+
+def phase_only(df: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """Phases by codes of ``bits`` bits, all magnitudes one gain: that of least squares."""
+    check_bits(bits)
+    t = dequantize(quantize(F.atan2("im", "re"), bits), bits)
+    out = df.withColumns({"_c": F.cos(t), "_s": F.sin(t)})
+    gain = out.groupBy(*keys).agg(F.avg(F.col("re") * F.col("_c") + F.col("im") * F.col("_s")).alias("_g"))
+    out = out.join(gain, list(keys)) if keys else out.crossJoin(F.broadcast(gain))
+    return out.withColumns({"re": F.col("_g") * F.col("_c"), "im": F.col("_g") * F.col("_s")}).drop("_c", "_s", "_g")
+
+
+def codec_curve(df: DataFrame, keys: Sequence[str], widths: Sequence[int], block: int = 32, gamma: float = 0.5) -> DataFrame:
+    """(kind, bits, bytes, rmse) of every codec and width over the same vectors; bytes for each vector's dimension."""
+    def row(coded: DataFrame, kind: str, bits: int, size: float) -> DataFrame:
+        back = coded.select(*keys, "j", F.col("re").alias("_r"), F.col("im").alias("_i"))
+        d = (F.col("re") - F.col("_r")) * (F.col("re") - F.col("_r")) + (F.col("im") - F.col("_i")) * (F.col("im") - F.col("_i"))
+        energy = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+        return df.join(back, [*keys, "j"]).agg((F.sqrt(F.sum(d)) / F.sqrt(F.sum(energy))).alias("rmse")).select(F.lit(kind).alias("kind"), F.lit(bits).alias("bits"), F.lit(size).alias("bytes"), "rmse")
+
+    out = None
+    for b in widths:
+        for kind, coded, size in (("phase", phase_only(df, keys, b), b / 8), ("polar", quant_polar(df, keys, b, b, gamma), b / 4), ("block", quant_block(df, keys, block, b) if b > 1 else None, b / 4 + 1 / block)):
+            if coded is not None:
+                part = row(coded, kind, b, size)
+                out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cheapest(curve: DataFrame, most: float) -> DataFrame:
+    """The least bytes whose error is at most ``most``: one row, or none."""
+    return curve.filter(F.col("rmse") <= most).orderBy("bytes", "rmse", "kind").limit(1)
+
+
+def half_floats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns as half-precision numbers hold them; beyond their range infinite."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def half(x: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            return pd.Series(x.to_numpy(float).astype(np.float16).astype(float))
+
+    return df.withColumns({c: half(c) for c in columns})
+
+
+def palette(df: DataFrame, columns: Sequence[str], k: int, seed: int = 1) -> DataFrame:
+    """Rows with ``code``: the nearest of k centres that k-means finds over the columns."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    packed = df.withColumn("_f", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
+    model = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="code").fit(packed)
+    return model.transform(packed).drop("_f")
+
+
+def raster(df: DataFrame, order: str, width: int) -> DataFrame:
+    """Rows with ``line`` and ``col`` of an image that is filled in the order of a distinct key; ranks by ranges, so no task orders all."""
+    from phasorlake.plans import running
+
+    one = df.withColumn("_1", F.lit(1))
+    rank = running(one, order, "_1").select(order, F.col("_before").alias("_rank"))
+    return df.join(rank, order).withColumns({"line": F.floor(F.col("_rank") / width).cast("long"), "col": (F.col("_rank") % width).cast("long")}).drop("_rank")

@@ -98,3 +98,32 @@ def state_digest(live: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: a hash of the set of rows, the same in any order."""
     h = F.xxhash64(*columns)
     return live.select(h.alias("_h")).distinct().agg(F.count("*").alias("n"), F.bit_xor("_h").alias("digest"))
+
+
+def containers(log: DataFrame, container: str, prefix: str = "") -> DataFrame:
+    return log.filter(F.col(container).startswith(prefix)).select(container).distinct()
+
+
+def snapshot(log: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, peer, value, counter): each writer's latest of each key, and the op that said so: the whole state without its history."""
+    return log.groupBy(*keys, PEER).agg(F.max_by(value, COUNTER).alias(value), F.max(COUNTER).alias(COUNTER))
+
+
+def trim(log: DataFrame, seen: DataFrame) -> DataFrame:
+    """Ops that a reader of the version ``seen`` still needs."""
+    return updates_since(log, seen)
+
+
+def add_wins(adds: DataFrame, removed: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): values of live puts; a put that was not seen by a removal stays, whatever came when."""
+    return observed(adds, removed).select(key, value).distinct()
+
+
+def undo(live: DataFrame, peer: str = "peer", epoch: str = "epoch") -> DataFrame:
+    """(peer, epoch): the tombstones that undo each writer's last stroke."""
+    return live.groupBy(peer).agg(F.max(epoch).alias(epoch))
+
+
+def known_fields(scores: DataFrame, rec: str, role: str, threshold: float) -> DataFrame:
+    """(rec, role, label, score): the fields that a record has, of all roles in the registry: reads at or over a threshold."""
+    return scores.filter(F.col("score") >= threshold).select(rec, role, "label", "score")

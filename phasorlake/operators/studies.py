@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from phasorlake.functions import gauss, text, uniform
 from phasorlake.operators import fields, structures
 from phasorlake.operators.scenes import cells_in_reach
-from phasorlake.plans import first_by
+from phasorlake.plans import first_by, running
 from phasorlake.space import Space, pair, scores
 
 
@@ -33,7 +33,7 @@ def false_positive_rate(members: Column, dim: int, threshold: float = 0.5) -> Co
 def map_capacity(space: Space, spark, loads: Sequence[int], values: int) -> DataFrame:
     """(load, recall): the share of pairs that a map of each load gives back."""
     grid = spark.createDataFrame([(n,) for n in loads], "load int").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("load") - 1)))
-    rows = grid.select("load", F.concat(F.lit("key"), "load", F.lit("."), "i").alias("k"), F.concat(F.lit("val"), F.pmod(F.xxhash64("load", "i"), F.lit(values))).alias("v"))
+    rows = grid.select("load", F.concat(F.lit("key"), "load", F.lit("."), "i").alias("k"), F.concat(F.lit("val"), F.floor(uniform(text("val", F.col("load"), F.col("i"))) * values).cast("int")).alias("v"))
     memory = structures.map_bundle(space, rows, "k", "v", by=("load",))
     asked = structures._coded(space, rows.select("load", "k"), k="k").join(memory, ["load", "j"])
     from phasorlake.space import cleanup, codebook, unbind
@@ -71,6 +71,14 @@ def drift(points: DataFrame, key: str, axes: Sequence[str], weight: str, sigma:
     return points.withColumns(out | {weight: F.col(weight) * F.exp(F.lit(gain) * gauss(text(seed, "gain", F.col(key))))})
 
 
+def split_some(points: DataFrame, key: str, axes: Sequence[str], weight: str, share: float, sigma: float, seed: int = 0) -> DataFrame:
+    """Points of which a hash-drawn share are two, side by side, with half the weight each."""
+    two = uniform(text(seed, "split", F.col(key))) < share
+    rows = points.withColumn("_side", F.explode(F.when(two, F.array(F.lit(-1.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0)))))
+    out = {a: F.col(a) + F.col("_side") * F.lit(sigma) * gauss(text(seed, "step", a, F.col(key))) for a in axes}
+    return rows.withColumns(out | {weight: F.when(F.col("_side") == 0, F.col(weight)).otherwise(F.col(weight) / 2)}).drop("_side")
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """The signed difference of two bundles; a dimension missing on a side is 0 there."""
     x, y = a.select("j", F.col("re").alias("_ar"), F.col("im").alias("_ai")), b.select("j", F.col("re").alias("_br"), F.col("im").alias("_bi"))
@@ -90,13 +98,15 @@ def pair_statistics(pairs: DataFrame, keys: Sequence[str], score: str) -> DataFr
 
 
 def sampled_distances(points: DataFrame, key: str, axes: Sequence[str], pairs: int, seed: int = 0) -> DataFrame:
-    """(pair, d): distances of hash-drawn pairs of points; keys are 0 .. n-1."""
-    n = points.count()
-    draw = points.sparkSession.range(pairs).select(F.col("id").alias("pair"), *[F.floor(uniform(text(seed, side, F.col("id"))) * n).cast("long").alias(side) for side in ("a", "b")])
-    p = points.select(key, *axes)
-    a, b = p.toDF("a", *[f"{x}_a" for x in axes]), p.toDF("b", *[f"{x}_b" for x in axes])
+    """(pair, d): distances of hash-drawn pairs of points, of any distinct keys: drawn by rank, so that gaps lose nothing."""
+    ranks = running(points.select(key).withColumn("_1", F.lit(1)), key, "_1").select(key, F.col("_before").cast("long").alias("_r"), F.col("_all").alias("_n"))
+    p = points.select(key, *axes).join(ranks, key)
+    n = ranks.agg(F.max("_n").alias("_n"))
+    draw = points.sparkSession.range(pairs).crossJoin(F.broadcast(n)).filter("_n > 0")  # one row
+    draw = draw.select(F.col("id").alias("pair"), *[F.floor(uniform(text(seed, side, F.col("id"))) * F.col("_n")).cast("long").alias(side) for side in ("a", "b")])
+    side = lambda s: p.select(F.col("_r").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in axes])
     d2 = sum(((F.col(f"{x}_a") - F.col(f"{x}_b")) * (F.col(f"{x}_a") - F.col(f"{x}_b")) for x in axes), F.lit(0.0))
-    return draw.join(a, "a").join(b, "b").select("pair", F.sqrt(d2).alias("d"))
+    return draw.join(side("a"), "a").join(side("b"), "b").select("pair", F.sqrt(d2).alias("d"))
 
 
 def storage_position(rows: DataFrame, scene: str, splats: Column, cells: Column, band_cells: Column, dim: int, bits: int) -> DataFrame:
@@ -127,3 +137,22 @@ def fuzzy_findings(probes: DataFrame, probe: str, cosines: DataFrame, chunk: str
 def group_scores(queries: DataFrame, book: DataFrame, key: str, dim: int, k: int) -> DataFrame:
     """The k nearest codewords of each query."""
     return first_by(scores(queries, book, [key], dim), [key], [F.col("score").desc(), F.col("label").asc()], k)
+
+
+def first_meeting(rows: DataFrame, by: Sequence[str], size: str, gate: Column) -> DataFrame:
+    """(by, size): the least size that passes a gate, such as a crossover of bytes or a knee of recall; null where none does."""
+    return rows.groupBy(*by).agg(F.min(F.when(gate, F.col(size))).alias(size))
+
+
+def refuse_over(rows: DataFrame, size: Column, most: float, what: str) -> DataFrame:
+    """The rows, or an error before any work on them if the sum of projected sizes is over a budget."""
+    sure = rows.agg(F.sum(size).alias("_s")).select(F.assert_true(F.coalesce(F.col("_s"), F.lit(0)) <= F.lit(most), F.lit(f"{what}: over the budget")).alias("_ok"))
+    return rows.crossJoin(F.broadcast(sure)).filter("_ok IS NULL").drop("_ok")
+
+
+def bundle_bytes(rows: DataFrame, keys: Sequence[str], cells: Sequence[str], dim: int, kinds: dict[str, float]) -> DataFrame:
+    """(keys, kind, splats, cells, bytes, per_splat): what a scene's cell bundles take by codec (bytes for a dimension), against its splats."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("splats"), F.count_distinct(*cells).alias("cells"))
+    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(b)).alias("b")) for k, b in kinds.items()]))
+    out = n.withColumn("_k", kind).withColumn("bytes", F.col("cells") * F.lit(dim) * F.col("_k.b"))
+    return out.select(*keys, "_k.kind", "splats", "cells", "bytes", (F.col("bytes") / F.col("splats")).alias("per_splat"))

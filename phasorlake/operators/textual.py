@@ -175,3 +175,80 @@ def pattern_hits(claims: DataFrame, paras: DataFrame) -> DataFrame:
 def search_topk(scores: DataFrame, by: list[str], item: str, k: int, threshold: float) -> DataFrame:
     """The k best of each query at or over a threshold; none is an abstention."""
     return first_by(scores.filter(F.col("cos") >= threshold), by, [F.col("cos").desc(), F.col(item).asc()], k, "rank")
+
+
+def corrupt(df: DataFrame, key: str, text: str, rate: float, seed: str = "typo") -> DataFrame:
+    """Texts without the characters that a hash of (key, place) picks, about a share ``rate``."""
+    u = lambda i: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"), F.lit("|"), i.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    letters = F.filter(F.split(F.col(text), ""), lambda c: c != "")
+    kept = F.filter(F.transform(letters, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: u(x["i"]) >= rate)
+    return df.withColumn(text, F.array_join(F.transform(kept, lambda x: x["c"]), ""))
+
+
+def front_matter(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, value) of ``name: value`` lines between the first two lines of three dashes; none without them."""
+    head = F.regexp_extract(text, r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
+    lines = docs.select(key, F.posexplode(F.split(head, r"\r?\n")).alias("_i", "_l")).filter(F.col("_l").rlike(r"^[A-Za-z_][\w-]*\s*:"))
+    name, value = F.trim(F.regexp_extract("_l", r"^([A-Za-z_][\w-]*)\s*:", 1)), F.trim(F.regexp_replace("_l", r"^[A-Za-z_][\w-]*\s*:", ""))
+    rows = lines.select(key, "_i", name.alias("name"), F.regexp_replace(value, r"^[\"'](.*)[\"']$", "$1").alias("value"))
+    return first_by(rows, [key, "name"], [F.col("_i").desc()]).drop("_i")  # a repeated name has its last value
+
+
+def python_paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, kind, body): docstrings and runs of comments of Python sources; a source that can't be parsed gives its comments only."""
+    import ast
+    import io
+    import tokenize
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, t in zip(pdf[key], pdf[text]):
+                t = t or ""
+                try:
+                    for node in ast.walk(ast.parse(t)):
+                        if isinstance(node, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and (doc := ast.get_docstring(node)):
+                            rows.append((k, node.body[0].lineno, "docstring", " ".join(doc.split())))
+                except (SyntaxError, ValueError, RecursionError):
+                    pass
+                held: list = []
+                try:
+                    for tok in tokenize.generate_tokens(io.StringIO(t).readline):
+                        if tok.type == tokenize.COMMENT:
+                            if held and held[-1][0] != tok.start[0] - 1:
+                                rows.append((k, held[0][0], "comment", " ".join(x for _, x in held)))
+                                held = []
+                            held.append((tok.start[0], tok.string.lstrip("#: ").strip()))
+                except (tokenize.TokenError, IndentationError, SyntaxError):
+                    pass
+                if held:
+                    rows.append((k, held[0][0], "comment", " ".join(x for _, x in held)))
+            yield pd.DataFrame(rows, columns=[key, "line", "kind", "body"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, line int, kind string, body string")
+
+
+def plain_paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, part, body): texts cut at empty lines, white space made one space."""
+    parts = docs.select(key, F.posexplode(F.split(text, r"\r?\n[ \t]*\r?\n")).alias("part", "body"))
+    return parts.withColumn("body", F.trim(F.regexp_replace("body", r"\s+", " "))).filter("body <> ''")
+
+
+def stale(index: DataFrame, files: DataFrame, key: str, digest: str, text: str) -> DataFrame:
+    """Index rows with ``stale``: whether their file has gone or has another digest now."""
+    now = files.select(key, F.sha2(text, 256).alias("_now"))
+    return index.join(now, key, "left").withColumn("stale", ~F.coalesce(F.col(digest) == F.col("_now"), F.lit(False))).drop("_now")
+
+
+def build_index(chunked: DataFrame, files: DataFrame, key: str, text: str) -> DataFrame:
+    """(chunk columns, sha256): chunks with their file's digest, to be stored and later checked by ``stale``."""
+    return chunked.join(files.select(key, F.sha2(text, 256).alias("sha256")), key)
+
+
+def calibration(scores: DataFrame, query: str, score: str) -> DataFrame:
+    """One row: the least and median best score of queries (signal), the 95th percentile of all other scores (noise), and their middle."""
+    best = scores.groupBy(query).agg(F.max(score).alias("_b"))
+    signal = best.agg(F.min("_b").alias("least"), F.percentile("_b", F.lit(0.5)).alias("median"))
+    noise = scores.join(best, query).filter(F.col(score) < F.col("_b")).agg(F.percentile(score, F.lit(0.95)).alias("noise"))
+    return signal.crossJoin(noise).withColumn("threshold", (F.col("least") + F.col("noise")) / 2)  # a row each

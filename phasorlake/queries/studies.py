@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 from phasorlake.operators import fields as E
 from phasorlake.operators import studies as T
 from phasorlake.queries.fields import _S, _W, D, SPACE, _splats, _table
-from phasorlake.queries.registry import load, query, r6, s6
+from phasorlake.queries.registry import gauss, js, load, query, r6, s6, theta, u
 from phasorlake.space import Space
 
 
-@query()
+_CAP = f"""g AS (SELECT load, i, 'key' || load || '.' || i AS k, 'val' || floor({u("'val|' || load || '|' || i")} * 16)::INT AS v FROM (SELECT load, unnest(range(load)) AS i FROM (VALUES (8), (32), (128)) t(load))),
+m AS (SELECT load, j, sum(cos({theta(512, 'k')} + {theta(512, 'v')})) AS re, sum(sin({theta(512, 'k')} + {theta(512, 'v')})) AS im FROM g, {js(512)} GROUP BY load, j),
+b AS (SELECT v AS label, j, {theta(512, 'v')} AS t FROM (SELECT DISTINCT v FROM g), {js(512)}),
+q AS (SELECT load, k, v, j, m.re*cos(t) + m.im*sin(t) AS re, m.im*cos(t) - m.re*sin(t) AS im FROM (SELECT load, k, v, j, {theta(512, 'k')} AS t FROM g, {js(512)}) JOIN m USING (load, j)),
+s AS (SELECT load, k, v, label, sum(q.re*cos(b.t) + q.im*sin(b.t)) AS score FROM q JOIN b USING (j) GROUP BY ALL)"""
+
+
+@query(f"WITH {_CAP}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY load, k ORDER BY score DESC, label) = 1) SELECT load, round(avg((v = label)::INT::DOUBLE), 6) AS recall FROM t GROUP BY load")
 def map_capacity(spark, d):
-    return T.map_capacity(Space(512), spark, [8, 32, 128], 16)
+    return T.map_capacity(Space(512), spark, [8, 32, 128], 16).withColumn("recall", F.round("recall", 6))
 
 
+_Q = "'"
 _X = "(0.5 / sqrt(n / 512.0))"
 _T = f"(1.0 / (1.0 + 0.2316419 * {_X}))"
 
@@ -123,7 +131,10 @@ def orset_compact(spark, d):
     return kept.select("peer", "i").unionByName(left.select("peer", "i"))
 
 
-@query()
+@query(
+    f"""WITH {_S}, r AS (SELECT x, y, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM s), dr AS (SELECT i, floor({u("'0|a|' || i")} * n)::BIGINT AS a, floor({u("'0|b|' || i")} * n)::BIGINT AS b FROM (SELECT unnest(range(2000)) AS i), (SELECT any_value(n) AS n FROM r)),
+d AS (SELECT sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) AS d FROM dr JOIN r p ON p.r = dr.a JOIN r q ON q.r = dr.b) SELECT CASE WHEN d <= 4 THEN least(floor(d / 0.25), 15)::INT END AS bin, count(*) AS n FROM d GROUP BY 1"""
+)
 def pair_distances(spark, d):
     """The distribution of distances between drawn pairs of embeddings."""
     s = _splats(spark, d)
@@ -133,7 +144,7 @@ def pair_distances(spark, d):
     return out.groupBy(bucket(F.col("d"), 0.0, 4.0, 16).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {_S} SELECT vec_id, {s6('x + 0.05*' + gauss(_Q + '0|drift|x|' + _Q + ' || vec_id'))} AS x, {s6('y + 0.05*' + gauss(_Q + '0|drift|y|' + _Q + ' || vec_id'))} AS y, {s6('alpha*exp(0.1*' + gauss(_Q + '0|gain|' + _Q + ' || vec_id') + ')')} AS alpha FROM s")
 def drifted_points(spark, d):
     s = _splats(spark, d)
     moved = T.drift(s, "vec_id", ["x", "y"], "alpha", 0.05, 0.1)

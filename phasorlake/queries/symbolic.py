@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from phasorlake import space as V
 from phasorlake.operators import structures as S
-from phasorlake.queries.registry import js, load, query, r6, s6, theta
+from phasorlake.queries.registry import js, load, query, r6, s6, theta, u
 from phasorlake.space import Space
 
 D = 256
@@ -329,7 +329,16 @@ def fsm_trajectory(spark, d):
     return S.fsm_trajectory(space, S.fsm_bundle(space, rules), inputs, "machine", e, "event_type", "view")
 
 
-@query()
+_BIT = "CASE WHEN {} < 0.5 THEN -1 ELSE 1 END"
+_SDM = f"""pt AS (SELECT n_nationkey AS id, bit, {_BIT.format(u("'pat|' || n_name || '|' || bit"))} AS sign FROM nation, (SELECT unnest(range(256)) AS bit)),
+nz AS (SELECT id, bit, CASE WHEN {u("'noise|' || id || '|' || bit")} < 0.05 THEN -sign ELSE sign END AS sign FROM pt),
+ad AS (SELECT loc, bit, {_BIT.format(u("'0|sdm|' || loc || '|' || bit"))} AS sign FROM (SELECT unnest(range(1000)) AS loc), (SELECT unnest(range(256)) AS bit)),
+wa AS (SELECT id, loc FROM ad JOIN pt USING (bit) GROUP BY id, loc HAVING (256 - sum(ad.sign * pt.sign)) / 2.0 <= 112), me AS (SELECT loc, bit, sum(sign) AS cnt FROM wa JOIN pt USING (id) GROUP BY loc, bit),
+a1 AS (SELECT id, loc FROM ad JOIN nz USING (bit) GROUP BY id, loc HAVING (256 - sum(ad.sign * nz.sign)) / 2.0 <= 112), r1 AS (SELECT id, bit, CASE WHEN sum(cnt) >= 0 THEN 1 ELSE -1 END AS sign FROM a1 JOIN me USING (loc) GROUP BY id, bit),
+a2 AS (SELECT id, loc FROM ad JOIN r1 USING (bit) GROUP BY id, loc HAVING (256 - sum(ad.sign * r1.sign)) / 2.0 <= 112), r2 AS (SELECT id, bit, CASE WHEN sum(cnt) >= 0 THEN 1 ELSE -1 END AS sign FROM a2 JOIN me USING (loc) GROUP BY id, bit)"""
+
+
+@query(f"WITH {_SDM} SELECT id, count_if(nz.sign <> pt.sign)::BIGINT AS before, count_if(r2.sign <> pt.sign)::BIGINT AS after FROM nz JOIN pt USING (id, bit) JOIN r2 USING (id, bit) GROUP BY id")
 def sdm_recall(spark, d):
     """Patterns with some bits turned, read back from a sparse distributed memory: (id, wrong bits before, after)."""
     bits, radius = 256, 112

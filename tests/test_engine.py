@@ -62,7 +62,7 @@ def test_sdm_and_resonator(spark):
     out = QUERIES["sdm_recall"](spark, SF).collect()
     assert sum(r.after for r in out) < 0.2 * sum(r.before for r in out)
     factored = QUERIES["resonator_factor"](spark, SF).collect()
-    assert len(factored) == 25 and all(r.converged and r.score > 0.99 for r in factored)
+    assert len(factored) == 25 and all(r.converged and r.nation == r.n_name and r.amplitude > 0.99 for r in factored)
     r = np.random.default_rng(3)
     books = [np.exp(1j * r.uniform(-np.pi, np.pi, (8, 2048))) for _ in range(2)]
     two = books[0][1] * books[1][6] + books[0][5] * books[1][2]
