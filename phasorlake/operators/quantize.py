@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,9 +102,6 @@ def cheapest(curve: DataFrame, most: float) -> DataFrame:
 
 def half_floats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns as half-precision numbers hold them; beyond their range infinite."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def half(x: pd.Series) -> pd.Series:
         with np.errstate(over="ignore"):

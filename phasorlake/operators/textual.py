@@ -166,7 +166,8 @@ def missing_citations(claims: DataFrame, files: DataFrame) -> DataFrame:
 def pattern_hits(claims: DataFrame, paras: DataFrame) -> DataFrame:
     """(id, line, found, reading): each claim's pattern over paragraphs; current, stale (another value) or historical (a dated or past marker near)."""
     hit = F.expr("regexp_extract(body, pattern, 1)")
-    rows = paras.crossJoin(F.broadcast(claims.select("id", "pattern", "value")))  # claims: a registry, a stated set against all paragraphs
+    # a registry, a stated set against all paragraphs; Spark broadcasts it if its size allows, else both sides are dealt out
+    rows = paras.crossJoin(claims.select("id", "pattern", "value"))
     rows = rows.withColumn("found", hit).filter("found <> ''")
     old = F.lower("body").rlike(r"\b(was|used to|formerly|before|until|retired)\b|\b(19|20)\d\d-\d\d-\d\d\b")
     return rows.select("id", "line", "found", F.when(F.col("found") == F.col("value"), "current").when(old, "historical").otherwise("stale").alias("reading"))

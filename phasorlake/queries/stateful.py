@@ -142,9 +142,19 @@ def claims_chain(spark, d):
     return O.supersession(_claims(spark, d))
 
 
-@query("WITH k AS (SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey - c_custkey % 7)::VARCHAR END AS supersedes FROM customer) SELECT id, 'dangling' AS error FROM k WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT id FROM k)")
+@query(
+    """WITH k AS (SELECT CASE WHEN c_custkey % 500 = 1 THEN (c_custkey - 1)::VARCHAR ELSE c_custkey::VARCHAR END AS id, CASE WHEN c_custkey % 333 = 0 THEN 'gone' WHEN c_custkey % 7 <> 0 THEN (c_custkey - c_custkey % 7)::VARCHAR END AS supersedes, CASE WHEN c_custkey % 250 = 3 THEN ' ' ELSE c_name END AS statement FROM customer)
+SELECT id, 'duplicate' AS error FROM k GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'dangling' FROM k WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT id FROM k) UNION ALL SELECT id, 'empty' FROM k WHERE trim(statement) = ''"""
+)
 def claims_errors(spark, d):
-    return O.registry_errors(_claims(spark, d))
+    """A registry with ids given twice, links to nothing and empty statements."""
+    k = F.col("c_custkey")
+    c = load(spark, d, "customer").select(
+        F.when(k % 500 == 1, k - 1).otherwise(k).cast("string").alias("id"),
+        F.when(k % 333 == 0, F.lit("gone")).when(k % 7 != 0, (k - k % 7).cast("string")).alias("supersedes"),
+        F.when(k % 250 == 3, F.lit(" ")).otherwise(F.col("c_name")).alias("statement"),
+    )
+    return O.registry_errors(c)
 
 
 @query("WITH f AS (SELECT p_partkey % 10 AS k, p_size AS since, max(p_retailprice) AS value FROM part GROUP BY ALL), g AS (SELECT *, lead(since) OVER (PARTITION BY k ORDER BY since) AS until FROM f) SELECT o_orderkey, g.value FROM orders LEFT JOIN g ON o_orderkey % 10 = k AND o_custkey % 60 >= since AND (until IS NULL OR o_custkey % 60 < until)")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 COLUMNS = ["x", "y", "z", "sx", "sy", "sz", "r", "g", "b", "a", "qw", "qx", "qy", "qz"]
 SCHEMA = "path string, id long, " + ", ".join(f"{c} double" for c in COLUMNS)
+#: Splats in a batch that is passed on.
+ROWS = 100_000
 # fixed values of the formats
 SPZ_MAGIC = 0x5053474E
 SH_C0 = 0.28209479177387814
@@ -35,7 +37,8 @@ class Splats:
     def half_turn(self) -> Splats:
         """By 180 degrees about x: its own inverse, up to the quaternions' sign."""
         w, x, y, z = self.quat.T
-        return Splats(self.pos * [1, -1, -1], self.scale, self.rgba, np.column_stack([-x, w, -z, y]), self.sh)
+        sh = self.sh * sh_half_turn(3)[: self.sh.shape[2]] if self.sh is not None else None
+        return Splats(self.pos * [1, -1, -1], self.scale, self.rgba, np.column_stack([-x, w, -z, y]), sh)
 
     def table(self) -> np.ndarray:
         return np.column_stack([self.pos, self.scale, self.rgba, self.quat])
@@ -191,8 +194,9 @@ DECODERS = {"splat": decode_splat, "spz": decode_spz, "ply": decode_ply}
 ENCODERS = {"spz": encode_spz, "ply": encode_ply}
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """Rows of splats from (path, content), by the suffix of the path."""
+def decode_files(files: DataFrame, coefficients: bool = False) -> DataFrame:
+    """Rows of splats from (path, content), by the suffix of the path; with their colour
+    coefficients ``sh`` (red, then green, then blue; null where a file has none) if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,14 +205,42 @@ def decode_files(files: DataFrame) -> DataFrame:
                 kind = path.rsplit(".", 1)[-1].lower()
                 if kind not in DECODERS:
                     raise ValueError(f"{path}: no such format")
-                t = DECODERS[kind](content.as_py()).table()
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(t)), pa.array(np.arange(len(t))), *(pa.array(np.ascontiguousarray(c)) for c in t.T)], ["path", "id", *COLUMNS])
+                got = DECODERS[kind](content.as_py())
+                t = got.table()
+                for a in range(0, len(t), ROWS):  # a large file in batches
+                    part = t[a : a + ROWS]
+                    columns = [pa.array([path] * len(part)), pa.array(np.arange(a, a + len(part))), *(pa.array(np.ascontiguousarray(c)) for c in part.T)]
+                    if coefficients:
+                        sh = [None] * len(part) if got.sh is None else list(got.sh[a : a + ROWS].reshape(len(part), -1))
+                        columns.append(pa.array(sh, pa.list_(pa.float64())))
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "id", *COLUMNS, *(["sh"] if coefficients else [])])
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA + (", sh array<double>" if coefficients else ""))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return decode_files(spark.read.format("binaryFile").load(path))
+def read(spark: SparkSession, path: str, coefficients: bool = False) -> DataFrame:
+    return decode_files(spark.read.format("binaryFile").load(path), coefficients)
+
+
+def sh_half_turn(degree: int) -> np.ndarray:
+    """Signs of a channel's coefficients (without the constant) under the half turn about x:
+    of that of band l, order m, minus one to the l + m, and once more where m is below 0."""
+    return np.array([(-1.0) ** (l + m) * (-1.0 if m < 0 else 1.0) for l in range(1, degree + 1) for m in range(-l, l + 1)])  # noqa: E741
+
+
+def rotations(df: DataFrame, quat: tuple[str, str, str, str] = ("qw", "qx", "qy", "qz")) -> DataFrame:
+    """Rows with the nine entries r00 .. r22 of their unit quaternions' rotation."""
+    n = F.sqrt(sum((F.col(c) * F.col(c) for c in quat), F.lit(0.0)))
+    w, x, y, z = (F.col(c) / F.greatest(n, F.lit(1e-9)) for c in quat)
+    rows = [[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]]
+    return df.withColumns({f"r{i}{j}": rows[i][j] for i in range(3) for j in range(3)})
+
+
+def covariances(df: DataFrame, floor: float, cap: float, scale: tuple[str, str, str] = ("sx", "sy", "sz")) -> DataFrame:
+    """Rows with scales held in [floor, cap] and the upper triangle c00, c01, c02, c11, c12, c22 of their covariance."""
+    df = rotations(df).withColumns({c: F.greatest(F.lit(floor), F.least(F.lit(cap), F.col(c))) for c in scale})
+    entry = lambda i, j: sum((F.col(f"r{i}{k}") * F.col(f"r{j}{k}") * F.col(c) * F.col(c) for k, c in enumerate(scale)), F.lit(0.0))
+    return df.withColumns({f"c{i}{j}": entry(i, j) for i in range(3) for j in range(i, 3)}).drop(*[f"r{i}{j}" for i in range(3) for j in range(3)])
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:

@@ -47,19 +47,18 @@ def killed_runs(started: DataFrame, ended: DataFrame, delay: str, patience: str)
 
 
 def observed_remove(ops: DataFrame) -> DataFrame:
-    """(name, live): the number of live items of each set after each batch, for update mode.
+    """(name, item, live): each item that a batch speaks of, and whether it is in its set now, for update mode.
 
     ``ops`` has name, op (add or remove) and item. A remove that comes before its add is
-    kept as a tombstone; a new item is live whatever was removed before it. The state of
-    a name is its live items and tombstones."""
+    kept as a tombstone; a new item is live whatever was removed before it. The state is
+    two flags for each item, so a set of any size is spread over all tasks."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live, gone = map(set, state.get) if state.exists else (set(), set())
+        added, gone = state.get if state.exists else (False, False)
         for pdf in batches:
-            gone |= set(pdf.loc[pdf["op"] == "remove", "item"])
-            live |= set(pdf.loc[pdf["op"] == "add", "item"])
-        live -= gone
-        state.update((sorted(live), sorted(gone)))
-        yield pd.DataFrame({"name": [key[0]], "live": [len(live)]})
+            gone = gone or bool((pdf["op"] == "remove").any())
+            added = added or bool((pdf["op"] == "add").any())
+        state.update((added, gone))
+        yield pd.DataFrame({"name": [key[0]], "item": [key[1]], "live": [added and not gone]})
 
-    return ops.groupBy("name").applyInPandasWithState(step, "name string, live long", "live array<string>, gone array<string>", "update", GroupStateTimeout.NoTimeout)
+    return ops.groupBy("name", "item").applyInPandasWithState(step, "name string, item string, live boolean", "added boolean, gone boolean", "update", GroupStateTimeout.NoTimeout)
