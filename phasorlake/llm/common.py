@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phasorlake.plans import drop, drop_all, keep, new_path, shared_dir
+
+__all__ = ["drop", "drop_all", "keep", "load", "new_path", "pieces", "shared_dir", "slices", "slots", "word_count", "words"]
+
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 #: ``bytes.split()`` cuts UTF-8 at exactly these six, so kernels use it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,46 +60,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one that the session names in ``spark.checkpoint.dir``. Only where that is
-    unset and all tasks run in this process, as in local tests, a folder of this machine
-    is taken; on a cluster that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    if not getattr(spark, "_phasorlake_dir", None):
-        spark._phasorlake_dir = tempfile.mkdtemp(prefix="phasorlake-")
-    return spark._phasorlake_dir
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and reread it: lineage ends there, and
-    a lost executor costs a reread of files instead of the work that made them."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._kept_path = path
-    return out
-
-
-def drop(spark: SparkSession, *paths: str | DataFrame | None) -> None:
-    """Remove kept tables that nothing reads any more."""
-    for p in paths:
-        p = getattr(p, "_kept_path", p) if not isinstance(p, str) else p
-        if isinstance(p, str):
-            where = spark._jvm.org.apache.hadoop.fs.Path(p)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def slots(spark: SparkSession) -> int:
     """Tasks that run at once, for the width of small Python stages."""
     return max(2, spark.sparkContext.defaultParallelism)

@@ -47,3 +47,25 @@ def test_model_on_held_out_urls():
 
 def test_empty_table(spark):
     assert urls.url_filter(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_verdicts_against_the_model_by_hand(spark):
+    """Where no rule fits, the verdict is the logistic model's over hashed n-grams, worked out here number by number."""
+    import math
+    from zlib import crc32
+
+    m = urls.Model()
+    pages = [(i, u, 1, "") for i, (u, _) in enumerate(HELD_OUT)] + [(20, "http://x.com?u=http://y.net/", 1, ""), (21, "http://É.net/DE/\nx", 1, ""), (22, "https://" + "a" * 50000 + ".net/" + "b" * 200000, 1, "")]
+    got = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(pages, SCHEMA)).collect()}
+    for i, u, *_ in pages:
+        host, path = urls.host_of(u)
+        counts = {}
+        for kind, part in (("h", host), ("p", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in path))):
+            text = f"^{part}$"
+            for n in urls.GRAMS:
+                for k in range(len(text) - n + 1) if part else ():
+                    at = crc32(f"{kind}{text[k : k + n]}".encode()) % urls.BUCKETS
+                    counts[at] = counts.get(at, 0) + 1
+        norm = math.sqrt(sum(n * n for n in counts.values()))
+        score = 1 / (1 + math.exp(-(sum(m.w[at] * n / norm for at, n in counts.items()) + m.b)))
+        assert got[i].rule is None and abs(got[i].score - score) < 1e-9 and got[i].verdict == ("block" if score > 0.5 else "allow")
