@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -50,22 +51,64 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset and all tasks run in this process, one of this machine."""
+    """The folder that the driver and all executors share.
+
+    It is the one that the session names in ``spark.checkpoint.dir``. Only where that is
+    unset and all tasks run in this process, as in local tests, a folder of this machine
+    is taken; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    if not getattr(spark, "_phasorlake_plans", None):
-        spark._phasorlake_plans = tempfile.mkdtemp(prefix="phasorlake-")
-    return spark._phasorlake_plans
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read again: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not getattr(spark, "_phasorlake_dir", None):
+        spark._phasorlake_dir = tempfile.mkdtemp(prefix="phasorlake-")
+    return spark._phasorlake_dir
+
+
+#: Kept tables that are still there, with what deletes them.
+_KEPT: dict[str, object] = {}
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is there at the end of the driver's process is removed."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    _KEPT[path] = lambda: where.getFileSystem(conf).delete(where, True)
+    return path
+
+
+def keep(df: DataFrame, label: str = "kept") -> DataFrame:
+    """Write a table to the shared folder and reread it: lineage ends there, and
+    a lost executor costs a reread of files instead of the work that made them."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def drop(spark: SparkSession, *paths: str | DataFrame | None) -> None:
+    """Remove kept tables that nothing reads any more."""
+    for p in paths:
+        p = getattr(p, "_kept_path", p) if not isinstance(p, str) else p
+        if isinstance(p, str):
+            _KEPT.pop(p, None)
+            where = spark._jvm.org.apache.hadoop.fs.Path(p)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def drop_all() -> None:
+    """Remove all kept tables: once no result is read any more, and at the end of the driver's process."""
+    for path, delete in list(_KEPT.items()):
+        try:
+            delete()
+        except Exception:  # the JVM has gone first
+            break
+        _KEPT.pop(path, None)
 
 
 def running(df: DataFrame, value: str, weight: str, by: Sequence[str] = (), parts: int = 64) -> DataFrame:

@@ -266,3 +266,27 @@ def test_shares_and_pairs(spark):
     assert rows(best.select("p", "q", "t"), "q") == [("a", "b", 1), ("a", "c", 3)]
     log = spark.createDataFrame([(1, 1, "k", 1.0), (1, 3, "k", 4.0), (1, 2, "k", 9.0)], "peer int, counter int, c string, value double")
     assert replicate.latest(log, ["c"], "value").first().value == 4.0 and replicate.grow_only(log, ["c"]).count() == 1
+
+
+def test_kept_tables_go(spark, tmp_path):
+    import os
+
+    from phasorlake import plans
+
+    a, b = plans.keep(spark.range(3), "a"), plans.keep(spark.range(4), "b")
+    assert a.count() == 3 and os.path.isdir(a._kept_path)
+    plans.drop(spark, a, None)
+    assert not os.path.isdir(a._kept_path) and os.path.isdir(b._kept_path)
+    plans.drop_all()
+    assert not os.path.isdir(b._kept_path)
+
+
+def test_a_cluster_must_name_its_folder():
+    from types import SimpleNamespace
+
+    from phasorlake import plans
+
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "s3://x/y/"), sparkContext=SimpleNamespace(master="spark://h:1"))
+    assert plans.shared_dir(named) == "s3://x/y"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        plans.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://h:1")))
