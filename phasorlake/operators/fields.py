@@ -8,12 +8,14 @@ frequency table has dim rows; Spark broadcasts it below its threshold.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasorlake.plans import cell, first_by
+from phasorlake.plans import BROADCAST, cell, first_by
 from phasorlake.space import Space, bind, bundle, cleanup, codebook, pair, unbind
 
 
@@ -28,12 +30,38 @@ def encode(points: DataFrame, table: DataFrame, axes: Sequence[str], weights: Se
     return df.groupBy(*by, "j").agg(*sums)
 
 
-def decode(points: DataFrame, key: str, field: DataFrame, table: DataFrame, axes: Sequence[str], weights: Sequence[str], dim: int, join: Sequence[str] = ()) -> DataFrame:
-    """(key, <weight>): Re<e^{iwp}, S> / dim at each point; ``join`` names keys that both sides share."""
+def decode(points: DataFrame, key: str, field: DataFrame, table: DataFrame, axes: Sequence[str], weights: Sequence[str], dim: int, join: Sequence[str] = (), kernel: str = "native") -> DataFrame:
+    """(key, <weight>): Re<e^{iwp}, S> / dim at each point; ``join`` names keys that both sides share.
+
+    ``kernel`` is native (a join on j with partial sums) or arrow (matrix products of
+    batches of points with the field, which goes to all tasks after a check of its size)."""
+    if kernel == "arrow":
+        return _decode_arrow(points, key, field, table, axes, weights, dim)
     df = points.crossJoin(table).withColumn("_t", phase(axes)).join(field, ["j", *join])
     return df.groupBy(key).agg(*[(F.sum(F.col(f"{w}_re") * F.cos("_t") + F.col(f"{w}_im") * F.sin("_t")) / F.lit(float(dim))).alias(w) for w in weights])
 
 
+def _decode_arrow(points: DataFrame, key: str, field: DataFrame, table: DataFrame, axes: Sequence[str], weights: Sequence[str], dim: int) -> DataFrame:
+    held = field.join(table, "j")
+    if held.count() * (len(axes) + 2 * len(weights)) * 8 > BROADCAST:
+        raise ValueError("the field is too large to go to every task: use the native kernel")
+    rows = sorted(held.collect(), key=lambda r: r["j"])
+    w = np.array([[r[f"w{k}"] for k in range(len(axes))] for r in rows]).reshape(-1, len(axes))
+    s = np.array([[complex(r[f"{c}_re"], r[f"{c}_im"]) for c in weights] for r in rows]).reshape(-1, len(weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 2048) for a in range(0, batch.num_rows, 2048)):
+                p = np.column_stack([part.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(axes))])
+                t = p @ w.T
+                out = (np.cos(t) @ s.real + np.sin(t) @ s.imag) / dim
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[:, i]) for i in range(len(weights)))], [key, *weights])
+
+    kinds = ", ".join(f"{c} double" for c in weights)
+    rows = points.select(key, *[F.col(a).cast("double") for a in axes])
+    return rows.mapInArrow(run, f"{key} {points.schema[key].dataType.simpleString()}, {kinds}")
+
+
 def exact(points: DataFrame, key: str, splats: DataFrame, axes: Sequence[str], weights: Sequence[str], sigma: float) -> DataFrame:
     """(key, <weight>): the mixture itself, all splats for each of a stated set of points. ``splats`` has <axis>_s."""
     d2 = sum(((F.col(a) - F.col(f"{a}_s")) * (F.col(a) - F.col(f"{a}_s")) for a in axes), F.lit(0.0))

@@ -116,3 +116,25 @@ def structure_errors(files: DataFrame, imports: DataFrame, forbidden: DataFrame,
     lanes = leakage(imports, files, path, "lane").join(forbidden, ["src_lane", "dst_lane"], "left_semi")
     d = lanes.select(F.col("src").alias(path), F.lit("forbidden import").alias("rule")).distinct()
     return a.unionByName(b).unionByName(c).unionByName(d)
+
+
+def god_modules(nodes: DataFrame, module: str, defines: DataFrame, edges: DataFrame, src: str, most: int, fan: int) -> DataFrame:
+    """(module, definitions, fan_out) of modules that define over ``most`` things or import over ``fan`` others."""
+    d = defines.groupBy(module).agg(F.count("*").alias("definitions"))
+    e = edges.groupBy(F.col(src).alias(module)).agg(F.count("*").alias("fan_out"))
+    out = nodes.select(module).distinct().join(d, module, "left").join(e, module, "left").fillna(0, ["definitions", "fan_out"])
+    return out.filter((F.col("definitions") > most) | (F.col("fan_out") > fan))
+
+
+def register(nodes: DataFrame, edges: DataFrame, prefix: str = "code") -> None:
+    """Vertices and edges as views, to be asked in SQL: <prefix>_nodes and <prefix>_edges."""
+    nodes.createOrReplaceTempView(f"{prefix}_nodes")
+    edges.createOrReplaceTempView(f"{prefix}_edges")
+
+
+def run_events(spark, run: str, label: str, at: str, status: str | None = None, wall: float | None = None) -> DataFrame:
+    """A run's start event, and its end event if it has a status: rows for the log that ``runs`` reads."""
+    rows = [(run, "started", label, at, None, None)]
+    if status is not None:
+        rows.append((run, "ended", label, at, status, wall))
+    return spark.createDataFrame(rows, "run string, event string, label string, at string, status string, wall_s double")

@@ -182,3 +182,46 @@ def project(gram: np.ndarray, rhs: np.ndarray, eps: float, tikhonov: float | Non
     w, v = np.linalg.eigh(gram)
     gain = w / (w * w + tikhonov**2) if tikhonov is not None else np.where(w > eps * w.max(), 1 / np.maximum(w, 1e-300), 0)
     return v @ (gain[:, None] * (v.conj().T @ rhs))
+
+
+class Diverged(ValueError):
+    """A projection whose result is larger than what was projected by more than was allowed."""
+
+
+def band_operator(gram: np.ndarray, keep: float | None = None, eps: float = 1e-6, tikhonov: float | None = None) -> np.ndarray:
+    """The matrix that takes right-hand sides to weights: eigenvalues are kept down to ``eps`` of the largest, or,
+    with ``keep``, only the largest that hold that share of their sum; or all are damped."""
+    w, v = np.linalg.eigh(gram)
+    if tikhonov is not None:
+        gain = w / (w * w + tikhonov**2)
+    else:
+        order = np.argsort(w)[::-1]
+        rank = int((w > eps * max(w.max(), 0)).sum())
+        if keep is not None:
+            total = np.cumsum(np.maximum(w[order], 0))
+            rank = min(rank, int(np.searchsorted(total, keep * total[-1]) + 1)) if total[-1] > 0 else 0
+        gain = np.zeros_like(w)
+        gain[order[:rank]] = 1 / w[order[:rank]]
+    return (v * gain) @ v.conj().T
+
+
+def project_cells(cells: DataFrame, keys: list[str], gram: np.ndarray, eps: float = 1e-6, keep: float | None = None, tikhonov: float | None = None, most: float | None = None) -> DataFrame:
+    """(keys, re, im, ratio): each cell's bundle (arrays re, im) projected by one operator of its band, which goes to
+    all tasks (dim^2 numbers); ratio is the result's size over the bundle's. If the median ratio is over ``most``: an error."""
+    op = band_operator(gram, keep, eps, tikhonov)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            b = np.array(pdf["re"].tolist()) + 1j * np.array(pdf["im"].tolist()) if len(pdf) else np.zeros((0, len(op)))
+            x = b @ op.T
+            size = np.linalg.norm(b, axis=1)
+            out = {k: pdf[k] for k in keys} | {"re": x.real.tolist(), "im": x.imag.tolist(), "ratio": np.linalg.norm(x, axis=1) / np.where(size == 0, 1, size)}
+            yield pd.DataFrame(out)
+
+    kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
+    out = cells.select(*keys, "re", "im").mapInPandas(run, f"{kinds}, re array<double>, im array<double>, ratio double")
+    if most is not None:
+        middle = out.agg(F.percentile("ratio", F.lit(0.5))).first()[0]
+        if middle is not None and middle > most:
+            raise Diverged(f"the median ratio is {middle:.3g}, over {most}")
+    return out

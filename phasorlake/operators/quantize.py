@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasorlake.functions import check_bits, dequantize, quantize
@@ -127,3 +127,33 @@ def raster(df: DataFrame, order: str, width: int) -> DataFrame:
     one = df.withColumn("_1", F.lit(1))
     rank = running(one, order, "_1").select(order, F.col("_before").alias("_rank"))
     return df.join(rank, order).withColumns({"line": F.floor(F.col("_rank") / width).cast("long"), "col": (F.col("_rank") % width).cast("long")}).drop("_rank")
+
+
+def image_layout(df: DataFrame, key: str, axes: Sequence[str], codebook: Sequence[str], codes: int, width: int) -> DataFrame:
+    """The rows of a compact scene file's images: places ``line`` and ``col`` in Z-order, 16-bit codes
+    ``<axis>_code`` of log positions, and ``<column>_code`` of quantile codebooks. Pictures and archive are left to the writer.
+
+    Z-order is of 10 bits an axis; rows of one cell follow each other by key, which is distinct."""
+    from phasorlake.functions import morton
+
+    logs = {f"_{a}": F.signum(a) * F.log1p(F.abs(a)) for a in axes}
+    rows = df.withColumns(logs)
+    ends = rows.agg(*[f(f"_{a}").alias(f"_{a}{n}") for a in axes for n, f in (("low", F.min), ("high", F.max))])
+    rows = rows.crossJoin(F.broadcast(ends))  # one row
+    share = {a: F.when(F.col(f"_{a}high") > F.col(f"_{a}low"), (F.col(f"_{a}") - F.col(f"_{a}low")) / (F.col(f"_{a}high") - F.col(f"_{a}low"))).otherwise(F.lit(0.0)) for a in axes}
+    out = rows.withColumns({f"{a}_code": F.rint(share[a] * 65535).cast("int") for a in axes})
+    places = [F.shiftright(F.col(f"{a}_code"), 6) for a in axes]
+    z = morton(*places, *[F.lit(0)] * (3 - len(places)))
+    cells = out.withColumn("_z", z)
+    count = cells.groupBy("_z").agg(F.count("*").alias("_n"))
+    from phasorlake.plans import running
+
+    start = running(count, "_z", "_n").select("_z", F.col("_before").alias("_start"))
+    w = Window.partitionBy("_z").orderBy(key)
+    out = cells.join(start, "_z").withColumn("_rank", F.col("_start") + F.row_number().over(w) - 1)
+    out = out.withColumns({"line": F.floor(F.col("_rank") / width).cast("long"), "col": (F.col("_rank") % width).cast("long")})
+    keep = [key, "line", "col", *[f"{a}_code" for a in axes]]
+    for c in codebook:
+        out = out.join(quantile_codebook(df, key, c, codes).select(key, F.col("code").alias(f"{c}_code")), key)
+        keep.append(f"{c}_code")
+    return out.select(*keep)

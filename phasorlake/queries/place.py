@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from phasorlake.operators import change as C
 from phasorlake.operators import fields as E
+from phasorlake.operators import generate as N
+from phasorlake.operators import graphs as P
 from phasorlake.operators import quantize as Z
 from phasorlake.operators import replicate as M
 from phasorlake.operators import routing as R
@@ -376,3 +378,78 @@ def dispatch_accuracy(spark, d):
         part = got.agg(F.avg((F.col("rule") == F.col("truth")).cast("double")).alias("a")).select(F.lit(rate).alias("rate"), (F.col("a") >= (1.0 if rate == 0 else 0.95)).alias("good"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+_UN = lambda name: u(f"'0|scene|{name}|' || id")
+
+
+@query(f"SELECT id, {s6(_UN('x') + ' * 2 - 1')} AS x, {s6(_UN('y') + ' * 2 - 1')} AS y, {s6('exp(ln(0.1) + ' + _UN('scale') + ' * ln(5.0))')} AS scale, {s6(_UN('alpha') + ' / 2 + 0.5')} AS alpha FROM (SELECT unnest(range(400))::BIGINT AS id)")
+def random_scene(spark, d):
+    return N.random_scene(spark, 400).select("id", *[r6(c).alias(c) for c in ("x", "y", "scale", "alpha")])
+
+
+@query(f"SELECT id, {s6('(sin(t) + 2*sin(2*t))/3')} AS x, {s6('(cos(t) - 2*cos(2*t))/3')} AS y, {s6('-sin(3*t)/3')} AS z FROM (SELECT id, id * 6.283185307179586 / 300 AS t FROM (SELECT unnest(range(300))::BIGINT AS id))")
+def trefoil(spark, d):
+    return N.trefoil(spark, 300).select("id", *[r6(c).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {_S}, {_W}, f AS (SELECT j, sum(alpha*cos(w0*x+w1*y)) AS re, sum(alpha*sin(w0*x+w1*y)) AS im FROM s, w GROUP BY j) SELECT vec_id, round(sum(re*cos(w0*x+w1*y)+im*sin(w0*x+w1*y))/{D}, 4) + 0.0 AS alpha FROM s, w JOIN f USING (j) GROUP BY vec_id")
+def field_read_arrow(spark, d):
+    """A field read at every splat by matrix products; the native kernel gives the same."""
+    s, t = _splats(spark, d), _table(spark)
+    out = E.decode(s.select("vec_id", "x", "y"), "vec_id", E.encode(s, t, ["x", "y"], ["alpha"]), t, ["x", "y"], ["alpha"], D, kernel="arrow")
+    return out.select("vec_id", (F.round("alpha", 4) + F.lit(0.0)).alias("alpha"))
+
+
+_SPREAD = "list_sum(list_transform(range(10), lambda b: (({v} >> b) & 1) << (3 * b)))"
+
+
+@query(
+    f"""WITH {_S}, l AS (SELECT vec_id, alpha, sign(x)*ln(1+abs(x)) AS lx, sign(y)*ln(1+abs(y)) AS ly FROM s),
+c AS (SELECT vec_id, round_even((lx - (SELECT min(lx) FROM l)) / (SELECT max(lx) - min(lx) FROM l) * 65535, 0)::INT AS x_code, round_even((ly - (SELECT min(ly) FROM l)) / (SELECT max(ly) - min(ly) FROM l) * 65535, 0)::INT AS y_code FROM l),
+z AS (SELECT *, {_SPREAD.format(v='(x_code >> 6)')} + {_SPREAD.format(v='(y_code >> 6)')} * 2 AS z FROM c), r AS (SELECT *, row_number() OVER (ORDER BY z, vec_id) - 1 AS r FROM z)
+SELECT vec_id, r // 32 AS line, r % 32 AS col, x_code, y_code FROM r"""
+)
+def image_layout(spark, d):
+    """Places in Z-order and 16-bit log positions of a scene's images."""
+    return Z.image_layout(_splats(spark, d), "vec_id", ["x", "y"], [], 16, 32)
+
+
+@query("WITH a AS (SELECT o_custkey AS m, count(*) AS definitions FROM orders GROUP BY 1), b AS (SELECT o_custkey AS m, count(*) AS fan_out FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT c_custkey AS m, coalesce(definitions, 0) AS definitions, coalesce(fan_out, 0) AS fan_out FROM customer LEFT JOIN a ON a.m = c_custkey LEFT JOIN b ON b.m = c_custkey WHERE coalesce(definitions, 0) > 14 OR coalesce(fan_out, 0) > 8")
+def graph_god_modules(spark, d):
+    """Nodes with too many of their own or too many others: customers stand for modules."""
+    o = load(spark, d, "orders").withColumnRenamed("o_custkey", "m")
+    return P.god_modules(load(spark, d, "customer").withColumnRenamed("c_custkey", "m"), "m", o, o.filter("o_orderstatus = 'F'"), "m", 14, 8)
+
+
+@query(f"{_COS}, f AS (SELECT doc_id, sum(cos) AS score FROM c WHERE item_id % 4 = 0 GROUP BY 1), k AS (SELECT doc_id, (contains(lower(text), 'license'))::INT + (contains(lower(text), 'terms'))::INT AS score FROM documents WHERE score > 0) SELECT coalesce(f.doc_id, k.doc_id) AS doc_id, {s6('coalesce(k.score, 0) + 2.0 * coalesce(f.score, 0)')} AS total FROM k FULL JOIN f ON k.doc_id = f.doc_id")
+def search_combined(spark, d):
+    """Keyword and fuzzy scores together; a text that has only one of them counts."""
+    words = O.keyword_scores(load(spark, d, "documents"), "doc_id", "text", "license terms")
+    fuzzy = _routes(spark, d).filter("item_id % 4 = 0").groupBy("doc_id").agg(F.sum("cos").alias("score"))
+    return O.both_scores(words, fuzzy, "doc_id", 2.0).select("doc_id", r6("total").alias("total"))
+
+
+@query(f"{_COS} SELECT item_id, doc_id, {s6('cos')} AS cos FROM c WHERE cos >= 0.3 AND NOT (item_id % 40 = doc_id % 40) AND item_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cos DESC, doc_id) <= 3")
+def fuzzy_findings(spark, d):
+    """The three texts nearest to each asked claim that no exact hit has named."""
+    c = _routes(spark, d)
+    out = T.fuzzy_findings(c.filter("item_id % 2 = 0").select("item_id"), "item_id", c, "doc_id", c.filter("item_id % 40 = doc_id % 40").select("item_id", "doc_id"), 0.3)
+    return out.select("item_id", "doc_id", r6("cos").alias("cos"))
+
+
+@query(f"WITH {_L} SELECT DISTINCT container, peer FROM l")
+def crdt_known_labels(spark, d):
+    """A set that only grows: what any writer has registered."""
+    return M.grow_only(M.apply(_log(spark, d), _log(spark, d)), ["container", "peer"])
+
+
+@query(f"WITH {_L} SELECT container, peer, arg_max(value, counter) AS value FROM l GROUP BY ALL")
+def crdt_latest(spark, d):
+    return M.latest(_log(spark, d), ["container"], "value")
+
+
+@query("SELECT fraction::DOUBLE AS fraction, round(fraction + 2*z*exp(-z*z/2)/sqrt(6.283185307179586), 6) AS share FROM (VALUES (0.01, 2.5758293035489004), (0.1, 1.6448536269514722)) t(fraction, z)")
+def null_share(spark, d):
+    """What the worst hundredth and tenth hold of the squares of normal errors; the law's quantiles are given to the SQL."""
+    return spark.createDataFrame([(f, round(T.null_share(f), 6)) for f in (0.01, 0.1)], "fraction double, share double")

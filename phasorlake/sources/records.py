@@ -63,3 +63,32 @@ def lint_counts(docs: DataFrame, column: str = "json") -> DataFrame:
     """(file, rule, n) of lint findings."""
     d = docs.select(F.explode(F.from_json(column, "array<struct<filename:string,code:string>>")).alias("d"))
     return d.groupBy(F.col("d.filename").alias("file"), F.col("d.code").alias("rule")).agg(F.count("*").alias("n"))
+
+
+SWEEP = "scene string, splats_encoded long, cells long, cells_per_band map<string,long>"
+
+
+def read_sweep(spark: SparkSession, path: str) -> DataFrame:
+    """(scene, splats_encoded, cells, cells_per_band) of a JSON sweep: an error if a scene's cells aren't the sum over its bands, or a number is missing."""
+    rows = spark.read.schema(SWEEP).option("multiLine", True).json(path)
+    total = F.aggregate(F.map_values("cells_per_band"), F.lit(0).cast("long"), lambda a, x: a + x)
+    sure = F.assert_true(F.coalesce((F.col("cells") == total) & F.col("splats_encoded").isNotNull(), F.lit(False)), F.concat(F.lit("cells don't add up: "), F.coalesce("scene", F.lit("?"))))
+    return rows.withColumn("_ok", sure).filter("_ok IS NULL").drop("_ok")
+
+
+def load_manifest(spark: SparkSession, entries: list[dict], readers: dict) -> DataFrame:
+    """(x, y, z, ex, ey, ez, label) of the sources that a manifest lists, one table.
+
+    An entry has kind, path and, to keep only objects whose centres are in a box, low and
+    high. ``readers`` gives for each kind a function (spark, path) -> objects; a kind
+    without one is an error before anything is read."""
+    unknown = sorted({e["kind"] for e in entries} - set(readers))
+    if unknown or not entries:
+        raise ValueError(f"no reader for {', '.join(unknown)}" if unknown else "the manifest is empty")
+    out = None
+    for e in entries:
+        rows = readers[e["kind"]](spark, e["path"]).select("x", "y", "z", "ex", "ey", "ez", "label")
+        for a, lo, hi in zip("xyz", e.get("low", []), e.get("high", [])):
+            rows = rows.filter(F.col(a).between(lo, hi))
+        out = rows if out is None else out.unionByName(rows)
+    return out

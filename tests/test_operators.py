@@ -290,3 +290,68 @@ def test_a_cluster_must_name_its_folder():
     assert plans.shared_dir(named) == "s3://x/y"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         plans.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://h:1")))
+
+
+def test_projection_of_cells(spark):
+    r = np.random.default_rng(9)
+    a = r.normal(size=(12, 6)) + 1j * r.normal(size=(12, 6))
+    gram = a.conj().T @ a
+    b = r.normal(size=(3, 6)) + 1j * r.normal(size=(3, 6))
+    df = spark.createDataFrame([(i, x.real.tolist(), x.imag.tolist()) for i, x in enumerate(b)], "c int, re array<double>, im array<double>")
+    for x in kernels.project_cells(df, ["c"], gram, 1e-12).collect():
+        assert np.allclose(gram @ (np.array(x.re) + 1j * np.array(x.im)), b[x.c])
+    low = kernels.band_operator(gram, keep=0.5)
+    assert np.linalg.matrix_rank(low) < 6 and np.linalg.matrix_rank(kernels.band_operator(gram, tikhonov=1.0)) == 6
+    assert not kernels.band_operator(np.zeros((4, 4))).any() and not kernels.band_operator(np.zeros((4, 4)), keep=0.9).any()
+    with pytest.raises(kernels.Diverged):
+        kernels.project_cells(df, ["c"], gram * 1e-6, 1e-12, most=10.0)
+
+
+def test_kernels_agree(spark):
+    space = Space(64)
+    t = space.frequencies(spark, 3, 0.5)
+    from phasorlake.operators import generate
+
+    s = generate.random_scene(spark, 200, 3)
+    f = fields.encode(s, t, ["x", "y", "z"], ["alpha", "scale"])
+    a = {r.id: (r.alpha, r.scale) for r in fields.decode(s, "id", f, t, ["x", "y", "z"], ["alpha", "scale"], 64).collect()}
+    b = {r.id: (r.alpha, r.scale) for r in fields.decode(s, "id", f, t, ["x", "y", "z"], ["alpha", "scale"], 64, kernel="arrow").collect()}
+    assert a.keys() == b.keys() and all(np.allclose(a[i], b[i]) for i in a)
+    q = generate.random_quaternions(spark, 500)
+    assert q.filter("abs(qw*qw + qx*qx + qy*qy + qz*qz - 1) > 1e-9").count() == 0
+
+
+def test_manifests_and_sweeps(spark, tmp_path):
+    import json
+
+    from phasorlake.sources import records
+
+    rows = lambda spark, path: spark.createDataFrame([(float(path), 0.0, 0.0, 1.0, 1.0, 1.0, "a"), (5.0, 0.0, 0.0, 1.0, 1.0, 1.0, "b")], "x double, y double, z double, ex double, ey double, ez double, label string")
+    got = records.load_manifest(spark, [{"kind": "k", "path": "1"}, {"kind": "k", "path": "2", "low": [0, 0, 0], "high": [3, 0, 0]}], {"k": rows})
+    assert sorted(r.x for r in got.collect()) == [1.0, 2.0, 5.0]
+    for bad in ([], [{"kind": "other", "path": "1"}]):
+        with pytest.raises(ValueError):
+            records.load_manifest(spark, bad, {"k": rows})
+    sweep = [{"scene": "s", "splats_encoded": 10, "cells": 5, "cells_per_band": {"a": 2, "b": 3}}]
+    (tmp_path / "good.json").write_text(json.dumps(sweep))
+    (tmp_path / "bad.json").write_text(json.dumps([{**sweep[0], "cells": 6}]))
+    assert records.read_sweep(spark, str(tmp_path / "good.json")).first().cells_per_band == {"a": 2, "b": 3}
+    with pytest.raises(Exception, match="add up"):
+        records.read_sweep(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_runs_and_views(spark):
+    log = graphs.run_events(spark, "r1", "build", "2024-01-01", "ok", 2.0).unionByName(graphs.run_events(spark, "r2", "build", "2024-01-02"))
+    assert {r.run: r.status for r in graphs.runs(log).collect()} == {"r1": "done", "r2": "killed"}
+    nodes, edges = spark.createDataFrame([("a",), ("b",)], "name string"), spark.createDataFrame([("a", "b")], "src string, dst string")
+    graphs.register(nodes, edges)
+    assert spark.sql("SELECT name FROM code_nodes LEFT ANTI JOIN code_edges ON name = dst").first().name == "a"
+
+
+def test_image_layout_is_a_raster(spark):
+    from phasorlake.operators import generate
+
+    s = generate.random_scene(spark, 300, 3)
+    got = quantize.image_layout(s, "id", ["x", "y", "z"], ["scale"], 16, 20).collect()
+    assert sorted((r.line, r.col) for r in got) == [(i // 20, i % 20) for i in range(300)]
+    assert {r.scale_code for r in got} == set(range(16)) and all(0 <= r.x_code <= 65535 for r in got)
