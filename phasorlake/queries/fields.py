@@ -337,12 +337,24 @@ def what_is_where(spark, d):
     return out.select("scene", "k", _named(None, names)[0].alias("what"), F.col("indices")[1].alias("col"), F.col("indices")[2].alias("line"))
 
 
-@query()
+def _ridge_sql() -> str:
+    """Three features by Cramer's rule on centred sums; the penalty is 1e-3."""
+    x = ["l_quantity", "l_discount", "l_tax"]
+    sums = ", ".join([f"sum(({x[i]}-m{i})*({x[j]}-m{j})){' + 1e-3' if i == j else ''} AS s{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum(({x[i]}-m{i})*(l_extendedprice-my)) AS b{i}" for i in range(3)])
+    at = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    det = lambda c: "(" + " + ".join(f"{c[0][k]}*({c[1][(k + 1) % 3]}*{c[2][(k + 2) % 3]}-{c[1][(k + 2) % 3]}*{c[2][(k + 1) % 3]})" for k in range(3)) + ")"
+    whole = [[at(i, j) for j in range(3)] for i in range(3)]
+    w = [f"{det([[f'b{i}' if j == k else at(i, j) for j in range(3)] for i in range(3)])}/{det(whole)}" for k in range(3)]
+    return f"""WITH m AS (SELECT {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(x))}, avg(l_extendedprice) AS my FROM lineitem), s AS (SELECT {sums}, any_value(m0) AS m0, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my FROM lineitem, m),
+w AS (SELECT {', '.join(f'{e} AS w{i}' for i, e in enumerate(w))}, m0, m1, m2, my FROM s) SELECT unnest(['quantity', 'discount', 'tax', 'intercept']) AS feature, round(unnest([w0, w1, w2, my - w0*m0 - w1*m1 - w2*m2]), 3) + 0.0 AS weight FROM w"""
+
+
+@query(_ridge_sql())
 def ridge_fit(spark, d):
     """Price by quantity, discount and tax."""
     li = load(spark, d, "lineitem")
     w = K.ridge(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 1e-3)
-    return spark.createDataFrame([(n, round(float(x), 4)) for n, x in zip(["quantity", "discount", "tax", "intercept"], w)], "feature string, weight double")
+    return spark.createDataFrame([(n, round(float(x), 3) + 0.0) for n, x in zip(["quantity", "discount", "tax", "intercept"], w)], "feature string, weight double")
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 3) + 0.0 AS slope FROM lineitem GROUP BY 1")

@@ -422,12 +422,12 @@ def graph_god_modules(spark, d):
     return P.god_modules(load(spark, d, "customer").withColumnRenamed("c_custkey", "m"), "m", o, o.filter("o_orderstatus = 'F'"), "m", 14, 8)
 
 
-@query(f"{_COS}, f AS (SELECT doc_id, sum(cos) AS score FROM c WHERE item_id % 4 = 0 GROUP BY 1), k AS (SELECT doc_id, (contains(lower(text), 'license'))::INT + (contains(lower(text), 'terms'))::INT AS score FROM documents WHERE score > 0) SELECT coalesce(f.doc_id, k.doc_id) AS doc_id, {s6('coalesce(k.score, 0) + 2.0 * coalesce(f.score, 0)')} AS total FROM k FULL JOIN f ON k.doc_id = f.doc_id")
+@query(f"{_COS}, f AS (SELECT doc_id, sum(cos) AS score FROM c WHERE item_id % 4 = 0 GROUP BY 1), k AS (SELECT doc_id, (contains(lower(text), 'license'))::INT + (contains(lower(text), 'terms'))::INT AS score FROM documents WHERE score > 0) SELECT coalesce(f.doc_id, k.doc_id) AS doc_id, round(coalesce(k.score, 0) + 2.0 * coalesce(f.score, 0), 4) + 0.0 AS total FROM k FULL JOIN f ON k.doc_id = f.doc_id")
 def search_combined(spark, d):
     """Keyword and fuzzy scores together; a text that has only one of them counts."""
     words = O.keyword_scores(load(spark, d, "documents"), "doc_id", "text", "license terms")
     fuzzy = _routes(spark, d).filter("item_id % 4 = 0").groupBy("doc_id").agg(F.sum("cos").alias("score"))
-    return O.both_scores(words, fuzzy, "doc_id", 2.0).select("doc_id", r6("total").alias("total"))
+    return O.both_scores(words, fuzzy, "doc_id", 2.0).select("doc_id", (F.round("total", 4) + F.lit(0.0)).alias("total"))
 
 
 @query(f"{_COS} SELECT item_id, doc_id, {s6('cos')} AS cos FROM c WHERE cos >= 0.3 AND NOT (item_id % 40 = doc_id % 40) AND item_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cos DESC, doc_id) <= 3")
