@@ -203,28 +203,27 @@ class RunIndex:
         """
         to = f"{self.path}/docs/{uuid.uuid4().hex}"
         _keyed(docs).mapInArrow(_signatures(self.width, self.seed), _DOCS).write.option("compression", "zstd").parquet(to)
-        rows = self.segment(to)
         # copies are one text: their seeds are taken from one of them
-        texts = rows.filter(F.size("seeds") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.least(F.count("*"), F.lit(2)).cast("int").alias("weight"), F.any_value("seeds").alias("seeds"), F.any_value("counts").alias("counts"))
+        texts = self.segment(to).filter(F.size("seeds") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.least(F.count("*"), F.lit(2)).cast("int").alias("weight"), F.any_value("seeds").alias("seeds"), F.any_value("counts").alias("counts"))
         each = texts.select("k1", "k2", "first", "weight", F.pmod("k1", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.arrays_zip("seeds", "counts")).alias("x"))
         level, run = self._write_run(each.select(F.col("x.seeds").alias("seed"), "salt", "k1", "k2", "first", F.least(F.col("x.counts") * F.col("weight"), F.lit(2)).cast("int").alias("n"), "weight"), 0)
         new = self.run(run)
         sums = common.keep(new.groupBy("seed").agg(F.sum("n").alias("n")), "sums")
-        wanted = sums.select("seed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         columns = ["k1", "k2", "first", "weight", "seed"]
         with self._ordered():
-            found = [common.keep(self._merged(wanted, path).select(*columns, F.lit(i + 1).alias("source")), "older") for i, (_, path) in enumerate(self.runs)]
-        again = sums.filter("n > 1").select("seed")
+            found = [common.keep(self._merged(sums, path).select(*columns, F.lit(i + 1).alias("source")), "older") for i, (_, path) in enumerate(self.runs)]
+            again = sums.filter("n > 1").select("seed")
+            for old in found:
+                again = again.unionByName(old.select("seed"))
+            own = common.keep(self._merged(again.distinct(), run).select(*columns, F.lit(0).alias("source")), "own")
+        rows = own
         for old in found:
-            again = again.unionByName(old.select("seed"))
-        own = new.join(again.distinct().hint("merge"), "seed").select(*columns, F.lit(0).alias("source"))
-        for old in found:
-            own = own.unionByName(old)
+            rows = rows.unionByName(old)
         # the runs and the batch are parts of the corpus: a text in two of them comes twice
-        out = own.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.collect_set("seed").alias("seeds"), F.collect_set(F.struct("source", "weight")).alias("weights"))
+        out = rows.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.collect_set("seed").alias("seeds"), F.collect_set(F.struct("source", "weight")).alias("weights"))
         weight = F.least(F.aggregate("weights", F.lit(0), lambda a, x: a + x["weight"]), F.lit(2))
         out = common.keep(out.select("k1", "k2", "first", "seeds", weight.alias("weight")), "hits")
-        common.drop(self.spark, sums, *found)
+        common.drop(self.spark, sums, own, *found)
         self.runs.append((level, run))
         self.segments.append(to)
         self._publish()
@@ -243,8 +242,9 @@ class RunIndex:
             self.spark.conf.set(name, before)
 
     def _merged(self, wanted: DataFrame, path: str) -> DataFrame:
-        """The rows of a run whose (seed, salt) is wanted, by a merge join on the run as it lies."""
-        return self.run(path).join(wanted.hint("merge"), ["seed", "salt"])
+        """The rows of a run whose seed is wanted, by a merge join on the run as it lies: a wanted seed is looked for in each salt."""
+        each = wanted.select("seed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        return self.run(path).join(each.hint("merge"), ["seed", "salt"])
 
     def compact(self) -> None:
         """Merge the runs of a level that has ``fanout`` of them into one of the next; a text of several is one."""
