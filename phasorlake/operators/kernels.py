@@ -171,10 +171,10 @@ def circular_convolution(a: list[float], b: list[float]) -> np.ndarray:
 def hrr_bind(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "bound": [circular_convolution(x, y).tolist() for x, y in zip(pdf[a], pdf[b])]})
+            yield pd.DataFrame({key: pdf[key], "bound": [circular_convolution(x, y).tolist() for x, y in zip(pdf["_a"], pdf["_b"])]})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, a, b).mapInPandas(run, f"{key} {kind}, bound array<double>")
+    return df.select(key, F.col(a).alias("_a"), F.col(b).alias("_b")).mapInPandas(run, f"{key} {kind}, bound array<double>")
 
 
 def project(gram: np.ndarray, rhs: np.ndarray, eps: float, tikhonov: float | None = None) -> np.ndarray:

@@ -1,6 +1,6 @@
 """The engine's queries and their SQL, by name."""
 
-from phasorlake.queries import fields, place, spatial, stateful, studies, symbolic
+from phasorlake.queries import fields, files, place, spatial, stateful, studies, symbolic
 from phasorlake.queries.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "fields", "place", "spatial", "stateful", "studies", "symbolic"]
+__all__ = ["QUERIES", "SQL", "fields", "files", "place", "spatial", "stateful", "studies", "symbolic"]
