@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from phasorlake.operators.structures import unit_profile_arrays
 from phasorlake.plans import BROADCAST, first_by
@@ -38,6 +39,7 @@ def dispatch_matrix(space: Space, rules: DataFrame, inputs: DataFrame, key: str,
 
 
 def _best_rules(inputs: DataFrame, book: DataFrame, key: str, key_type: str, rule_type: str) -> DataFrame:
+    kind = to_arrow_type(book.schema["rule"].dataType)
     rows = sorted(book.collect(), key=lambda r: r["rule"])
     names, matrix = [r["rule"] for r in rows], np.array([[*r["re"], *r["im"]] for r in rows])
 
@@ -49,7 +51,7 @@ def _best_rules(inputs: DataFrame, book: DataFrame, key: str, key_type: str, rul
                 q = np.hstack([part.column(i).flatten().to_numpy().reshape(part.num_rows, -1) for i in (1, 2)])
                 score = q @ matrix.T
                 at = np.round(score, 9).argmax(1)  # the first of equals has the least rule
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([names[i] for i in at]), pa.array(score[np.arange(len(at)), at])], [key, "rule", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([names[i] for i in at], kind), pa.array(score[np.arange(len(at)), at])], [key, "rule", "score"])
 
     return inputs.mapInArrow(run, f"{key} {key_type}, rule {rule_type}, score double")
 

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from phasorlake.plans import BROADCAST, first_by, keep
 from phasorlake.space import Space, bind, bundle, cleanup, codebook, matches, pair, scores, shift, similarity, unbind
@@ -224,6 +225,7 @@ def profile_cosines(docs: DataFrame, key: str, text: str, profiles: DataFrame, n
     if profiles.count() * 32 > BROADCAST:
         return count_cosine(ngrams(docs, key, text), key, profiles, name)
     held: dict = {}
+    who_kind = to_arrow_type(profiles.schema[name].dataType)
     for r in profiles.collect():
         held.setdefault(r[name], {})[r["gram"]] = float(r["n"])
     names = sorted(held)
@@ -245,7 +247,7 @@ def profile_cosines(docs: DataFrame, key: str, text: str, profiles: DataFrame, n
                         at.append(i)
                         who.append(x)
                         cos.append(d / (norm * m))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(who), pa.array(cos, pa.float64())], [key, name, "cos"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(who, who_kind), pa.array(cos, pa.float64())], [key, name, "cos"])
 
     kinds = docs.schema[key].dataType.simpleString(), profiles.schema[name].dataType.simpleString()
     return docs.select(key, letters(text).alias("_t")).mapInArrow(run, f"{key} {kinds[0]}, {name} {kinds[1]}, cos double")
@@ -394,8 +396,6 @@ def fsm_run(rows: DataFrame, machine: str, position: str, symbol: str, rules: Da
             now = m[states.index(now)]
         return pd.DataFrame({machine: pdf[machine], "_b": pdf["_b"], "_from": said})
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     pa_kind = to_arrow_type(rows.schema[machine].dataType)
     dealt = blocks.repartition(machine, "_b").sortWithinPartitions(machine, "_b", "position")
     maps = dealt.mapInArrow(compose, f"{machine} {kind}, _b long, _map array<string>")

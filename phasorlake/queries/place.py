@@ -335,11 +335,11 @@ def bundle_bytes(spark, d):
     return out.withColumn("per_splat", r6("per_splat"))
 
 
-@query("SELECT p_brand, min(CASE WHEN p_retailprice >= 1500 THEN p_size END) AS p_size FROM part GROUP BY p_brand")
+@query("SELECT p_brand, coalesce(min(CASE WHEN p_retailprice >= 1500 THEN p_size END), -1) AS p_size FROM part GROUP BY p_brand")
 def first_meeting(spark, d):
-    """The least size of each brand that passes a gate."""
+    """The least size of each brand that passes a gate; -1 where none does."""
     p = T.refuse_over(load(spark, d, "part"), F.col("p_size"), 1e12, "parts")
-    return T.first_meeting(p, ["p_brand"], "p_size", F.col("p_retailprice") >= 1500)
+    return T.first_meeting(p, ["p_brand"], "p_size", F.col("p_retailprice") >= 1500).fillna(-1, ["p_size"])
 
 
 @query("SELECT doc_id AS l, round(sum(v), 3) + 0.0 AS v FROM (SELECT l_linenumber AS doc_id, round(l_extendedprice, 1) AS v FROM lineitem) GROUP BY 1")
