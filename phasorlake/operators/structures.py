@@ -138,13 +138,33 @@ def _grams(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     windows = np.lib.stride_tricks.sliding_window_view(c, n)
     if n > 3:
         return np.unique(windows, axis=0, return_counts=True)
-    keys = np.zeros(len(windows), np.uint64)
-    for i in range(n):
-        keys = keys << np.uint64(21) | windows[:, i]
-    keys, count = np.unique(keys, return_counts=True)
+    keys, count = np.unique(_packed(windows), return_counts=True)
     return np.column_stack([(keys >> np.uint64(21 * (n - 1 - i)) & np.uint64(0x1FFFFF)).astype(np.uint32) for i in range(n)]), count
 
 
+def _spelt(codes: np.ndarray) -> list[str]:
+    n = codes.shape[1]
+    flat = np.ascontiguousarray(codes.astype("<u4")).tobytes().decode("utf-32-le")
+    return [flat[a : a + n] for a in range(0, len(flat), n)]
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, count = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+    n = codes.shape[1]
+    if n > 3:
+        first, at = np.unique(codes, axis=0, return_index=True, return_inverse=True)[1:]
+    else:
+        _, first, at = np.unique(_packed(codes), return_index=True, return_inverse=True)
+    return codes[first], np.bincount(at.ravel(), count, len(first)).astype(np.int64)
+
+
+def _packed(codes: np.ndarray) -> np.ndarray:
+    keys = np.zeros(len(codes), np.uint64)
+    for i in range(codes.shape[1]):
+        keys = keys << np.uint64(21) | codes[:, i].astype(np.uint64)
+    return keys
+
+
 def letters(text: str, keep: str = "[^a-z ]") -> Column:
     return F.regexp_replace(F.lower(text), keep, "")
 
@@ -156,12 +176,14 @@ def ngrams(docs: DataFrame, key: str, text: str, n: int = 3, keep: str = "[^a-z
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch.column(1))):
-                codes, count = _grams(batch.column(1)[i].as_py() or "", n)
+            held: dict = {}  # texts of one key are counted together
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                codes, count = _grams(t.as_py() or "", n)
                 if len(count):
-                    flat = np.ascontiguousarray(codes.astype("<u4")).tobytes().decode("utf-32-le")
-                    grams = [flat[a : a + n] for a in range(0, len(flat), n)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(grams))), pa.array(grams), pa.array(count.astype(np.int64))], [key, "gram", "n"])
+                    held.setdefault(k, (i, []))[1].append((codes, count))
+            for i, parts in held.values():
+                codes, count = parts[0] if len(parts) == 1 else _added(parts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(count))), pa.array(_spelt(codes)), pa.array(count.astype(np.int64))], [key, "gram", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(key, letters(text, keep).alias("_t")).mapInArrow(run, f"{key} {kind}, gram string, n long")
@@ -229,25 +251,26 @@ def profile_cosines(docs: DataFrame, key: str, text: str, profiles: DataFrame, n
     for r in profiles.collect():
         held.setdefault(r[name], {})[r["gram"]] = float(r["n"])
     names = sorted(held)
-    norms = [sum(n * n for n in held[x].values()) ** 0.5 for x in names]
+    grams = {g: i for i, g in enumerate(sorted({g for p in held.values() for g in p}))}
+    if len(grams) * len(names) * 8 > BROADCAST:
+        return count_cosine(ngrams(docs, key, text), key, profiles, name)
+    matrix = np.zeros((len(grams) + 1, len(names)))  # the last row is of grams that no profile has
+    for c, x in enumerate(names):
+        matrix[[grams[g] for g in held[x]], c] = list(held[x].values())
+    matrix /= np.maximum(np.sqrt((matrix * matrix).sum(0)), 1e-300)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, who, cos = [], [], []
+            at, cos = [], []
             for i, t in enumerate(batch.column(1)):
                 codes, count = _grams(t.as_py() or "", 3)
-                if not len(count):
-                    continue
-                flat = np.ascontiguousarray(codes.astype("<u4")).tobytes().decode("utf-32-le")
-                grams, norm = [flat[a : a + 3] for a in range(0, len(flat), 3)], float((count.astype(float) ** 2).sum()) ** 0.5
-                for x, m in zip(names, norms):
-                    other = held[x]
-                    d = sum(n * other[g] for g, n in zip(grams, count.tolist()) if g in other)
-                    if d:
-                        at.append(i)
-                        who.append(x)
-                        cos.append(d / (norm * m))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(who, who_kind), pa.array(cos, pa.float64())], [key, name, "cos"])
+                if len(count):
+                    n = count.astype(float)
+                    at.append(i)
+                    cos.append(n @ matrix[[grams.get(g, -1) for g in _spelt(codes)]] / np.sqrt((n * n).sum()))
+            all_ = np.array(cos).reshape(len(at), len(names))
+            row, col = np.nonzero(all_)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(at, np.int64)[row])), pa.array([names[c] for c in col], who_kind), pa.array(all_[row, col])], [key, name, "cos"])
 
     kinds = docs.schema[key].dataType.simpleString(), profiles.schema[name].dataType.simpleString()
     return docs.select(key, letters(text).alias("_t")).mapInArrow(run, f"{key} {kinds[0]}, {name} {kinds[1]}, cos double")

@@ -121,9 +121,9 @@ def running(df: DataFrame, value: str, weight: str, by: Sequence[str] = (), part
     each, are accumulated first, then each range orders its own values.
     """
     by = list(by)
-    held = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    cuts = held.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
-    held = (held.join(cuts, by) if by else held.crossJoin(F.broadcast(cuts))).withColumn("_part", F.size(F.array_distinct(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
+    held = keep(df.groupBy(*by, value).agg(F.sum(weight).alias("_w")), "values")  # read three times
+    cuts = held.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000)).alias("_cuts"))
+    held = (held.join(cuts, by) if by else held.crossJoin(F.broadcast(cuts))).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     order = Window.partitionBy(*by).orderBy("_part")
     sums = held.groupBy(*by, "_part").agg(F.sum("_w").alias("_s"), F.max(value).alias("_top"), F.max_by("_w", value).alias("_topw"))
     sums = sums.withColumns({
