@@ -375,7 +375,12 @@ def bpe_encode(docs: DataFrame, path: str, most: int = MOST_WORDS) -> DataFrame:
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows with ``decoded``, the tokens' strings of ``ids`` joined by spaces; null ids give an empty text."""
+    """The rows with ``decoded``, the tokens' strings of ``ids`` joined by spaces.
+
+    Null and empty ids give an empty text; an id that the vocabulary doesn't have is an
+    error. Repeated rows are decoded each, an empty table gives no rows, a column
+    ``decoded`` is replaced and all others stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(path).tokens

@@ -20,7 +20,12 @@ def _ends(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the least node that it reaches."""
+    """(node, root) for every node of ``edges`` (a, b): root is the least node that it reaches.
+
+    Loops and repeated or turned edges change nothing, but a node that has only a loop has
+    no row. Edges with a null end must be taken out before. No edges give no rows. Other
+    columns are ignored.
+    """
     spark = edges.sparkSession
     left = common.keep(_ends(edges), "edges")
     labels = None

@@ -31,7 +31,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """(source, source_size, target) from (source, source_size).
 
     The table has a row for each source. It is ranked and accumulated in one task:
-    its length is the number of sources, not of documents.
+    its length is the number of sources, not of documents: a million sources are some
+    tens of megabytes there.
     """
     if share > most:
         raise ValueError("the share can't be above the most that all sources can give")
@@ -77,7 +78,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each document ``copies`` times, with the number of the copy in ``copy``."""
+    """Each document ``copies`` times, with the number of the copy in ``copy``.
+
+    Rows with 0 or null copies go; a null text or doc_id is emitted like any other;
+    repeated rows are emitted each. An empty table gives no rows. A column ``copy`` is
+    replaced, all others stay.
+    """
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
     return mixed.filter("copies > 0").select(*[c for c in mixed.columns if c != "copy"], copy)
 

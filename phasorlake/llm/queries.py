@@ -53,8 +53,16 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(load(spark, sf_dir, "pages"))
 
 
+#: Tools whose calls are validated; those of other names are told as unknown.
+TOOLS = {
+    "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "top": {"type": "integer", "minimum": 1, "maximum": 100}}, "additionalProperties": False},
+    "calculate": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}, "additionalProperties": False},
+    "read": {"type": "object", "required": ["path"], "properties": {"path": {"type": "string"}, "lines": {"type": "array", "items": {"type": "integer", "minimum": 0}}}},
+}
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = chat_items(load(spark, sf_dir, "conversations"))
+    items = chat_items(load(spark, sf_dir, "conversations"), TOOLS)
     return items.select("conv_id", "block", "step", "place", "turn", "kind", "status", F.size("errors").alias("n_errors"), F.sha2("json", 256).alias("json_sha256"))
 
 

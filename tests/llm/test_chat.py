@@ -148,3 +148,12 @@ def test_very_long_text(spark):
     big = "x" * 3_000_000
     got = chat.chat_items(spark.createDataFrame([(1, 0, "user", big, 1), (1, 1, "assistant", call(("i", "add", {"a": 1, "b": 2}), content=big), 1)], SCHEMA), TOOLS).collect()
     assert sorted(len(g.json) > 3_000_000 for g in got) == [False, True, True]
+
+
+def test_the_query_validates_calls(spark, tmp_path):
+    from phasorlake.llm.queries import queries
+
+    data = [(1, 0, "assistant", call(("a", "search", {"query": "x", "top": 0}), ("b", "read", {"path": "p", "lines": [1, -1]}), ("c", "other", {})), 0), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "y"}), 0)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.kind, r.place): (r.status, r.n_errors) for r in queries()["op7_chat_formatting"](spark, str(tmp_path)).collect()}
+    assert got == {("message", 0): ("plain", 0), ("call", 0): ("linked", 1), ("call", 1): ("unanswered", 1), ("call", 2): ("unanswered", 1), ("result", 0): ("linked", 0)}
