@@ -27,6 +27,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -268,10 +269,17 @@ def mapped(block: bytes) -> mmap.mmap:
             if hashlib.sha256(out).hexdigest() == digest:
                 return out
             out.close()
-        fd, part = tempfile.mkstemp(dir=folder)
-        with os.fdopen(fd, "wb") as f:
+        # its name is beside ``path`` as that is written: mkstemp's own, made absolute, can be on another device
+        part = f"{path}-{uuid4().hex}"
+        with open(part, "xb") as f:
             f.write(block)
-        os.replace(part, path)
+        try:
+            os.replace(part, path)
+        except OSError:  # then it isn't shared: the map outlives the file's name
+            with open(part, "rb") as f:
+                out = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            os.remove(part)
+            return out
     raise OSError(f"{path} doesn't hold what was written")
 
 

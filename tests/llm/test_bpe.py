@@ -89,3 +89,25 @@ def test_digests_and_round_trip(spark, library):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert bpe.bpe_digests(empty, PATH).collect() == [] == bpe.bpe_encode(empty, PATH).collect()
+
+
+def test_lexicon_is_mapped_whatever_renames_do(monkeypatch, tmp_path):
+    from pyspark import SparkFiles
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(SparkFiles, "getRootDirectory", lambda: ".")  # as on executors
+    real = bpe.os.replace
+
+    def within_a_folder(a, b):  # as where the work folder's absolute path is another mount
+        if bpe.os.path.dirname(a) != bpe.os.path.dirname(b):
+            raise OSError(18, "Invalid cross-device link")
+        real(a, b)
+
+    monkeypatch.setattr(bpe.os, "replace", within_a_folder)
+    assert bytes(bpe.mapped(b"block")) == b"block" and len(list(tmp_path.iterdir())) == 1
+
+    def never(a, b):
+        raise OSError(18, "Invalid cross-device link")
+
+    monkeypatch.setattr(bpe.os, "replace", never)
+    assert bytes(bpe.mapped(b"other")) == b"other" and len(list(tmp_path.iterdir())) == 1
