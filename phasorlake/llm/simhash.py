@@ -10,11 +10,13 @@ loses no link. Copies share a fingerprint and are counted before the shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,12 +114,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def text_fingerprint(text: str | None, shingle: int, bands: int, band: int) -> tuple[int, list[int]]:
-    """The 64-bit fingerprint, and ``bands`` further ones of ``band`` bits each, from other hashes of the same shingles."""
+def text_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; none without words."""
     w = text.encode().translate(_LOWER).split() if text else []
-    if not w:
+    return _hashes(w, shingle) if w else np.empty(0, "<u8")
+
+
+def text_fingerprint(hashes: np.ndarray, bands: int, band: int) -> tuple[int, list[int]]:
+    """The 64-bit fingerprint, and ``bands`` further ones of ``band`` bits each, from other hashes of the same shingles."""
+    if not len(hashes):
         return 0, [0] * bands
-    hashes = _hashes(w, shingle)
     words = 1 + -(-bands * band // 64)
     ones = np.zeros((words, 64), np.int64)
     for a in range(0, len(hashes), 65536):
@@ -176,15 +182,94 @@ def band_links(nodes: DataFrame, bands: int, band: int, most: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Rows of the sample that heavy shingles are told from, the least count there, the most of them; rows and candidates of a task.
+SAMPLE, HEAVY, MOST_HEAVY, MEET, PAIRS = 8192, 4, 1 << 16, 1_000_000, 500_000
+#: Texts that are looked up by a broadcast of their keys; more are joined by a shuffle.
+FEW = 100_000
+#: 64-bit words of a set's parities.
+PARITIES = 8
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * PARITIES cells holds an odd number of a set's shingles: two sets differ in as many at least as their cells."""
+    cells = (shingles * np.uint64(0x9E3779B97F4A7C15 | 1)) >> np.uint64(64 - 6 - (PARITIES - 1).bit_length())
+    return np.packbits((np.bincount(cells.astype(np.int64), minlength=64 * PARITIES) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def prefix(shingles: np.ndarray, heavy: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's shingles, of which two sets as similar as that share one at least.
+
+    Their order is by value, with the ``heavy`` ones (sorted) last: any one order of all
+    shingles is exact, this one makes few sets meet.
+    """
+    n = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    if not len(heavy):
+        return shingles[:n]
+    late = heavy[np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)] == shingles
+    return np.concatenate([shingles[~late], shingles[late]])[:n]
+
+
+def met_pairs(h: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, rank: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of nodes with one ``h``, of different components; a part at a time.
+
+    Left out are those whose sizes are too far apart, and those that ``h``, at these
+    ``rank`` in both orders, can't be the first common shingle of: none but what follows
+    it can be common then. Linked nodes meet by the first one.
+    """
+    order = np.lexsort((comp, h))
+    h, node, comp, size, rank = h[order], node[order], comp[order], size[order], rank[order]
+    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
+    ends = np.r_[np.flatnonzero(new)[1:], len(h)]
+    end = np.repeat(ends, np.diff(np.r_[0, ends]))
+    run = new | np.r_[True, comp[1:] != comp[:-1]] if len(h) else new
+    ends = np.r_[np.flatnonzero(run)[1:], len(h)]
+    after = np.repeat(ends, np.diff(np.r_[0, ends]))  # the first place of the next component
+    left = np.flatnonzero(after < end)
+    n = (end - after)[left]
+    total = np.cumsum(n)
+    i = 0
+    while i < len(left):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS)))
+        times = n[i:j]
+        a = np.repeat(left[i:j], times)
+        b = np.repeat(after[left[i:j]], times) + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+        near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+        near &= np.minimum(size[a] - rank[a], size[b] - rank[b]) >= similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9
+        a, b = a[near], b[near]
+        turn = node[a] > node[b]
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        yield node[a], node[b]
+        i = j
+
+
+def _heavy(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of many texts, sorted, told from a sample of about SAMPLE rows; MOST_HEAVY at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(text_hashes(t.as_py(), shingle)) for t in batch.column(0)]
+            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, "<u8"), np.empty(0, int))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    share = max(1, -(-texts.count() // SAMPLE))
+    some = texts.filter(F.pmod("_k2", F.lit(share)) == 0).select("text")
+    counts = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY)
+    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("n"), "h").limit(MOST_HEAVY).collect()], np.int64).view(np.uint64))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 10, band: int = 28, most: int = 18) -> DataFrame:
     """Exactly one row of ``docs`` of each group of near duplicates, all columns: the one of the least doc_id, any other before a null.
 
     Texts are linked if their sets of ``shingle``-word shingles have a Jaccard similarity
-    of ``similarity`` or more. Candidates are fingerprints of which one of ``bands`` further
-    ones differs in 2 bits at most (meet in the middle) and the first in ``most`` of 64;
-    their texts' shingles are then compared. Texts of one fingerprint are one node, of
-    which the least row's text is compared. A pair at the limit differs in 15 % of its bits,
-    so a band is met by chance: README has the share found.
+    of ``similarity`` or more, and no link is left out. Texts of one set are one node.
+
+    First, candidates are fingerprints of which one of ``bands`` further ones differs in
+    2 bits at most (meet in the middle) and the first in ``most`` of 64, and nodes of one
+    fingerprint; their shingles are compared, and what links is one component. So large
+    groups of copies are together before pairs are listed. By chance of the bits some links
+    are missed there. Then nodes of different components meet by the first shingles of
+    their sets (``prefix``), of which linked ones must share one; pairs whose sizes and
+    ``parities`` allow the similarity are compared by their shingles as well.
 
     A row is known by 128 bits over all its columns, so equal rows, which nothing tells
     apart, are counted as one key; texts are moved only for keys that come repeatedly and
@@ -192,41 +277,82 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
     """
     flat = [c for n in docs.columns for c in (F.col(n), F.isnull(n))]  # a null alone leaves a hash as it was
     keyed = docs.withColumns({"_k1": F.xxhash64(F.lit(1), *flat), "_k2": F.xxhash64(F.lit(2), *flat)})
+    spark = docs.sparkSession
+    rows = keyed.select("_k1", "_k2", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    heavy = spark.sparkContext.broadcast(_heavy(rows, shingle))
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [text_fingerprint(t.as_py(), shingle, bands, band) for t in batch.column(3)]
-            fps = np.array([x for x, _ in got], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps), pa.array([x for _, x in got], pa.list_(pa.int64()))], ["_k1", "_k2", "doc_id", "fp", "bands"])
-
-    spark = docs.sparkSession
-    rows = keyed.select("_k1", "_k2", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = common.keep(rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, fp long, bands array<long>"), "fingerprints")
+            hashes = [text_hashes(t.as_py(), shingle) for t in batch.column(3)]
+            got = [text_fingerprint(h, bands, band) for h in hashes]
+            sets = [np.unique(h) for h in hashes]
+            fps, nodes = (np.array(x, np.uint64).view(np.int64) for x in ([x for x, _ in got], [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]))
+            columns = [pa.array(nodes), pa.array(fps), pa.array([x for _, x in got], longs), pa.array([len(x) for x in sets], pa.int32())]
+            columns += [pa.array([parities(x).view(np.int64) for x in sets], longs), pa.array([prefix(x, heavy.value, similarity).view(np.int64) for x in sets], longs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["_k1", "_k2", "doc_id", "node", "fp", "bands", "n", "odd", "firsts"])
+
+    marks = common.keep(rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, node long, fp long, bands array<long>, n int, odd array<long>, firsts array<long>"), "fingerprints")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_k1", "_k2")).alias("first")
-    distinct = marks.groupBy("fp").agg(first, F.any_value("bands").alias("bands"))
-    distinct = common.keep(distinct, "distinct")
-    wide = max(common.slots(spark), -(-distinct.count() * bands // SPREAD))
-    edges = common.keep(band_links(distinct.select("fp", "bands").repartition(wide, "fp"), bands, band, most), "met")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    asked = distinct.join(ends, "fp").select("fp", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2"))
-    texts = keyed.select("_k1", "_k2", F.col("text").cast("string").alias("text")).join(asked, ["_k1", "_k2"]).select("fp", "text")
+    # texts of one set can differ in fingerprints, as these count repeats: any one does
+    distinct = marks.groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in ("n", "odd", "firsts")], F.min(F.struct("fp", "bands")).alias("x"))
+    distinct = common.keep(distinct.select("node", "first", "n", "odd", "firsts", "x.fp", "x.bands"), "distinct")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(_hashes(t.as_py().encode().translate(_LOWER).split() if t.is_valid else [], shingle)).astype(np.uint64).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
-
-    sets = common.keep(texts.mapInArrow(shingled, "fp long, shingles array<long>").dropDuplicates(["fp"]), "shingles")
-    both = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("_b")), "b")
-    common_ = F.size(F.array_intersect("_a", "_b"))
-    links_ = both.filter(common_ >= F.lit(float(similarity)) * (F.size("_a") + F.size("_b") - common_)).select("a", "b")
-    roots = components(links_).withColumnsRenamed({"node": "fp"})
-    placed = distinct.drop("bands").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = common.keep(placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "first"), "components")
-    common.drop(spark, edges, sets)
+            sets = [np.unique(text_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, longs)], ["node", "shingles"])
+
+    def verified(edges: DataFrame) -> DataFrame:
+        """The rows of kept edges (a, b, ...) whose sets are similar."""
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = common.keep(distinct.join(ends, "node").select("node", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2")), "asked")
+        few = F.broadcast(asked) if asked.count() <= FEW else asked
+        texts = rows.select("_k1", "_k2", "text").join(few, ["_k1", "_k2"]).select("node", "text")
+        sets = common.keep(texts.mapInArrow(shingled, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+        both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
+        same = F.size(F.array_intersect("_a", "_b"))
+        out = common.keep(both.filter(same >= F.lit(float(similarity)) * (F.size("_a") + F.size("_b") - same)).select(*edges.columns), "links")
+        common.drop(spark, asked, sets)
+        return out
+
+    leads = common.keep(distinct.groupBy("fp").agg(F.min("node").alias("lead"), F.min_by("bands", "node").alias("bands")), "leads")
+    wide = max(common.slots(spark), -(-leads.count() * bands // SPREAD))
+    edges = common.keep(band_links(leads.select("fp", "bands").repartition(wide, "fp"), bands, band, most), "met")
+    lead = {x: leads.select(F.col("fp").alias(f"f{x}"), F.col("lead").alias(x)) for x in "ab"}
+    met = edges.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(lead["a"], "fa").join(lead["b"], "fb").select("a", "b")
+    alike = distinct.join(leads.select("fp", "lead"), "fp").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    met = common.keep(met.unionByName(alike), "candidates")
+    links_ = verified(met)
+    roots = components(links_).select("node", F.col("root").alias("comp"))
+    near = common.keep(distinct.select("node", "n", "firsts").join(roots, "node", "left"), "near")
+    common.drop(spark, edges, leads, met, links_)
+
+    columns = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches((pa.RecordBatch.from_arrays(b.columns, schema=columns) for b in batches), columns)
+        for pairs in met_pairs(t["h"].to_numpy(), t["node"].to_numpy(), pc.coalesce(t["comp"], t["node"]).to_numpy(), t["n"].to_numpy(), t["rank"].to_numpy(), similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+
+    total = near.agg(F.sum(F.size("firsts"))).first()[0] or 0
+    dealt = near.select(F.posexplode("firsts").alias("rank", "h"), "node", "comp", "n").select("h", "node", "comp", "n", "rank").repartition(max(common.slots(spark), -(-total // MEET)), "h")
+    pairs = dealt.mapInArrow(meetings, "a long, b long").distinct()
+    side = {x: distinct.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab"}
+    pairs = pairs.join(side["a"], "a").join(side["b"], "b")
+    apart = sum(F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(PARITIES))
+    pairs = pairs.filter(apart <= (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+    pairs = common.keep(pairs.select("a", "b"), "pairs")
+    more = verified(pairs)
+    of = {x: near.select(F.col("node").alias(x), F.coalesce("comp", "node").alias(f"c{x}")) for x in "ab"}
+    roots = components(more.join(of["a"], "a").join(of["b"], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnsRenamed({"node": "comp", "root": "over"})
+    placed = distinct.select("node", "first").join(near.select("node", F.coalesce("comp", "node").alias("comp")), "node").join(roots, "comp", "left")
+    placed = placed.select("node", "first", F.coalesce("over", "comp").alias("root"))
+    named = common.keep(placed.select("node", "root").join(placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("node", "first"), "components")
+    common.drop(spark, pairs, more, near)
     chosen = (F.col("_k1") == F.col("first._k1")) & (F.col("_k2") == F.col("first._k2"))
-    each = marks.groupBy("_k1", "_k2", "fp").agg(F.count("*").alias("n"))
-    fate = each.join(named, "fp").select("_k1", "_k2", chosen.alias("chosen"), "n").filter("NOT chosen OR n > 1")
+    each = marks.groupBy("_k1", "_k2", "node").agg(F.count("*").alias("n"))
+    fate = each.join(named, "node").select("_k1", "_k2", chosen.alias("chosen"), "n").filter("NOT chosen OR n > 1")
     fate = common.keep(fate, "lost")
     common.drop(spark, marks, distinct, named)
     again = keyed.join(fate.filter("chosen").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])

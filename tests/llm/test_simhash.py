@@ -135,3 +135,58 @@ def test_one_of_each_by_shingles(spark):
     for i in whole - ids:  # a half goes only for another half like it
         assert any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in whole & ids)
     assert [x.component_id for x in left if x.doc_id == 902] == [1]
+
+
+def five(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_one_of_each_loses_no_link_at_the_limit(spark):
+    from phasorlake.llm.simhash import one_of_each
+
+    r = random.Random(3)
+    texts = []
+    for g in range(60):  # pairs that are just over, or just under, 0.8 of each other
+        w = [f"{g}w{k}" for k in range(r.randint(90, 240))]
+        x = list(w)
+        for k in range(2, 2 + 8 * (len(w) // 80), 8):
+            x[k] = "other"
+        while len(five(" ".join(w)) & five(" ".join(x))) >= 0.8 * len(five(" ".join(w)) | five(" ".join(x))):
+            w, x = w[:-1], x[:-1]
+        over = " ".join(f"{g}w{k}" for k in range(len(w), len(w) + r.randint(0, 3)))
+        texts += [" ".join(w) + " " + over, " ".join(x) + " " + over]
+    # over half of these shingles are one and the same, so their fingerprints are equal; little else is
+    texts += ["na " * 90 + " ".join(f"{g}z{k}" for k in range(40)) for g in range(4)]
+    texts += [" ".join(f"c{k}" for k in range(i, i + 60)) for i in range(0, 24, 3)]  # a chain: neighbours are alike, its ends aren't
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts += [passage + " " + " ".join(f"{i}q{k}" for k in range(80)) for i in range(50)]  # a passage of many texts
+    sets = [five(t) for t in texts]
+    want = roots(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert 20 < sum(k != v for k, v in want.items()) < 100
+    data = [(i, t, "c", i) for i, t in enumerate(texts)]
+    got = one_of_each(spark.createDataFrame(data, SCHEMA).repartition(3)).collect()
+    assert sorted(x.doc_id for x in got) == sorted(set(want.values()))
+
+
+def test_first_shingles_and_parities_allow_every_link():
+    import numpy as np
+
+    from phasorlake.llm.simhash import met_pairs, parities, prefix
+
+    r = np.random.default_rng(2)
+    heavy = None
+    for _ in range(300):
+        n, common_ = int(r.integers(1, 400)), r.integers(0, 2**64, 500, np.uint64)
+        same = common_[:n]
+        rest = int(n / 0.8) - n  # the union is as large as the limit allows
+        cut = int(r.integers(0, rest + 1))
+        a, b = (np.unique(np.r_[same, r.integers(0, 2**64, k, np.uint64)]) for k in (cut, rest - cut))
+        heavy = np.sort(common_[::2]) if r.random() < 0.5 else np.empty(0, np.uint64)
+        assert len(np.intersect1d(prefix(a, heavy, 0.8), prefix(b, heavy, 0.8))) >= 1
+        assert np.bitwise_count(parities(a) ^ parities(b)).sum() <= (len(a) + len(b)) * 0.2 / 1.8 + 1e-6
+    h, node, size = r.integers(0, 40, 400), np.arange(400) * 7, r.integers(80, 120, 400)
+    comp, rank = np.where(r.random(400) < 0.5, node, r.integers(0, 5, 400)), r.integers(0, 20, 400)
+    got = {(int(a), int(b)) for part in met_pairs(h, node, comp, size, rank, 0.8) for a, b in zip(*part)}
+    alike = lambda i, j: h[i] == h[j] and comp[i] != comp[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and 9 * min(size[i] - rank[i], size[j] - rank[j]) >= 4 * (size[i] + size[j])
+    assert got == {(int(node[i]), int(node[j])) for i in range(400) for j in range(i + 1, 400) if alike(i, j)}
