@@ -13,11 +13,11 @@ probability of its spelling: of each byte after the two before it, from the coun
 rarer words, and of its end. So every word has a probability of its own, and no table of
 words need be joined. (Around a token a rarer word counts by its ending too.)
 
-The network is the prior of a memory, which grows with the corpus: of the windows of the
-scored table, those whose hash is the least of the NEAR windows on both sides are counted
-with the word in their midst. Where such a window of four words comes m times, n times
-with the token's word, then, the token itself left out, the word's probability is
-(prior + n - 1) / m.
+The network is the prior of a memory, which grows with the corpus: every window of the
+scored table is counted with the word in its midst. Where a window of four words comes m
+times, n times with the token's word, then, the token itself left out, the word's
+probability is (prior + n - 1) / m. Windows are dealt by their hashes over tasks of about
+SHARE of them, packed, and each task sends back one sum for a document.
 
 Every token of the table is trained on. Documents are dealt by a hash of themselves into
 shards of about SHARD tokens, and sorted by it; each shard's task takes Adagrad steps
@@ -36,15 +36,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasorlake.llm import common
 
 SIDE, FREQUENT, REACH, WIDE, STEP, RATE = 32, 512, 2, 16, 4096, 0.1
 CLASSES = SIDE * SIDE
-KNOWN, SHARD, NEAR, CONTEXTS = 1 << 18, 1_500_000, 4, 1024
+KNOWN, SHARD, SHARE, CONTEXTS = 1 << 18, 1_500_000, 1_500_000, 1024
 CHUNK, MEMO, TURN = 1_000_000, 300_000, 262_144
 #: Tokens that are scored together, and the most that a logit can be.
 PART, TOP = 4096, 80
@@ -196,19 +197,13 @@ class Coded:
         return Windows(*self.apart(self.around, reach, 0), reach)
 
     def remembered(self, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places whose window has the least hash of the NEAR on both sides, and the hashes."""
+        """The places of all tokens, and the hashes of the windows around them."""
         room, at = self.apart(self.hash, reach, 0)
         h = np.full(len(at), 0x2545F4914F6CDD1D, np.uint64)
         for d in range(-reach, reach + 1):
             if d:
                 h = mixed(h + room[at + d])
-        around, spot = self.apart(h, NEAR, 0xFFFFFFFFFFFFFFFF)
-        least = h.copy()
-        for d in range(1, NEAR + 1):
-            np.minimum(least, around[spot - d], out=least)
-            np.minimum(least, around[spot + d], out=least)
-        at = np.flatnonzero(h == least)
-        return at, h[at]
+        return np.arange(len(h)), h
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -431,6 +426,15 @@ def train(docs: DataFrame, reach: int = REACH, rate: float = RATE) -> Scorer:
     return scorer
 
 
+def _runs(*sorted_: np.ndarray) -> np.ndarray:
+    """For each place of sorted columns, how many places are equal to it."""
+    n = len(sorted_[0])
+    new = np.ones(n, bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in sorted_], axis=0)
+    size = np.diff(np.r_[np.flatnonzero(new), n])
+    return np.repeat(size, size)
+
+
 def lm_score(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """doc_id, n_tokens, ``log_prob`` (the sum over tokens, natural logarithm) and ``per_token``.
 
@@ -441,10 +445,20 @@ def lm_score(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     are ignored, whatever their names. A long text is scored whole, its words are held in
     pieces.
     """
-    scorer = scorer or train(docs)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if scorer is None:
+        scorer = train(docs)
+        total = int(scorer.sizes.sum())
+    else:
+        total = docs.agg(F.sum(common.word_count(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(common.slots(docs.sparkSession), -(-total // SHARE))
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    names = ["row", "doc_id", "n_tokens", "held", "windows"]
-    kind = pa.struct([("window", pa.int64()), ("seen", pa.int64()), ("p", pa.float32())])
+    # a document, or (with ``windows``) a part's windows of one bucket: their hashes, those with the word, priors, and places in the part, of which ``row`` is the first
+    kinds = {"bucket": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "held": pa.float64(), "windows": pa.binary(), "seen": pa.binary(), "p": pa.binary(), "place": pa.binary()}
+    schema = pa.schema(list(kinds.items()))
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net, reach = shared.value.words(), shared.value.network, shared.value.reach
@@ -452,23 +466,46 @@ def lm_score(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
             for part in common.slices(batch, 2, CHUNK):
                 coded = words.code(part.column(2).to_pylist())
                 prior = net.score(coded.token, coded.windows(reach)) + coded.share
-                n = len(coded.sizes)
+                n, row = len(coded.sizes), part.column(0).to_numpy()
+                yield rows(n, bucket=row % buckets, row=row, doc_id=part.column(1), n_tokens=coded.sizes, held=np.bincount(coded.doc, prior, n))
                 at, h = coded.remembered(reach)
-                cut = pa.array(np.searchsorted(coded.doc[at], np.arange(n + 1)), pa.int32())
-                seen = mixed(mixed(h) + coded.hash[at])
-                windows = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(seen.view(np.int64)), pa.array(prior[at].astype(np.float32))], fields=list(kind))
-                columns = [part.column(0), part.column(1), pa.array(coded.sizes), pa.array(np.bincount(coded.doc, prior, n)), pa.ListArray.from_arrays(cut, windows)]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # kept, so that a row's number is one and the same for its windows and its score
-    rows = common.keep(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, held double, windows array<struct<window:long,seen:long,p:float>>"), "scores")
-
-    # a window with its word, ``seen``, has one prior wherever it comes
-    each = rows.select("row", F.explode("windows").alias("w")).select("row", "w.*")
-    pairs = each.groupBy("window", "seen").agg(F.count("*").alias("n"), F.max("p").alias("p"))
-    memory = pairs.withColumn("m", F.sum("n").over(Window.partitionBy("window"))).filter("m > 1")
-    memory = memory.select("seen", (F.log((F.exp("p") + F.col("n") - 1) / F.col("m")) - F.col("p")).alias("more"))
-    more = each.select("row", "seen").join(memory, "seen").groupBy("row").agg(F.sum("more").alias("more"))
-    log_prob = F.col("held") + F.coalesce("more", F.lit(0.0))
-    return rows.drop("windows").join(more, "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("per_token"))
+                if not len(at):
+                    continue
+                bucket = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order].astype(np.int64)) > 0])
+                values = {"windows": h, "seen": mixed(mixed(h) + coded.hash).astype("<u4"), "p": prior.astype("<f4"), "place": coded.doc.astype("<u4")}
+                packed = {c: [x.tobytes() for x in np.split(v[order], cuts[1:])] for c, v in values.items()}
+                yield rows(len(cuts), bucket=bucket[order[cuts]].astype(np.int64), row=np.full(len(cuts), row[0]), **packed)
+
+    def recall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        names = ["row", "doc_id", "n_tokens", "held"]
+        for batch in batches:
+            own = pc.is_null(batch.column("windows"))
+            docs_ = batch.filter(own)
+            yield pa.RecordBatch.from_arrays([docs_.column(c) for c in names], names)
+            for first, *x in zip(*(batch.filter(pc.invert(own)).column(c).to_pylist() for c in ("row", "windows", "seen", "p", "place"))):
+                w, seen, p, place = (np.frombuffer(v, kind) for v, kind in zip(x, ("<u8", "<u4", "<f4", "<u4")))
+                held.append((w, seen, p, first + place.astype(np.int64)))
+        if not held:
+            return
+        w, seen, p, row = map(np.concatenate, zip(*held))
+        held.clear()
+        order = np.argsort(w)
+        m = _runs(w[order])
+        order, m = order[m > 1], m[m > 1]
+        w, seen, p, row = w[order], seen[order], p[order].astype(float), row[order]
+        order = np.lexsort((seen, w))
+        n = np.empty(len(w), np.int64)
+        n[order] = _runs(w[order], seen[order])
+        more = np.log((np.exp(p) + (n - 1)) / m) - p
+        to, at = np.unique(row, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(len(to), pa.int64()), pa.nulls(len(to), pa.int64()), pa.array(np.bincount(at, more, len(to)))], names)
+
+    spec = "bucket int, row long, doc_id long, n_tokens long, held double, windows binary, seen binary, p binary, place binary"
+    # documents and windows come from one run of a task, so a row's number is one and the same for both
+    dealt = texts.mapInArrow(run, spec).repartitionById(buckets, F.col("bucket"))
+    each = dealt.mapInArrow(recall, "row long, doc_id long, n_tokens long, held double").groupBy("row")
+    out = each.agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("held").alias("log_prob"))
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("per_token"))

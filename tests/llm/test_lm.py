@@ -175,5 +175,21 @@ def test_code_in_pieces(monkeypatch):
         assert np.array_equal(getattr(whole, x), getattr(cut, x))
 
 
+def test_every_window_is_remembered(spark):
+    words = lm.Words([], {}, lm.Spelling(np.zeros(lm.CONTEXTS * 257)))
+    texts = [" ".join(f"t{i * i % 97}" for i in range(300)), "", None, "one", "a b c d e"]
+    at, h = words.code(texts).remembered(2)
+    assert at.tolist() == list(range(306)) and len(h) == 306
+    # a pair of texts that differ in their first words only: each window that comes twice counts, wherever it stands
+    data = [(k, f"{k}x{k} " + " ".join(f"w{i}q" for i in range(12)), "", 1) for k in range(2)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(2)
+    scorer = lm.train(df)
+    coded = scorer.words().code([data[0][1]])
+    p = scorer.network.score(coded.token, coded.windows(2)) + coded.share
+    want = [x if i in (1, 2) else math.log((math.exp(x) + (i > 0)) / 2) for i, x in enumerate(p)]
+    got = {r.doc_id: r.log_prob for r in lm.lm_score(df, scorer).collect()}
+    assert abs(got[0] - sum(want)) < 1e-4
+
+
 def test_empty_table(spark):
     assert lm.lm_score(spark.createDataFrame([], SCHEMA)).collect() == []
