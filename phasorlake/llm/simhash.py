@@ -186,14 +186,28 @@ def band_links(nodes: DataFrame, bands: int, band: int, most: int) -> DataFrame:
 SAMPLE, HEAVY, MOST_HEAVY, MEET, PAIRS = 8192, 4, 1 << 16, 1_000_000, 500_000
 #: Texts that are looked up by a broadcast of their keys; more are joined by a shuffle.
 FEW = 100_000
-#: 64-bit words of a set's parities.
+#: The least number of 64-bit words of a set's parities.
 PARITIES = 8
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
-    """Whether each of 64 * PARITIES cells holds an odd number of a set's shingles: two sets differ in as many at least as their cells."""
-    cells = (shingles * np.uint64(0x9E3779B97F4A7C15 | 1)) >> np.uint64(64 - 6 - (PARITIES - 1).bit_length())
-    return np.packbits((np.bincount(cells.astype(np.int64), minlength=64 * PARITIES) & 1).astype(np.uint8), bitorder="little").view("<u8")
+    """Whether each cell holds an odd number of a set's shingles: two sets differ in as many at least as their cells.
+
+    There are as many cells as shingles at least, a power of two, so unlike sets differ in
+    about half of them, however large they are.
+    """
+    bits = max((64 * PARITIES - 1).bit_length(), (len(shingles) - 1).bit_length())
+    cells = (shingles * np.uint64(0x9E3779B97F4A7C15 | 1)) >> np.uint64(64 - bits)
+    return np.packbits((np.bincount(cells.astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def odd_cells(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many cells the parities of two sets differ; those of more cells are folded first."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        cells = np.unpackbits(a.view(np.uint8), bitorder="little").reshape(-1, 2)
+        a = np.packbits(cells[:, 0] ^ cells[:, 1], bitorder="little").view("<u8")
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def prefix(shingles: np.ndarray, heavy: np.ndarray, similarity: float) -> np.ndarray:
@@ -289,14 +303,16 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
             sets = [np.unique(h) for h in hashes]
             fps, nodes = (np.array(x, np.uint64).view(np.int64) for x in ([x for x, _ in got], [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]))
             columns = [pa.array(nodes), pa.array(fps), pa.array([x for _, x in got], longs), pa.array([len(x) for x in sets], pa.int32())]
-            columns += [pa.array([parities(x).view(np.int64) for x in sets], longs), pa.array([prefix(x, heavy.value, similarity).view(np.int64) for x in sets], longs)]
+            columns += [pa.array([parities(x).tobytes() for x in sets], pa.binary()), pa.array([prefix(x, heavy.value, similarity).view(np.int64) for x in sets], longs)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["_k1", "_k2", "doc_id", "node", "fp", "bands", "n", "odd", "firsts"])
 
-    marks = common.keep(rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, node long, fp long, bands array<long>, n int, odd array<long>, firsts array<long>"), "fingerprints")
+    marks = common.keep(rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, node long, fp long, bands array<long>, n int, odd binary, firsts array<long>"), "fingerprints")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_k1", "_k2")).alias("first")
     # texts of one set can differ in fingerprints, as these count repeats: any one does
     distinct = marks.groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in ("n", "odd", "firsts")], F.min(F.struct("fp", "bands")).alias("x"))
     distinct = common.keep(distinct.select("node", "first", "n", "odd", "firsts", "x.fp", "x.bands"), "distinct")
+    each = common.keep(marks.groupBy("_k1", "_k2", "node").agg(F.count("*").alias("n")), "keys")
+    common.drop(spark, marks)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,12 +353,19 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
 
     total = near.agg(F.sum(F.size("firsts"))).first()[0] or 0
     dealt = near.select(F.posexplode("firsts").alias("rank", "h"), "node", "comp", "n").select("h", "node", "comp", "n", "rank").repartition(max(common.slots(spark), -(-total // MEET)), "h")
-    pairs = dealt.mapInArrow(meetings, "a long, b long").distinct()
+    met = common.keep(dealt.mapInArrow(meetings, "a long, b long").distinct(), "met")
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most_apart = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (1 - similarity) / (1 + similarity) + 1e-6
+            odd = ([np.frombuffer(x.as_py(), "<u8") for x in batch.column(i)] for i in (4, 5))
+            apart = np.array([odd_cells(a, b) for a, b in zip(*odd)], np.int64)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(apart <= most_apart))
+
     side = {x: distinct.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab"}
-    pairs = pairs.join(side["a"], "a").join(side["b"], "b")
-    apart = sum(F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(PARITIES))
-    pairs = pairs.filter(apart <= (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
-    pairs = common.keep(pairs.select("a", "b"), "pairs")
+    pairs = met.join(side["a"], "a").join(side["b"], "b").select("a", "b", "na", "nb", "oa", "ob")
+    pairs = common.keep(pairs.mapInArrow(allowed, "a long, b long"), "pairs")
+    common.drop(spark, met)
     more = verified(pairs)
     of = {x: near.select(F.col("node").alias(x), F.coalesce("comp", "node").alias(f"c{x}")) for x in "ab"}
     roots = components(more.join(of["a"], "a").join(of["b"], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnsRenamed({"node": "comp", "root": "over"})
@@ -351,10 +374,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
     named = common.keep(placed.select("node", "root").join(placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("node", "first"), "components")
     common.drop(spark, pairs, more, near)
     chosen = (F.col("_k1") == F.col("first._k1")) & (F.col("_k2") == F.col("first._k2"))
-    each = marks.groupBy("_k1", "_k2", "node").agg(F.count("*").alias("n"))
     fate = each.join(named, "node").select("_k1", "_k2", chosen.alias("chosen"), "n").filter("NOT chosen OR n > 1")
     fate = common.keep(fate, "lost")
-    common.drop(spark, marks, distinct, named)
+    common.drop(spark, each, distinct, named)
     again = keyed.join(fate.filter("chosen").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
     rest = keyed.join(fate.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti")
     return rest.select(*docs.columns).unionByName(again.select(*docs.columns))

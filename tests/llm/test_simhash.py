@@ -190,3 +190,40 @@ def test_first_shingles_and_parities_allow_every_link():
     got = {(int(a), int(b)) for part in met_pairs(h, node, comp, size, rank, 0.8) for a, b in zip(*part)}
     alike = lambda i, j: h[i] == h[j] and comp[i] != comp[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and 9 * min(size[i] - rank[i], size[j] - rank[j]) >= 4 * (size[i] + size[j])
     assert got == {(int(node[i]), int(node[j])) for i in range(400) for j in range(i + 1, 400) if alike(i, j)}
+
+
+def test_parities_tell_large_sets_apart():
+    import numpy as np
+
+    from phasorlake.llm.simhash import odd_cells, parities
+
+    r = np.random.default_rng(5)
+    for n in (2000, 4096, 5000, 20_000):
+        a, b = (np.unique(r.integers(0, 2**64, n, np.uint64)) for _ in range(2))
+        assert odd_cells(parities(a), parities(b)) > (len(a) + len(b)) * 0.2 / 1.8
+        # alike sets, also where one has twice the cells, stay
+        for cut in (0, n // 10, n // 5 - 1):
+            assert odd_cells(parities(a), parities(a[cut:])) <= cut
+            assert odd_cells(parities(a[cut:]), parities(a)) <= cut
+    a = np.unique(r.integers(0, 2**64, 4100, np.uint64))
+    assert len(parities(a)) == 2 * len(parities(a[10:]))
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from phasorlake.llm import common
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(x) for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = files()
+    df = spark.range(20_000).groupBy(F.xxhash64("id").alias("h")).count()
+    kept = common.keep(df)
+    until = time.time() + 5
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+    assert kept.count() == df.count() == 20_000  # what was kept can be worked out again
+    common.drop(spark, kept)
