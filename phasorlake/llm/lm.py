@@ -17,7 +17,8 @@ The network is the prior of a memory, which grows with the corpus: every window
 scored table is counted with the word in its midst. Where a window of four words comes m
 times, n times with the token's word, then, the token itself left out, the word's
 probability is (prior + n - 1) / m. Windows are dealt by their hashes over tasks of about
-SHARE of them, packed, and each task sends back one sum for a document.
+SHARE of them, packed to 13 to 14 bytes, and each task sends back one sum for a document.
+Windows of a task are told apart by 48 bits, words in a window by 32.
 
 Every token of the table is trained on. Documents are dealt by a hash of themselves into
 shards of about SHARD tokens, and sorted by it; each shard's task takes Adagrad steps
@@ -420,12 +421,48 @@ def train(docs: DataFrame, reach: int = REACH, rate: float = RATE) -> Scorer:
     key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
     dealt = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(coded, "key long, classes binary").filter("length(classes) > 0")
     dealt = dealt.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "classes")
-    sums = dict(dealt.select("shard", "classes").mapInArrow(run, "place long, w long").groupBy("place").agg(F.sum("w").alias("w")).collect())
+    averaged = common.keep(dealt.select("shard", "classes").mapInArrow(run, "place long, w long").groupBy("place").agg(F.sum("w").alias("w")), "weights")
+    sums = dict(averaged.collect())
+    common.drop(spark, averaged)
     n = len(scorer.network.flat())
     scorer.network.load(np.array([sums[i] for i in range(n)], np.float64) / UNIT / sums[-1], np.float32)
     return scorer
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of little-endian numbers: a row of the lowest of each, and so on."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T
+
+
+def _zip(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unzip(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, n, codec="zstd"), np.uint8)
+
+
+def pack(w: np.ndarray, seen: np.ndarray, p: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """48 bits of windows, 32 of words, priors in single precision, and ascending places.
+
+    What is like noise comes as it is, 13 bytes of each; what isn't (the top bytes of priors,
+    the gaps between places) comes compressed.
+    """
+    p = _planes(p.astype("<f4"))
+    solid = _planes(w.astype("<u8"))[:6].tobytes() + seen.astype("<u4").tobytes() + p[:3].tobytes()
+    return solid, _zip(p[3]), _zip(_planes(np.diff(place, prepend=0).astype("<u4")))
+
+
+def unpack(solid: bytes, tops: bytes, gaps: bytes) -> tuple[np.ndarray, ...]:
+    """What ``pack`` was given."""
+    n = len(solid) // 13
+    flat = np.frombuffer(solid, np.uint8)
+    w, p = np.zeros((n, 8), np.uint8), np.empty((n, 4), np.uint8)
+    w[:, :6], p[:, :3], p[:, 3] = flat[: 6 * n].reshape(6, n).T, flat[10 * n :].reshape(3, n).T, _unzip(tops, n)
+    gap = np.ascontiguousarray(_unzip(gaps, 4 * n).reshape(4, n).T)
+    return w.view("<u8").ravel(), np.frombuffer(solid, "<u4", n, 6 * n), p.view("<f4").ravel(), np.cumsum(gap.view("<u4").ravel(), dtype=np.int64)
+
+
 def _runs(*sorted_: np.ndarray) -> np.ndarray:
     """For each place of sorted columns, how many places are equal to it."""
     n = len(sorted_[0])
@@ -453,8 +490,9 @@ def lm_score(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
         total = docs.agg(F.sum(common.word_count(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(common.slots(docs.sparkSession), -(-total // SHARE))
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    # a document, or (with ``windows``) a part's windows of one bucket: their hashes, those with the word, priors, and places in the part, of which ``row`` is the first
-    kinds = {"bucket": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "held": pa.float64(), "windows": pa.binary(), "seen": pa.binary(), "p": pa.binary(), "place": pa.binary()}
+    # a document, or (with ``solid``) a part's windows of one bucket, or (with ``sums``) what they add to some of the part's documents; ``part`` is the first row of a part
+    kinds = {"bucket": pa.int32(), "part": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "held": pa.float64(), "solid": pa.binary(), "tops": pa.binary(), "gaps": pa.binary(), "sums": pa.binary()}
+    spec = "bucket int, part long, row long, doc_id long, n_tokens long, held double, solid binary, tops binary, gaps binary, sums binary"
     schema = pa.schema(list(kinds.items()))
 
     def rows(n: int, **columns) -> pa.RecordBatch:
@@ -467,45 +505,71 @@ def lm_score(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
                 coded = words.code(part.column(2).to_pylist())
                 prior = net.score(coded.token, coded.windows(reach)) + coded.share
                 n, row = len(coded.sizes), part.column(0).to_numpy()
-                yield rows(n, bucket=row % buckets, row=row, doc_id=part.column(1), n_tokens=coded.sizes, held=np.bincount(coded.doc, prior, n))
+                yield rows(n, bucket=row % buckets, part=np.full(n, row[0]), row=row, doc_id=part.column(1), n_tokens=coded.sizes, held=np.bincount(coded.doc, prior, n))
                 at, h = coded.remembered(reach)
                 if not len(at):
                     continue
                 bucket = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order].astype(np.int64)) > 0])
-                values = {"windows": h, "seen": mixed(mixed(h) + coded.hash).astype("<u4"), "p": prior.astype("<f4"), "place": coded.doc.astype("<u4")}
-                packed = {c: [x.tobytes() for x in np.split(v[order], cuts[1:])] for c, v in values.items()}
-                yield rows(len(cuts), bucket=bucket[order[cuts]].astype(np.int64), row=np.full(len(cuts), row[0]), **packed)
+                values = (h // np.uint64(buckets), mixed(mixed(h) + coded.hash) & np.uint64(0xFFFFFFFF), prior, coded.doc)
+                packed = [pack(*x) for x in zip(*(np.split(v[order], cuts[1:]) for v in values))]
+                yield rows(len(cuts), bucket=bucket[order[cuts]].astype(np.int64), part=np.full(len(cuts), row[0]), **dict(zip(("solid", "tops", "gaps"), zip(*packed))))
 
     def recall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        names = ["row", "doc_id", "n_tokens", "held"]
         for batch in batches:
-            own = pc.is_null(batch.column("windows"))
-            docs_ = batch.filter(own)
-            yield pa.RecordBatch.from_arrays([docs_.column(c) for c in names], names)
-            for first, *x in zip(*(batch.filter(pc.invert(own)).column(c).to_pylist() for c in ("row", "windows", "seen", "p", "place"))):
-                w, seen, p, place = (np.frombuffer(v, kind) for v, kind in zip(x, ("<u8", "<u4", "<f4", "<u4")))
-                held.append((w, seen, p, first + place.astype(np.int64)))
+            own = pc.is_null(batch.column("solid"))
+            yield batch.filter(own)
+            for first, *x in zip(*(batch.filter(pc.invert(own)).column(c).to_pylist() for c in ("part", "solid", "tops", "gaps"))):
+                w, seen, p, place = unpack(*x)
+                held.append((w, seen, p, place.astype(np.uint32), np.full(len(w), len(held), np.uint32), np.array([first])))
         if not held:
             return
-        w, seen, p, row = map(np.concatenate, zip(*held))
+        *x, first = map(np.concatenate, zip(*held))
         held.clear()
+        w, seen, p, place, packet = x
         order = np.argsort(w)
         m = _runs(w[order])
         order, m = order[m > 1], m[m > 1]
-        w, seen, p, row = w[order], seen[order], p[order].astype(float), row[order]
+        w, seen, p, place, packet = w[order], seen[order], p[order].astype(float), place[order], packet[order]
         order = np.lexsort((seen, w))
         n = np.empty(len(w), np.int64)
         n[order] = _runs(w[order], seen[order])
         more = np.log((np.exp(p) + (n - 1)) / m) - p
-        to, at = np.unique(row, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(len(to), pa.int64()), pa.nulls(len(to), pa.int64()), pa.array(np.bincount(at, more, len(to)))], names)
+        # a sum for each document of a packet
+        key = packet.astype(np.int64) << 32 | place
+        to, at = np.unique(key, return_inverse=True)
+        sums, packet, place = np.bincount(at, more, len(to)), to >> 32, to & 0xFFFFFFFF
+        cuts = np.flatnonzero(np.r_[True, np.diff(packet) > 0]) if len(to) else np.empty(0, np.int64)
+        for i in range(0, len(cuts), 1000):
+            some = cuts[i : i + 1000]
+            ends = np.r_[some[1:], cuts[i + 1000] if i + 1000 < len(cuts) else len(to)]
+            gaps = [_zip(_planes(np.diff(place[a:b], prepend=0).astype("<u4"))) for a, b in zip(some, ends)]
+            yield rows(len(some), part=first[packet[some]], gaps=gaps, sums=[sums[a:b].astype("<f4").tobytes() for a, b in zip(some, ends)])
+
+    def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, to, more = [], [np.empty(0, np.int64)], [np.empty(0, "<f4")]
+        for batch in batches:
+            is_own = pc.is_null(batch.column("sums"))
+            own.append(batch.filter(is_own).select(["row", "doc_id", "n_tokens", "held"]))
+            for first, gaps, sums in zip(*(batch.filter(pc.invert(is_own)).column(c).to_pylist() for c in ("part", "gaps", "sums"))):
+                n = len(sums) // 4
+                gap = np.ascontiguousarray(_unzip(gaps, 4 * n).reshape(4, n).T).view("<u4").ravel()
+                to.append(first + np.cumsum(gap, dtype=np.int64))
+                more.append(np.frombuffer(sums, "<f4"))
+        if not own:
+            return
+        docs_ = pa.Table.from_batches(own).sort_by("row").combine_chunks()
+        to, more = np.concatenate(to), np.concatenate(more).astype(float)
+        order = np.lexsort((more, to))  # sums don't depend on the order of arrival
+        at = np.searchsorted(docs_["row"].to_numpy(), to[order])
+        held = docs_["held"].to_numpy() + np.bincount(at, more[order], docs_.num_rows)
+        docs_ = docs_.select(["doc_id", "n_tokens"]).append_column("log_prob", pa.array(held))
+        yield from docs_.to_batches(max_chunksize=10_000)
 
-    spec = "bucket int, row long, doc_id long, n_tokens long, held double, windows binary, seen binary, p binary, place binary"
     # documents and windows come from one run of a task, so a row's number is one and the same for both
     dealt = texts.mapInArrow(run, spec).repartitionById(buckets, F.col("bucket"))
-    each = dealt.mapInArrow(recall, "row long, doc_id long, n_tokens long, held double").groupBy("row")
-    out = each.agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("held").alias("log_prob"))
+    back = dealt.mapInArrow(recall, spec).drop("bucket", "solid", "tops").repartition("part")
+    out = back.mapInArrow(total_up, "doc_id long, n_tokens long, log_prob double")
     return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("per_token"))

@@ -191,5 +191,44 @@ def test_every_window_is_remembered(spark):
     assert abs(got[0] - sum(want)) < 1e-4
 
 
+def test_packed_windows():
+    r = np.random.default_rng(3)
+    for n in (1, 7, 3000):
+        w, seen, p = r.integers(0, 2**64, n, np.uint64), r.integers(0, 2**32, n, np.uint64), -20 * r.random(n)
+        place = np.sort(r.integers(0, 70_000 if n < 10 else 500, n))
+        got = lm.unpack(*lm.pack(w, seen, p, place))
+        want = (w & np.uint64(2**48 - 1), seen, p.astype(np.float32), place)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_little_is_shuffled_and_nothing_stays_of_training(spark):
+    import gc
+    import os
+    import time
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {x: os.path.getsize(x) for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x and x.endswith(".data") and os.path.exists(x)}
+
+    r = random.Random(9)
+    data = [(i, " ".join(r.choice("abcdefgh") + str(int(r.random() ** 3 * 4000)) for _ in range(500)), "", 1) for i in range(600)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(4).localCheckpoint()
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(1)
+    before = shuffled()
+    scorer = lm.train(df)
+    until = time.time() + 5
+    large = lambda: sum(n for x, n in shuffled().items() if x not in before)
+    while large() > 100_000 and time.time() < until:
+        time.sleep(0.1)
+    assert large() < 100_000  # before, two bytes of each token stayed
+    before = shuffled()
+    out = lm.lm_score(df, scorer)
+    assert len(out.collect()) == 600
+    assert large() < 15 * 300_000
+
+
 def test_empty_table(spark):
     assert lm.lm_score(spark.createDataFrame([], SCHEMA)).collect() == []
