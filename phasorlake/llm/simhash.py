@@ -16,13 +16,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasorlake.llm import common
 from phasorlake.llm.components import components
+from phasorlake.plans import BROADCAST
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints (or bands) whose variants one task emits.
@@ -188,6 +188,8 @@ SAMPLE, HEAVY, MOST_HEAVY, MEET, PAIRS = 8192, 4, 1 << 16, 1_000_000, 500_000
 FEW = 100_000
 #: The least number of 64-bit words of a set's parities.
 PARITIES = 8
+#: First shingles of more components than this are crowded: they go last in the order.
+CROWD = 8
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
@@ -256,6 +258,35 @@ def met_pairs(h: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarra
         i = j
 
 
+def crowded(h: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each ``h`` of more than CROWD components, and of how many."""
+    order = np.lexsort((comp, h))
+    h, comp = h[order], comp[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (comp[1:] != comp[:-1])] if len(h) else np.empty(0, bool)
+    each, n = np.unique(h[new], return_counts=True)
+    return each[n > CROWD], n[n > CROWD]
+
+
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns = pa.schema([("h", pa.int64()), ("comp", pa.int64())])
+    t = pa.Table.from_batches((pa.RecordBatch.from_arrays(b.columns, schema=columns) for b in batches), columns)
+    h, n = crowded(t["h"].to_numpy(), t["comp"].to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], ["h", "n"])
+
+
+def reordered(sets: DataFrame, late: DataFrame, similarity: float) -> DataFrame:
+    """(node, firsts) of sets (node, shingles) as ``prefix`` has them, with the table ``late`` (h) in place of its array.
+
+    Values are compared as unsigned ones; ``late`` may be as large as it likes, each h once.
+    """
+    sign = F.lit(-(1 << 63)).cast("long")
+    each = sets.select("node", F.explode("shingles").alias("h")).join(late.select("h", F.lit(True).alias("late")), "h", "left")
+    each = each.select("node", F.struct(F.coalesce("late", F.lit(False)).alias("late"), F.col("h").bitwiseXOR(sign).alias("h")).alias("x"))
+    ranked = each.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    most = F.size("xs") - F.ceil(F.lit(float(similarity)) * F.size("xs") - 1e-9).cast("int") + 1
+    return ranked.select("node", F.transform(F.slice("xs", F.lit(1), most), lambda x: x.h.bitwiseXOR(sign)).alias("firsts"))
+
+
 def _heavy(texts: DataFrame, shingle: int) -> np.ndarray:
     """Shingles of many texts, sorted, told from a sample of about SAMPLE rows; MOST_HEAVY at most."""
 
@@ -283,7 +314,10 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
     groups of copies are together before pairs are listed. By chance of the bits some links
     are missed there. Then nodes of different components meet by the first shingles of
     their sets (``prefix``), of which linked ones must share one; pairs whose sizes and
-    ``parities`` allow the similarity are compared by their shingles as well.
+    ``parities`` allow the similarity are compared by their shingles as well. Before pairs
+    are listed, first shingles of over CROWD components are put last in the order, and the
+    sets that had them get others, until the crowds left are of no more pairs than there are
+    nodes, or of shingles that are last already (all of a set's rarer ones are used up then).
 
     A row is known by 128 bits over all its columns, so equal rows, which nothing tells
     apart, are counted as one key; texts are moved only for keys that come repeatedly and
@@ -319,17 +353,38 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
             sets = [np.unique(text_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, longs)], ["node", "shingles"])
 
-    def verified(edges: DataFrame) -> DataFrame:
-        """The rows of kept edges (a, b, ...) whose sets are similar."""
-        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = common.keep(distinct.join(ends, "node").select("node", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2")), "asked")
+    def of_texts(nodes: DataFrame, kernel, column: str) -> DataFrame:
+        """(node, column), kept, that a kernel finds of distinct nodes' texts."""
+        asked = common.keep(distinct.join(nodes, "node").select("node", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2")), "asked")
         few = F.broadcast(asked) if asked.count() <= FEW else asked
         texts = rows.select("_k1", "_k2", "text").join(few, ["_k1", "_k2"]).select("node", "text")
-        sets = common.keep(texts.mapInArrow(shingled, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+        out = common.keep(texts.mapInArrow(kernel, f"node long, {column} array<long>").dropDuplicates(["node"]), column)
+        common.drop(spark, asked)
+        return out
+
+    def moved(nodes: DataFrame, late: DataFrame) -> DataFrame:
+        """(node, firsts), kept, of distinct nodes, with the shingles of ``late`` last."""
+        if late.count() * 8 > BROADCAST:
+            sets = of_texts(nodes, shingled, "shingles")
+            out = common.keep(reordered(sets, late, similarity), "firsts")
+            common.drop(spark, sets)
+            return out
+        last = spark.sparkContext.broadcast(np.sort(late.toArrow()["h"].to_numpy().view(np.uint64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                firsts = [prefix(np.unique(text_hashes(t.as_py(), shingle)), last.value, similarity).view(np.int64) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, longs)], ["node", "firsts"])
+
+        return of_texts(nodes, run, "firsts")
+
+    def verified(edges: DataFrame) -> DataFrame:
+        """The rows of kept edges (a, b, ...) whose sets are similar."""
+        sets = of_texts(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingled, "shingles")
         both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
         same = F.size(F.array_intersect("_a", "_b"))
         out = common.keep(both.filter(same >= F.lit(float(similarity)) * (F.size("_a") + F.size("_b") - same)).select(*edges.columns), "links")
-        common.drop(spark, asked, sets)
+        common.drop(spark, sets)
         return out
 
     leads = common.keep(distinct.groupBy("fp").agg(F.min("node").alias("lead"), F.min_by("bands", "node").alias("bands")), "leads")
@@ -341,18 +396,35 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
     met = common.keep(met.unionByName(alike), "candidates")
     links_ = verified(met)
     roots = components(links_).select("node", F.col("root").alias("comp"))
-    near = common.keep(distinct.select("node", "n", "firsts").join(roots, "node", "left"), "near")
+    near = common.keep(distinct.select("node", "n", "firsts").join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near")
     common.drop(spark, edges, leads, met, links_)
 
+    nodes, total = near.agg(F.count("*"), F.coalesce(F.sum(F.size("firsts")), F.lit(0))).first()
+    wide = max(common.slots(spark), -(-total // MEET))
+    late = common.keep(spark.createDataFrame([(int(h),) for h in heavy.value.view(np.int64)], "h long"), "late")
+    while True:
+        each_h = near.select(F.explode("firsts").alias("h"), "comp").repartition(wide, "h")
+        crowds = common.keep(each_h.mapInArrow(_crowds, "h long, n long").join(late, "h", "left_anti"), "crowds")
+        listed = crowds.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+        if listed <= nodes:
+            common.drop(spark, crowds, late)
+            break
+        more_late = common.keep(late.unionByName(crowds.select("h")), "late")
+        hit = near.select("node", F.explode("firsts").alias("h")).join(crowds.select("h"), "h", "left_semi").select("node").distinct()
+        changed = moved(hit, more_late)
+        others = near.join(changed.withColumnRenamed("firsts", "others"), "node", "left")
+        others = common.keep(others.withColumn("firsts", F.coalesce("others", "firsts")).drop("others"), "near")
+        common.drop(spark, crowds, late, changed, near)
+        late, near = more_late, others
+
     columns = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
 
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches((pa.RecordBatch.from_arrays(b.columns, schema=columns) for b in batches), columns)
-        for pairs in met_pairs(t["h"].to_numpy(), t["node"].to_numpy(), pc.coalesce(t["comp"], t["node"]).to_numpy(), t["n"].to_numpy(), t["rank"].to_numpy(), similarity):
+        for pairs in met_pairs(t["h"].to_numpy(), t["node"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy(), t["rank"].to_numpy(), similarity):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
 
-    total = near.agg(F.sum(F.size("firsts"))).first()[0] or 0
-    dealt = near.select(F.posexplode("firsts").alias("rank", "h"), "node", "comp", "n").select("h", "node", "comp", "n", "rank").repartition(max(common.slots(spark), -(-total // MEET)), "h")
+    dealt = near.select(F.posexplode("firsts").alias("rank", "h"), "node", "comp", "n").select("h", "node", "comp", "n", "rank").repartition(wide, "h")
     met = common.keep(dealt.mapInArrow(meetings, "a long, b long").distinct(), "met")
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,9 +439,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
     pairs = common.keep(pairs.mapInArrow(allowed, "a long, b long"), "pairs")
     common.drop(spark, met)
     more = verified(pairs)
-    of = {x: near.select(F.col("node").alias(x), F.coalesce("comp", "node").alias(f"c{x}")) for x in "ab"}
+    of = {x: near.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"}
     roots = components(more.join(of["a"], "a").join(of["b"], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnsRenamed({"node": "comp", "root": "over"})
-    placed = distinct.select("node", "first").join(near.select("node", F.coalesce("comp", "node").alias("comp")), "node").join(roots, "comp", "left")
+    placed = distinct.select("node", "first").join(near.select("node", "comp"), "node").join(roots, "comp", "left")
     placed = placed.select("node", "first", F.coalesce("over", "comp").alias("root"))
     named = common.keep(placed.select("node", "root").join(placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("node", "first"), "components")
     common.drop(spark, pairs, more, near)

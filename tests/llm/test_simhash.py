@@ -227,3 +227,51 @@ def test_kept_tables_leave_no_shuffle_files(spark):
     assert not left
     assert kept.count() == df.count() == 20_000  # what was kept can be worked out again
     common.drop(spark, kept)
+
+
+def test_crowded_shingles_make_few_pairs(spark, monkeypatch):
+    from phasorlake.llm import common, simhash
+
+    r = random.Random(21)
+    passages = [[f"{p}p{k}" for k in range(60)] for p in range(6)]
+    texts = []
+    for i in range(240):  # 40 texts share each passage, of which the sample sees few
+        texts.append([f"{i}w{k}" for k in range(140)] + passages[i % 6])
+    for i in range(30):  # like one of them, some at little over 0.8
+        w = list(r.choice(texts[:240]))
+        for k in r.sample(range(len(w)), r.randint(1, 4)):
+            w[k] = "other"
+        texts.append(w)
+    texts = [" ".join(w) for w in texts]
+    sets = [five(t) for t in texts]
+    want = roots(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    pairs, keep = [], common.keep
+
+    def counted(df, label="kept"):
+        out = keep(df, label)
+        if label == "met":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "SAMPLE", 4)
+    monkeypatch.setattr(common, "keep", counted)
+    data = spark.createDataFrame([(i, t, "c", i) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = simhash.one_of_each(data).select("doc_id").collect()
+    assert sorted(x.doc_id for x in got) == sorted(set(want.values()))
+    assert pairs[-1] <= len(texts)  # 6 x 40 x 39 / 2 = 4680 pairs share a passage
+
+
+def test_late_shingles_by_join_as_by_array(spark):
+    import numpy as np
+
+    from phasorlake.llm.simhash import prefix, reordered
+
+    r = np.random.default_rng(6)
+    pool = np.unique(r.integers(0, 2**64, 400, np.uint64))
+    late = np.sort(r.choice(pool, 150, replace=False))
+    sets = {i: np.sort(r.choice(pool, n, replace=False)) for i, n in enumerate((1, 2, 5, 40, 99, 300))}
+    sets[6] = late[:60]
+    rows = [(i, x.view(np.int64).tolist()) for i, x in sets.items()]
+    df = spark.createDataFrame(rows, "node long, shingles array<long>")
+    got = reordered(df, spark.createDataFrame([(int(h),) for h in late.view(np.int64)], "h long"), 0.8).collect()
+    assert {x.node: x.firsts for x in got} == {i: prefix(x, late, 0.8).view(np.int64).tolist() for i, x in sets.items()}
