@@ -165,6 +165,13 @@ def _packed(codes: np.ndarray) -> np.ndarray:
     return keys
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut small: what a kernel makes of one is passed on before the next is looked at."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def letters(text: str, keep: str = "[^a-z ]") -> Column:
     return F.regexp_replace(F.lower(text), keep, "")
 
@@ -244,23 +251,33 @@ def profile_cosines(docs: DataFrame, key: str, text: str, profiles: DataFrame, n
     """(key, name, cos) of each text's trigram counts with the counts (name, gram, n) of every profile.
 
     Few profiles go to the tasks, after a check of their size; else both sides are joined by gram."""
-    if profiles.count() * 32 > BROADCAST:
+    packed = packed_cosines(docs, key, text, profiles, name)
+    if packed is None:
         return count_cosine(ngrams(docs, key, text), key, profiles, name)
+    rows, names = packed
+    each = rows.select(key, F.posexplode("cos").alias("_i", "cos")).filter("cos <> 0")
+    return each.select(key, F.element_at(F.lit(names), F.col("_i") + 1).cast(profiles.schema[name].dataType).alias(name), "cos")
+
+
+def packed_cosines(docs: DataFrame, key: str, text: str, profiles: DataFrame, name: str) -> tuple[DataFrame, list] | None:
+    """((key, cos), names): each text's cosines with every profile as an array in order of the names, 0 with one that
+    shares no trigram; a text without a trigram has no row. None if the profiles are too large to go to every task."""
+    if profiles.count() * 32 > BROADCAST:
+        return None
     held: dict = {}
-    who_kind = to_arrow_type(profiles.schema[name].dataType)
     for r in profiles.collect():
         held.setdefault(r[name], {})[r["gram"]] = float(r["n"])
     names = sorted(held)
     grams = {g: i for i, g in enumerate(sorted({g for p in held.values() for g in p}))}
-    if len(grams) * len(names) * 8 > BROADCAST:
-        return count_cosine(ngrams(docs, key, text), key, profiles, name)
+    if not names or len(grams) * len(names) * 8 > BROADCAST:
+        return None
     matrix = np.zeros((len(grams) + 1, len(names)))  # the last row is of grams that no profile has
     for c, x in enumerate(names):
         matrix[[grams[g] for g in held[x]], c] = list(held[x].values())
     matrix /= np.maximum(np.sqrt((matrix * matrix).sum(0)), 1e-300)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, cos = [], []
             for i, t in enumerate(batch.column(1)):
                 codes, count = _grams(t.as_py() or "", 3)
@@ -268,12 +285,11 @@ def profile_cosines(docs: DataFrame, key: str, text: str, profiles: DataFrame, n
                     n = count.astype(float)
                     at.append(i)
                     cos.append(n @ matrix[[grams.get(g, -1) for g in _spelt(codes)]] / np.sqrt((n * n).sum()))
-            all_ = np.array(cos).reshape(len(at), len(names))
-            row, col = np.nonzero(all_)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(at, np.int64)[row])), pa.array([names[c] for c in col], who_kind), pa.array(all_[row, col])], [key, name, "cos"])
+            flat = pa.array(np.array(cos).reshape(-1))
+            ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.ListArray.from_arrays(ends, flat)], [key, "cos"])
 
-    kinds = docs.schema[key].dataType.simpleString(), profiles.schema[name].dataType.simpleString()
-    return docs.select(key, letters(text).alias("_t")).mapInArrow(run, f"{key} {kinds[0]}, {name} {kinds[1]}, cos double")
+    return docs.select(key, letters(text).alias("_t")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, cos array<double>"), names
 
 
 def count_cosine(a: DataFrame, akey: str, b: DataFrame, bkey: str, item: str = "gram", n: str = "n") -> DataFrame:

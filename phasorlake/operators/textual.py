@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasorlake.plans import first_by, keep
+from phasorlake.plans import first_by, keep, quantile
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -249,7 +249,13 @@ def build_index(chunked: DataFrame, files: DataFrame, key: str, text: str) -> Da
 
 def calibration(scores: DataFrame, query: str, score: str) -> DataFrame:
     """One row: the least and median best score of queries (signal), the 95th percentile of all other scores (noise), and their middle."""
-    best = scores.groupBy(query).agg(F.max(score).alias("_b"))
-    signal = best.agg(F.min("_b").alias("least"), F.percentile("_b", F.lit(0.5)).alias("median"))
-    noise = scores.join(best, query).filter(F.col(score) < F.col("_b")).agg(F.percentile(score, F.lit(0.95)).alias("noise"))
-    return signal.crossJoin(noise).withColumn("threshold", (F.col("least") + F.col("noise")) / 2)  # a row each
+    return packed_calibration(scores.groupBy(query).agg(F.collect_list(score).alias(score)), score)
+
+
+def packed_calibration(scores: DataFrame, score: str) -> DataFrame:
+    """``calibration`` of a row for each query, with all its scores in an array."""
+    held = keep(scores.select(F.array_max(score).alias("_b"), F.col(score).alias("_o")), "scores")  # read for both quantiles
+    least, median = held.agg(F.min("_b")).first()[0], quantile(held, "_b", 0.5)
+    noise = quantile(held.select("_b", F.explode("_o").alias("_x")).filter("_x < _b"), "_x", 0.95)
+    threshold = None if noise is None else (least + noise) / 2
+    return held.sparkSession.createDataFrame([(least, median, noise, threshold)], "least double, median double, noise double, threshold double")
