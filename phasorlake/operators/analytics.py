@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasorlake.functions import bucket
-from phasorlake.plans import first_by, radius_join, running
+from phasorlake.plans import cell, first_by, keep, radius_join, running
 
 #: Rows of a side of one matrix product.
 BLOCK = 1024
@@ -54,9 +54,28 @@ def psnr(df: DataFrame, truth: str, recon: str, peak: float) -> DataFrame:
 
 def nearest_within(left: DataFrame, key: str, right: DataFrame, right_key: str, columns: Sequence[str], radius: float) -> DataFrame:
     """(key, nearest, dist): the nearest right row within ``radius``, the least key of equals; -1 and null where none is."""
-    pairs = radius_join(left.select(key, *columns), right.select(F.col(right_key).alias("_k"), *[F.col(c).alias(f"{c}_r") for c in columns]), columns, radius)
-    best = pairs.groupBy(key).agg(F.min(F.struct("dist", "_k")).alias("_b"))
-    return left.select(key).join(best, key, "left").select(key, F.coalesce("_b._k", F.lit(-1)).alias("nearest"), F.col("_b.dist").alias("dist"))
+    names = [f"{c}_r" for c in columns]
+    spots = right.groupBy(*columns).agg(F.min(right_key).alias("_k")).select("_k", *[F.col(c).alias(n) for c, n in zip(columns, names)])
+    spots = keep(spots.dropna(subset=names), "spots")
+    rest = keep(left.select(*columns).distinct().dropna(), "points")
+    reach, found = radius, None
+    # the largest radius at which a row meets few others in cells of that size; equal rows are one
+    for _ in range(10):
+        n = spots.groupBy(*[cell(F.col(c), reach) for c in names]).count()
+        if (n.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0) <= 4:
+            break
+        reach /= 2
+    # what has a neighbour within a radius has its nearest there; only the rest is looked for within twice of it
+    while True:
+        near = radius_join(rest, spots, columns, reach).groupBy(*columns).agg(F.min(F.struct("dist", "_k")).alias("_b"))
+        near = keep(near, "near")
+        found = near if found is None else found.unionByName(near)
+        if reach >= radius:
+            break
+        rest = keep(rest.join(near, list(columns), "left_anti"), "points")
+        reach = min(2 * reach, radius)
+    best = left.join(found, list(columns), "left").select(key, "_b")
+    return best.groupBy(key).agg(F.min("_b").alias("_b")).select(key, F.coalesce("_b._k", F.lit(-1)).alias("nearest"), F.col("_b.dist").alias("dist"))
 
 
 def remove_subset(parent: DataFrame, key: str, part: DataFrame, part_key: str, columns: Sequence[str], tolerance: float, least: float = 0.99) -> DataFrame:
