@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phasorlake.operators.analytics import nearest_within
 from phasorlake.operators.fields import phase
 from phasorlake.operators.scenes import weighted_quantile
+from phasorlake.plans import quantile as exact_quantile
 from phasorlake.plans import running
 from phasorlake.space import Space
 
@@ -43,7 +44,7 @@ def null_threshold(maps: Sequence[DataFrame], value: str, quantile: float) -> Da
     pool = maps[0].select(F.abs(value).alias("_v"))
     for m in maps[1:]:
         pool = pool.unionByName(m.select(F.abs(value).alias("_v")))
-    return pool.agg(F.percentile("_v", F.lit(quantile)).alias("threshold"))
+    return pool.sparkSession.createDataFrame([(exact_quantile(pool, "_v", quantile),)], "threshold double")
 
 
 def changed(current: DataFrame, value: str, threshold: DataFrame) -> DataFrame:
