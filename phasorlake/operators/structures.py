@@ -180,17 +180,28 @@ def ngrams(docs: DataFrame, key: str, text: str, n: int = 3, keep: str = "[^a-z
     """(key, gram, n): counts of letter n-grams, lower-cased, other characters dropped.
 
     Counted within each text first, so the shuffle gets a row for each text and gram."""
+    part_rows = 256
+
+    def counted(batch: pa.RecordBatch, held: dict) -> Iterator[pa.RecordBatch]:
+        for i, parts in held.values():
+            codes, count = parts[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(count))), pa.array(_spelt(codes)), pa.array(count.astype(np.int64))], [key, "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict = {}  # texts of one key are counted together
-            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                codes, count = _grams(t.as_py() or "", n)
-                if len(count):
-                    held.setdefault(k, (i, []))[1].append((codes, count))
-            for i, parts in held.values():
-                codes, count = parts[0] if len(parts) == 1 else _added(parts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(count))), pa.array(_spelt(codes)), pa.array(count.astype(np.int64))], [key, "gram", "n"])
+            for a, part in enumerate(slices([batch], part_rows)):
+                for i, (k, t) in enumerate(zip(part.column(0).to_pylist(), part.column(1))):
+                    codes, count = _grams(t.as_py() or "", n)
+                    if len(count):
+                        held.setdefault(k, (a * part_rows + i, []))[1].append((codes, count))
+                for _, parts in held.values():  # what a slice's texts share is one row from here on
+                    if len(parts) > 1:
+                        parts[:] = [_added(parts)]
+                if len(held) > 64:
+                    yield from counted(batch, held)
+                    held = {}
+            yield from counted(batch, held)
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(key, letters(text, keep).alias("_t")).mapInArrow(run, f"{key} {kind}, gram string, n long")
@@ -231,7 +242,7 @@ def unit_profile_arrays(space: Space, docs: DataFrame, key: str, text: str) -> D
         for i, c in enumerate(ALPHABET):
             place[ord(c)] = i
         codes = (turned[0][:, None, None] * turned[1][None, :, None] * turned[2][None, None]).reshape(-1, dim)
-        for batch in batches:
+        for batch in slices(batches):
             at, out = [], []
             for i, t in enumerate(batch.column(1)):
                 got, count = _grams(t.as_py() or "", 3)
