@@ -383,7 +383,7 @@ def fsm_trajectory(space: Space, memory: DataFrame, inputs: DataFrame, machine:
 def fsm_run(rows: DataFrame, machine: str, position: str, symbol: str, rules: DataFrame, start: str, state: str = "state", rule_symbol: str = "symbol", after: str = "after", block: int = 4096) -> DataFrame:
     """(machine, position, state after it); a missing rule keeps the state. Positions count from 1 without gaps.
 
-    A machine's inputs are cut into blocks. Each block is run from every state at once;
+    A machine's inputs are cut into blocks; one of a single block is run from the start. Else each block is run from every state at once;
     the blocks' maps of states, a row each, are composed to the state in which each block
     starts; then each block is run once. So a machine of any length is spread over tasks.
     The rules, a table of the automaton's size, go to all tasks after a check of it.
@@ -396,7 +396,7 @@ def fsm_run(rows: DataFrame, machine: str, position: str, symbol: str, rules: Da
         step.setdefault(a, {})[s] = t
     states = sorted({start} | {s for m in step.values() for s in m} | {t for m in step.values() for t in m.values()})
     kind = rows.schema[machine].dataType.simpleString()
-    blocks = rows.select(machine, F.col(position).cast("long").alias("position"), F.col(symbol).cast("string").alias("symbol")).withColumn("_b", F.floor((F.col("position") - 1) / block))
+    blocks = rows.filter(F.col(machine).isNotNull()).select(machine, F.col(position).cast("long").alias("position"), F.col(symbol).cast("string").alias("symbol")).withColumn("_b", F.floor((F.col("position") - 1) / block))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Stretches of one machine's block within a batch, and whether the block goes on from the batch before."""
@@ -447,10 +447,11 @@ def fsm_run(rows: DataFrame, machine: str, position: str, symbol: str, rules: Da
         return pd.DataFrame({machine: pdf[machine], "_b": pdf["_b"], "_from": said})
 
     pa_kind = to_arrow_type(rows.schema[machine].dataType)
-    dealt = blocks.repartition(machine, "_b").sortWithinPartitions(machine, "_b", "position")
+    several = blocks.join(blocks.filter("_b > 0").select(machine).distinct(), machine, "left_semi")
+    dealt = several.repartition(machine, "_b").sortWithinPartitions(machine, "_b", "position")
     maps = dealt.mapInArrow(compose, f"{machine} {kind}, _b long, _map array<string>")
     starts = maps.groupBy(machine).applyInPandas(chain, f"{machine} {kind}, _b long, _from string")
-    ready = blocks.join(starts, [machine, "_b"]).select(machine, "position", "symbol", "_b", "_from")
+    ready = blocks.join(starts, [machine, "_b"], "left").select(machine, "position", "symbol", "_b", F.coalesce("_from", F.lit(start)).alias("_from"))
     return ready.repartition(machine, "_b").sortWithinPartitions(machine, "_b", "position").mapInArrow(emit, f"{machine} {kind}, position long, state string")
 
 
